@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["supply", "holders"]
+MODULES = ["supply", "holders", "registry"]
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
