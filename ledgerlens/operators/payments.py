@@ -179,7 +179,13 @@ DASH = "—"
 
 
 def activity(payments: DataFrame, issuance: DataFrame, k: int = FEED_SIZE) -> DataFrame:
-    """Newest payments and issuance transactions in one shape."""
+    """Newest payments and issuance transactions in one shape.
+
+    Each side is cut to its ``k`` newest rows before anything is parsed.
+    """
+    newest = [F.col("created_at").desc(), F.col("id")]
+    payments = first_overall(payments.filter(F.col("created_at").isNotNull()), newest, k)
+    issuance = first_overall(issuance.filter(F.col("created_at").isNotNull()), newest, k)
     direction = F.col("direction")
     address = F.when(direction == "outbound", F.col("destination_address")).when(
         direction == "inbound", F.col("source_address")
@@ -187,7 +193,7 @@ def activity(payments: DataFrame, issuance: DataFrame, k: int = FEED_SIZE) -> Da
     kind = F.when(direction == "outbound", "Send").when(direction == "inbound", "Receive").otherwise(
         title_case(F.coalesce("type", F.lit("transfer")))
     )
-    sent = payments.filter(F.col("created_at").isNotNull()).select(
+    sent = payments.select(
         F.concat(F.lit("payment-"), "id").alias("id"),
         "created_at",
         kind.alias("type"),
@@ -197,7 +203,7 @@ def activity(payments: DataFrame, issuance: DataFrame, k: int = FEED_SIZE) -> Da
         F.lit("payments").alias("source_kind"),
     )
     params = F.col("operation_params")
-    issued = issuance.filter(F.col("created_at").isNotNull()).select(
+    issued = issuance.select(
         F.concat(F.lit("issuance-"), "id").alias("id"),
         "created_at",
         title_case(F.col("type")).alias("type"),
@@ -213,7 +219,7 @@ def activity(payments: DataFrame, issuance: DataFrame, k: int = FEED_SIZE) -> Da
         ).alias("address"),
         F.lit("issuance").alias("source_kind"),
     )
-    return first_overall(sent.unionByName(issued), [F.col("created_at").desc(), F.col("id")], k)
+    return first_overall(sent.unionByName(issued), newest, k)
 
 
 # --- recurring collections ------------------------------------------------------------------------------
