@@ -67,7 +67,7 @@ def format_base_units(raw: Column, decimals: Column) -> Column:
         F.substring(padded, F.length(padded) - decimals + 1, decimals), "0+$", ""
     )
     text = F.when((decimals == 0) | (fraction == ""), whole).otherwise(F.concat_ws(".", whole, fraction))
-    return F.when(raw < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(raw < 0, F.concat(F.lit("-"), text)).when(raw >= 0, text)
 
 
 def plain_text(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Namespace of token identifiers, address alphabet, account layout.
 NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"
@@ -27,7 +28,7 @@ def token_uuid(mint: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def base58(keys: pd.Series) -> pd.Series:
     """Base58 text of a key.  Leading zero bytes add nothing; an all-zero key is '1'."""
 

@@ -62,7 +62,7 @@ def relative_time(at: Column, as_of: Column) -> Column:
         F.when(seconds < 60, F.format_string("%ds ago", seconds))
         .when(seconds < 3600, F.format_string("%dm ago", F.floor(seconds / 60)))
         .when(seconds < 86400, F.format_string("%dh ago", F.floor(seconds / 3600)))
-        .otherwise(F.format_string("%dd ago", F.floor(seconds / 86400)))
+        .when(seconds >= 86400, F.format_string("%dd ago", F.floor(seconds / 86400)))
     )
 
 

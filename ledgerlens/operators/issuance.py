@@ -37,7 +37,10 @@ def _candidates(transactions: DataFrame, fields: dict[str, list[str]], alias: st
     return (
         transactions.select("id", "token_id", "type", values.alias("_params"))
         .withColumn("_fields", cases[F.col("type")])
-        .select("id", "token_id", F.explode(F.array_distinct(F.transform(wanted, lambda e: e["v"]))).alias(alias))
+        .select(
+            "id", "token_id", F.explode_outer(F.array_distinct(F.transform(wanted, lambda e: e["v"]))).alias(alias)
+        )
+        .filter(F.col(alias).isNotNull())
     )
 
 

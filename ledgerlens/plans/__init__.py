@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["supply", "holders", "registry", "payments", "scopes"]
+MODULES = ["supply", "holders", "registry", "payments", "scopes", "transactions", "scalars"]
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:

@@ -1,6 +1,7 @@
 """Landed API payloads (JSON text) to typed snapshot rows.
 
-Every function takes a DataFrame with a ``payload`` column and, where one belongs to a mint, the mint.
+Every function takes a DataFrame with a ``payload`` column and, where one belongs to a mint, the mint.  Arrays
+are exploded with the outer form, so that no filter parses the payload a second time.
 """
 
 from __future__ import annotations
@@ -146,8 +147,8 @@ def network_snapshot(payloads: DataFrame) -> DataFrame:
 def largest_holders(payloads: DataFrame, as_of: datetime | str | Column) -> DataFrame:
     """Holders per mint in payload order, ranked from 1."""
     rows = payloads.select(
-        "mint", F.posexplode(F.from_json("payload", LARGEST_HOLDERS_PAYLOAD)).alias("position", "holder")
-    )
+        "mint", F.posexplode_outer(F.from_json("payload", LARGEST_HOLDERS_PAYLOAD)).alias("position", "holder")
+    ).filter(F.col("holder").isNotNull())
     return rows.select(
         "mint",
         F.coalesce("holder.address", F.lit("")).alias("holder_address"),
@@ -165,15 +166,18 @@ def _stake(vote: str) -> Column:
 
 def whales(accounts: DataFrame, votes: DataFrame, as_of: datetime | str | Column) -> DataFrame:
     """Largest accounts in payload order; without any, the twenty current validators with most stake."""
-    listed = accounts.select(
-        F.posexplode(F.from_json("payload", LARGEST_ACCOUNTS_PAYLOAD)).alias("position", "account")
-    ).select(
+    entries = accounts.select(
+        F.posexplode_outer(F.from_json("payload", LARGEST_ACCOUNTS_PAYLOAD)).alias("position", "account")
+    )
+    listed = entries.filter(F.col("account").isNotNull()).select(
         F.coalesce("account.address", F.lit("")).alias("address"),
         F.coalesce(F.col("account.lamports").try_cast("decimal(20,0)"), F.lit(0)).cast("decimal(20,0)").alias("lamports"),
         (F.col("position") + 1).alias("rank"),
         F.lit("rpc").alias("source"),
     )
-    stakes = votes.select(F.explode(F.from_json("payload", VOTE_ACCOUNTS_PAYLOAD)["current"]).alias("vote"))
+    stakes = votes.select(
+        F.explode_outer(F.from_json("payload", VOTE_ACCOUNTS_PAYLOAD)["current"]).alias("vote")
+    ).filter(F.col("vote").isNotNull())
     fallback = top_stakes(
         stakes.select(F.coalesce("vote.nodePubkey", F.lit("")).alias("address"), _stake("vote").alias("lamports"))
     )
@@ -205,8 +209,8 @@ def validators(votes: DataFrame, as_of: datetime | str | Column) -> DataFrame:
 
     def part(status: str) -> DataFrame:
         lists = votes.select(
-            F.posexplode(F.from_json("payload", VOTE_ACCOUNTS_PAYLOAD)[status]).alias("position", "vote")
-        )
+            F.posexplode_outer(F.from_json("payload", VOTE_ACCOUNTS_PAYLOAD)[status]).alias("position", "vote")
+        ).filter(F.col("vote").isNotNull())
         return lists.select(
             F.lit(status).alias("status"),
             F.coalesce("vote.votePubkey", F.lit("")).alias("vote_address"),
@@ -226,11 +230,12 @@ def validators(votes: DataFrame, as_of: datetime | str | Column) -> DataFrame:
 def token_list(payloads: DataFrame) -> DataFrame:
     """Entries of landed token-list files (one JSON array per row)."""
     entry = "array<struct<address:string,symbol:string,name:string,decimals:int,logoURI:string>>"
-    return payloads.select(F.inline(F.from_json("payload", entry)))
+    rows = payloads.select(F.inline_outer(F.from_json("payload", entry)))
+    return rows.filter(F.col("address").isNotNull())
 
 
 def market_list(payloads: DataFrame, platform: str) -> DataFrame:
     """Entries of landed market files with their address on one platform."""
     entry = "array<struct<id:string,symbol:string,name:string,platforms:map<string,string>>>"
-    rows = payloads.select(F.inline(F.from_json("payload", entry)))
+    rows = payloads.select(F.inline_outer(F.from_json("payload", entry))).filter(F.col("id").isNotNull())
     return rows.select("id", "symbol", "name", F.try_element_at("platforms", F.lit(platform)).alias("address"))

@@ -83,11 +83,3 @@ def write_events(
     trigger = {"availableNow": True} if available_now else {"processingTime": FLUSH_INTERVAL}
     return writer.outputMode("append").trigger(**trigger).start()
 
-
-def hourly_counts(events: DataFrame, at: str = "received_at") -> DataFrame:
-    """Events per type and hour, accepting rows up to an hour late."""
-    return (
-        events.withWatermark(at, "1 hour")
-        .groupBy(F.window(at, "1 hour").alias("hour"), "event_type")
-        .agg(F.count(F.lit(1)).alias("events"))
-    )
