@@ -23,6 +23,8 @@ ACTIONS = ["allow", "deny", "approval_required", "provider_approval_required", "
 APPROVALS = ["approval_required", "provider_approval_required"]
 DOCUMENT_VERSION = 1
 
+MATCHES = "array<struct<scope:string,rule_id:string,kind:string,decision:string,reason:string>>"
+
 #: Comparisons need more fraction digits than any token has.
 COMPARABLE = "decimal(38,18)"
 
@@ -227,27 +229,30 @@ def _needs_approval(decision: Column) -> Column:
     return decision.isin(*APPROVALS)
 
 
-def _scope_result(policy: Column, scope: str, label: str) -> Column:
-    """Outcome of one scope for the row's operation."""
-    verdicts = F.filter(F.transform(policy["rules"], _judge), lambda v: v.isNotNull())
-    chosen = strictest(verdicts)
+def _with_result(rows: DataFrame, scope: str, label: str) -> DataFrame:
+    """Add the outcome of one scope, ``{scope}_result``, for the row's operation.
+
+    Verdicts and choice are columns of their own, so each rule is judged once per operation.
+    """
+    policy = F.col(f"{scope}_policy")
+    rows = rows.withColumn(
+        "_verdicts", F.filter(F.transform(policy["rules"], _judge), lambda v: v.isNotNull())
+    ).withColumn("_chosen", strictest(F.col("_verdicts")))
+    chosen, verdicts = F.col("_chosen"), F.col("_verdicts")
     active = policy["revision_id"].isNotNull()
     default = F.coalesce(policy["default_action"], F.lit("allow"))
-    none = F.filter(verdicts, lambda v: F.lit(False))
-    return F.struct(
-        F.when(active, chosen["decision"]).alias("picked"),
+    result = F.struct(
         F.when(active, F.coalesce(chosen["decision"], default)).otherwise("allow").alias("decision"),
         F.when(~active, f"{label} policy is not active; implicit default allow applies.")
         .when(chosen.isNotNull(), chosen["reason"])
-        .otherwise(
-            _says(f"No {label} policy rules matched; default action ", default, " applies.")
-        )
+        .otherwise(_says(f"No {label} policy rules matched; default action ", default, " applies."))
         .alias("reason"),
         F.when(active, f"{scope}_policy_match").otherwise(f"{scope}_policy_missing").alias("reason_code"),
         policy["revision_id"].alias("revision_id"),
-        F.when(active, verdicts).otherwise(none).alias("matched"),
+        F.when(active, verdicts).alias("matched"),
         active.alias("active"),
-    ).alias(f"{scope}_result")
+    )
+    return rows.withColumn(f"{scope}_result", result).drop("_verdicts", "_chosen", f"{scope}_policy")
 
 
 def _with_policy(operations: DataFrame, policies: DataFrame, scope: str) -> DataFrame:
@@ -265,12 +270,8 @@ def evaluate(operations: DataFrame, policies: DataFrame) -> DataFrame:
     """
     ready = read_policies(policies)
     joined = _with_policy(_with_policy(operations, ready, "wallet"), ready, "api_key")
-    judged = joined.withColumns(
-        {
-            "w": _scope_result(F.col("wallet_policy"), "wallet", "wallet"),
-            "k": _scope_result(F.col("api_key_policy"), "api_key", "API key"),
-        }
-    )
+    judged = _with_result(_with_result(joined, "wallet", "wallet"), "api_key", "API key")
+    judged = judged.withColumnsRenamed({"wallet_result": "w", "api_key_result": "k"})
     has_key = F.col("api_key_scope_id").isNotNull()
     key_wins = has_key & (_rank(F.col("k.decision")) > _rank(F.col("w.decision")))
 
@@ -283,14 +284,23 @@ def evaluate(operations: DataFrame, policies: DataFrame) -> DataFrame:
         F.concat(F.lit("wallet="), F.col("w.decision")),
         F.when(has_key, F.concat(F.lit("API key="), F.col("k.decision"))),
     )
-    tagged = [
-        F.transform(
-            F.col(f"{c}.matched"),
-            lambda v, s=s: F.struct(F.lit(s).alias("scope"), v["rule_id"], v["kind"], v["decision"], v["reason"]),
+
+    def tagged(column: str, scope: str) -> Column:
+        """Matched rules of a scope; none for a scope without an active policy."""
+        named = F.transform(
+            F.col(f"{column}.matched"),
+            lambda v: F.struct(
+                F.lit(scope).alias("scope"),
+                v["rule_id"].alias("rule_id"),
+                v["kind"].alias("kind"),
+                v["decision"].alias("decision"),
+                v["reason"].alias("reason"),
+            ),
         )
-        for c, s in (("w", "wallet"), ("k", "api_key"))
-    ]
-    matched = F.when(has_key, F.concat(*tagged)).otherwise(tagged[0])
+        return F.coalesce(named, F.array().cast(MATCHES))
+
+    key_matches = F.when(has_key, tagged("k", "api_key")).otherwise(F.array().cast(MATCHES))
+    matched = F.concat(tagged("w", "wallet"), key_matches)
     return judged.select(
         "operation_id",
         pick("decision").alias("decision"),

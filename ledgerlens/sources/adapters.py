@@ -16,6 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return _as_utc(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer parts than the session has cores, dealt out before per-row work.
+
+    A table of many files already has enough parts and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table as a file stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
@@ -291,7 +300,7 @@ def batch_recipients(spark: SparkSession, folder: str) -> DataFrame:
 
 def wallet_operations(spark: SparkSession, folder: str) -> DataFrame:
     user = F.col("user_id")
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events")).select(
         F.col("event_id").alias("operation_id"),
         F.concat(F.lit("w"), (user % 4).cast("string")).alias("wallet_scope_id"),
         F.when(user % 3 != 0, F.concat(F.lit("k"), (user % 3).cast("string"))).alias("api_key_scope_id"),
@@ -434,7 +443,7 @@ def issued_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Raw transactions as JSON text, one per line item, in each of three shapes."""
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem"))
     units = (F.col("l_quantity") * 100).cast("bigint")
     number = F.col("l_linenumber")
     owner_a = F.concat(F.lit("wallet"), (F.col("l_partkey") % 50).cast("string"))
