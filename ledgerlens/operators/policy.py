@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.amounts import is_decimal_text, parse_decimal
 from ledgerlens.operators.payments import with_running_spend
-from ledgerlens.operators.skew import HOT_GROUP_ROWS
+from ledgerlens.operators.skew import HOT_GROUP_ROWS, exact_sum
 
 # Decisions from mild to strict, actions, policy document version.
 DECISIONS = ["not_evaluated", "allow", "review", "provider_approval_required", "approval_required", "deny"]
@@ -364,6 +364,7 @@ def check_limits(transfers: DataFrame, limits: DataFrame, hot_rows: int = HOT_GR
     spent = with_running_spend(transfers, hot_rows)
     rows = limits.select("wallet_id", "destination_allowlist", "max_transfer_amount", "max_daily_amount")
     single, daily = F.col("max_transfer_amount"), F.col("max_daily_amount")
+    projected = exact_sum(F.col("spent_before"), F.col("units"), spent.schema["units"].dataType)
     outside = (F.size("destination_allowlist") > 0) & ~_listed(
         F.col("destination_allowlist"), F.col("destination_address")
     )
@@ -372,7 +373,7 @@ def check_limits(transfers: DataFrame, limits: DataFrame, hot_rows: int = HOT_GR
         .when(single.isNotNull() & ~is_decimal_text(single), "invalid_max_transfer")
         .when(F.col("units") > parse_decimal(single), "exceeds_max_transfer")
         .when(daily.isNotNull() & ~is_decimal_text(daily), "invalid_max_daily")
-        .when(F.col("spent_before") + F.col("units") > parse_decimal(daily), "exceeds_max_daily")
+        .when(projected > parse_decimal(daily), "exceeds_max_daily")
         .otherwise("allowed")
     )
     return spent.join(rows, "wallet_id", "left").select(

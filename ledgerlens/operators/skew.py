@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType
 
 from ledgerlens.session import shared_dir
 
@@ -81,20 +82,31 @@ def _with_range(
             F.expr(f"transform(sequence(1, {COARSE - 1}), i -> element_at(_splits, i * {COARSE}))"),
         )
     )
-    tagged = df.withColumn("_at", position).join(F.broadcast(splits), keys, "left")
-    coarse = F.expr("size(filter(_coarse, s -> s <= _at))")
+    tagged = df.withColumn("_range_at", position).join(F.broadcast(splits), keys, "left")
+    coarse = F.expr("size(filter(_coarse, s -> s <= _range_at))")
     fine = F.expr(
-        f"size(filter(slice(_splits, _block * {COARSE} + 1, {COARSE - 1}), s -> s <= _at))"
+        f"size(filter(slice(_splits, _block * {COARSE} + 1, {COARSE - 1}), s -> s <= _range_at))"
     )
     return (
         tagged.withColumn("_block", F.when(F.col("_splits").isNotNull(), coarse))
         .withColumn(
             "_range", F.when(F.col("_block").isNull(), 0).otherwise(F.col("_block") * COARSE + fine)
         )
-        .drop("_at", "_splits", "_coarse", "_block")
+        .drop("_range_at", "_splits", "_coarse", "_block")
     )
 
 
+def exact_sum(left: Column, right: Column, data_type: DataType) -> Column:
+    """Sum of two columns of one type.
+
+    At the full 38 digits Spark would give up a fraction digit for a carry; one digit less leaves room for it.
+    """
+    if isinstance(data_type, DecimalType) and data_type.scale:
+        room = DecimalType(min(data_type.precision, 37), data_type.scale)
+        return (left.cast(room) + right.cast(room)).cast(data_type)
+    return left + right
+
+
 def ordered_prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -139,8 +151,10 @@ def ordered_prefix(
         "*", *[F.coalesce(F.sum(f"_{n}").over(inside), zero).alias(f"_{n}_run") for n in sums]
     )
     joined = running.join(offsets, part, "inner")
+    types = {f.name: f.dataType for f in joined.schema}
     for name in sums:
-        joined = joined.withColumn(f"{name}_before", F.col(f"_{name}_offset") + F.col(f"_{name}_run"))
+        before = exact_sum(F.col(f"_{name}_offset"), F.col(f"_{name}_run"), types[f"_{name}_run"])
+        joined = joined.withColumn(f"{name}_before", before)
     hidden = ["_range"] + [f"_{n}{s}" for n in sums for s in ("", "_offset", "_run")]
     return joined.drop(*hidden)
 

@@ -73,7 +73,9 @@ def r4_holder_snapshot_fallback(spark, folder):
     """No wanted mint has a holder, so every mint is listed."""
     suppliers = adapters.table(spark, folder, "supplier")
     nobody = suppliers.select(F.concat(F.lit("x"), F.col("s_suppkey").cast("string")).alias("mint"))
-    decimals = suppliers.filter("s_suppkey < 0").select(F.lit("").alias("mint"), F.lit(0).alias("decimals"))
+    decimals = suppliers.filter("s_suppkey < 0").select(
+        F.col("s_suppkey").cast("string").alias("mint"), F.lit(0).alias("decimals")
+    )
     rows = holders.holder_snapshot(_state(spark, folder), decimals, nobody)
     return rows.withColumn("amount", F.col("amount").cast("bigint")).select("mint", "holder_address", "amount", "rank")
 
