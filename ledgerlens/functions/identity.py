@@ -12,6 +12,8 @@ NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 ACCOUNT_BYTES = 72
 
+TEN_DIGITS = 58**10
+
 
 def token_uuid(mint: Column) -> Column:
     """Name-based (version 5) identifier of a mint."""
@@ -30,16 +32,24 @@ def token_uuid(mint: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def base58(keys: pd.Series) -> pd.Series:
-    """Base58 text of a key.  Leading zero bytes add nothing; an all-zero key is '1'."""
+    """Base58 text of a key.  Leading zero bytes add nothing; an all-zero key is '1'.
+
+    Mints and owners repeat, so each key of a batch is encoded once.
+    """
 
     def encode(key: bytes) -> str:
         number, digits = int.from_bytes(key, "big"), []
         while number:
-            number, digit = divmod(number, 58)
-            digits.append(ALPHABET[digit])
-        return "".join(reversed(digits)) or ALPHABET[0]
+            # Ten digits per division of the long number.
+            number, chunk = divmod(number, TEN_DIGITS)
+            for _ in range(10):
+                chunk, digit = divmod(chunk, 58)
+                digits.append(ALPHABET[digit])
+        return "".join(reversed(digits)).lstrip(ALPHABET[0]) or ALPHABET[0]
 
-    return keys.map(encode, na_action="ignore")
+    codes, distinct = pd.factorize(keys)
+    texts = [encode(bytes(key)) for key in distinct]
+    return pd.Series([texts[code] if code >= 0 else None for code in codes], dtype=object)
 
 
 def decode_account(encoded: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.amounts import half_up
+from ledgerlens.operators.skew import never_null
 
 # Which parameters of a transaction hold an owner key or a token account.
 KEY_FIELDS = {
@@ -87,15 +88,21 @@ def with_extensions(tokens: DataFrame, extensions: DataFrame) -> DataFrame:
     return tokens.join(maps, "token_id", "left")
 
 
+def _with_figures(tokens: DataFrame, figures: DataFrame) -> DataFrame:
+    """Tokens next to their figures; tokens that are not deployed yet have no mint."""
+    known = figures.select(F.col("mint_address").alias("_mint"), "supply", "holder_count")
+    key = never_null(F.col("mint_address"), F.col("token_id"))
+    return tokens.join(known, key == F.col("_mint"), "left").drop("_mint")
+
+
 def issuer_summary(tokens: DataFrame, figures: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tokens, supply, holders, deployed and pending tokens per issuer.
 
     ``figures`` has mint_address, supply, holder_count; a token without figures counts as 0.
     """
     deployed = F.col("status").isin("deployed", "active")
-    known = figures.select("mint_address", "supply", "holder_count")
     return (
-        tokens.join(known, "mint_address", "left")
+        _with_figures(tokens, figures)
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("total_tokens"),
@@ -110,8 +117,7 @@ def issuer_summary(tokens: DataFrame, figures: DataFrame, keys: Sequence[str]) -
 def issuer_tokens(tokens: DataFrame, figures: DataFrame) -> DataFrame:
     """Per token: supply, holders and the rounded mean balance."""
     supply, holders = F.coalesce("supply", F.lit(0.0)), F.coalesce("holder_count", F.lit(0))
-    known = figures.select("mint_address", "supply", "holder_count")
-    return tokens.join(known, "mint_address", "left").select(
+    return _with_figures(tokens, figures).select(
         *tokens.columns,
         supply.alias("total_supply"),
         holders.alias("holder_count"),

@@ -14,7 +14,7 @@ from ledgerlens.functions.text import title_case
 from ledgerlens.functions.times import moment, plus_hours, utc_day
 from ledgerlens.operators.listing import waiting_since
 from ledgerlens.operators.ordering import first_overall, first_per_group
-from ledgerlens.operators.skew import HOT_GROUP_ROWS, find_hot, ordered_prefix
+from ledgerlens.operators.skew import HOT_GROUP_ROWS, find_hot, never_null, ordered_prefix
 
 # Statuses, types, limits.
 COUNTED_STATUSES = ["pending", "processing", "confirmed", "finalized"]
@@ -116,7 +116,7 @@ def reconcile(transfers: DataFrame, chain: DataFrame, as_of: datetime | str | Co
     now = moment(as_of)
     waiting = (F.col("status") == "processing") & F.col("type").isin(*WALLET_TYPES)
     facts = chain.select(
-        "signature",
+        F.col("signature").alias("_signature"),
         F.col("slot").alias("_slot"),
         F.col("confirmation_status").alias("_seen"),
         F.col("err").alias("_err"),
@@ -134,7 +134,8 @@ def reconcile(transfers: DataFrame, chain: DataFrame, as_of: datetime | str | Co
         "slot": F.when(broken | settled, F.col("_slot")),
         "updated_at": F.when(stuck | lost | broken | settled, now),
     }
-    return transfers.join(facts, "signature", "left").select(
+    key = never_null(F.col("signature"), F.col("id"))
+    return transfers.join(facts, key == F.col("_signature"), "left").select(
         *[F.coalesce(changed[c], F.col(c)).alias(c) if c in changed else F.col(c) for c in transfers.columns]
     )
 

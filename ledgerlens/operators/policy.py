@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.amounts import is_decimal_text, parse_decimal
 from ledgerlens.operators.payments import with_running_spend
-from ledgerlens.operators.skew import HOT_GROUP_ROWS, exact_sum
+from ledgerlens.operators.skew import HOT_GROUP_ROWS, exact_sum, never_null
 
 # Decisions from mild to strict, actions, policy document version.
 DECISIONS = ["not_evaluated", "allow", "review", "provider_approval_required", "approval_required", "deny"]
@@ -257,10 +257,11 @@ def _with_result(rows: DataFrame, scope: str, label: str) -> DataFrame:
 
 def _with_policy(operations: DataFrame, policies: DataFrame, scope: str) -> DataFrame:
     rows = policies.filter(F.col("scope") == scope).select(
-        F.col("scope_id").alias(f"{scope}_scope_id"),
+        F.col("scope_id").alias("_scope_id"),
         F.struct("revision_id", "default_action", "rules").alias(f"{scope}_policy"),
     )
-    return operations.join(rows, f"{scope}_scope_id", "left")
+    key = never_null(F.col(f"{scope}_scope_id"), F.col("operation_id"))
+    return operations.join(rows, key == F.col("_scope_id"), "left").drop("_scope_id")
 
 
 def evaluate(operations: DataFrame, policies: DataFrame) -> DataFrame:

@@ -44,6 +44,14 @@ def find_hot(df: DataFrame, keys: Sequence[str], threshold: int = HOT_GROUP_ROWS
     return None if hot.isEmpty() else materialise(hot, "hot-groups")
 
 
+def never_null(key: Column, row_id: Column) -> Column:
+    """Join key with a stand-in for null that is different in every row and matches nothing.
+
+    Rows with a null key would otherwise all be shuffled to one task, only to find no partner there.
+    """
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\u0000"), row_id.cast("string")))
+
+
 def settle(values: DataFrame, hot: DataFrame | None, purpose: str) -> DataFrame:
     """Keep a one-row-per-group table that several later steps read from being computed again by each."""
     return values if hot is None else materialise(values, purpose)

@@ -18,7 +18,7 @@ def _state(spark, folder):
 
 
 def _shares(spark, folder):
-    return holders.holder_shares(adapters.holder_rows(spark, folder))
+    return holders.holder_shares(adapters.holder_rows(spark, folder), "amount")
 
 
 def _ranked(spark, folder):
@@ -203,7 +203,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY amount DESC,
 """
 _SHARES = """
 WITH shares AS (
-  SELECT *, ui_amount / sum(ui_amount) OVER (PARTITION BY mint) * 100 AS share FROM holder_rows)
+  SELECT *, CAST(amount AS DOUBLE) / CAST(sum(amount) OVER (PARTITION BY mint) AS DOUBLE) * 100 AS share FROM holder_rows)
 """
 _REGIONS = """
 WITH regions AS (

@@ -91,7 +91,9 @@ def _account_payloads(lines):
 
 
 def s14_token_holders(spark, folder):
-    rows = landed.token_holders(_account_payloads(adapters.table(spark, folder, "lineitem")), AS_OF)
+    rows = landed.token_holders(
+        _account_payloads(adapters.spread(adapters.table(spark, folder, "lineitem"))), AS_OF
+    )
     return rows.select("mint_address", "wallet_address", "balance", "slot")
 
 
@@ -171,7 +173,7 @@ def s17_network_snapshot(spark, folder):
             F.to_json(F.struct((key % 100).alias("epoch"), (key * 10).alias("absoluteSlot"))).alias("payload"),
         ),
     )
-    run = (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), key)).alias("run_at")
+    run = F.timestamp_seconds(key).alias("run_at")
     payloads = adapters.table(spark, folder, "orders").select(run, F.inline(F.array_compact(entries)))
     rows = landed.network_snapshot(payloads)
     return rows.select(
@@ -261,7 +263,8 @@ def x5_x6_account_bytes(spark, folder):
     whole = F.when(F.col("l_linenumber") == 7, F.substring(body, 1, 71)).otherwise(
         F.concat(body, F.unhex(F.repeat(F.lit("00"), 93)))
     )
-    rows = adapters.table(spark, folder, "lineitem").select("l_orderkey", decode_account(F.base64(whole)).alias("raw"))
+    lines = adapters.spread(adapters.table(spark, folder, "lineitem"))
+    rows = lines.select("l_orderkey", decode_account(F.base64(whole)).alias("raw"))
     return rows.filter("raw IS NOT NULL").select(
         "l_orderkey",
         base58("raw.mint_key").alias("mint"),
@@ -398,7 +401,7 @@ QUERIES = {
                round(CASE WHEN p_partkey % 3 <> 1 THEN p_retailprice * 2 ELSE supply / power(10, decimals) END, 6)
                  AS ui_supply FROM ({_SQL_MINTS})"""),
     "s17_network_snapshot": (s17_network_snapshot, """
-        SELECT CAST(o_orderdate + to_seconds(o_orderkey) AS DATE) AS date,
+        SELECT CAST(TIMESTAMP '1970-01-01' + to_seconds(o_orderkey) AS DATE) AS date,
                round(CAST(round(o_totalprice * 100) AS BIGINT) * 1000 / CAST(1e9 AS DOUBLE), 9) AS total_sol_supply,
                CASE WHEN o_orderkey % 3 <> 0 THEN round_even(round(o_totalprice * 100) / 64, 2) END AS tps,
                CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey ELSE o_orderkey * 10 END AS slot,

@@ -13,7 +13,7 @@ VIEWS: dict[str, str] = {
                value AS ui_supply, ts AS scraped_at, event_id AS slot FROM events""",
     "network_snapshots": """
         SELECT CAST(o_orderdate AS DATE) AS date, o_orderdate AS scraped_at, o_totalprice AS total_sol_supply,
-               o_totalprice / 2 AS circulating_sol_supply, o_totalprice / 100 AS tps,
+               o_totalprice / 2 AS circulating_sol_supply, o_totalprice / 3 AS tps,
                o_orderkey AS transaction_count, o_custkey AS epoch FROM orders""",
     "token_registry": """
         SELECT DISTINCT 'mint_' || event_type AS mint, event_type AS symbol,

@@ -63,7 +63,7 @@ def network_snapshots(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("scraped_at"),
         F.col("o_totalprice").alias("total_sol_supply"),
         (F.col("o_totalprice") / 2).alias("circulating_sol_supply"),
-        (F.col("o_totalprice") / 100).alias("tps"),
+        (F.col("o_totalprice") / 3).alias("tps"),
         F.col("o_orderkey").alias("transaction_count"),
         F.col("o_custkey").alias("epoch"),
     )
@@ -395,7 +395,7 @@ def screening_results(spark: SparkSession, folder: str) -> DataFrame:
 def issuance_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Token transactions from suppliers' lines; the parameters depend on the type."""
     kinds = ["mint", "burn", "freeze", "unfreeze", "seize", "force_burn", "update_authority", "pause", "deploy"]
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem"))
     part = F.col("l_partkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (part % 9).cast("int") + 1)
     owner = F.concat(F.lit("own_"), (part % 40).cast("string"))
