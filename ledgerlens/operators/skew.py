@@ -143,6 +143,8 @@ def ordered_prefix(
 
     for name, column in sums.items():
         df = df.withColumn(f"_{name}", column)
+    # Read three times below: for the split points, the range sums and the rows.
+    df = materialise(df, "ordered")
     ranged = _with_range(df, keys, F.col(order), hot)
     part = [*keys, "_range"]
     per_range = ranged.groupBy(*part).agg(*[F.sum(f"_{n}").alias(f"_{n}_range") for n in sums])

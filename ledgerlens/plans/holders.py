@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import balances, holders, labels
-from ledgerlens.plans.supply import entries
+from ledgerlens.operators import balances, holders, labels, supply
+from ledgerlens.plans.supply import _ENTRIES, entries
 from ledgerlens.plans.views import over
-from ledgerlens.sources import adapters
+from ledgerlens.sources import adapters, export
 
 AS_OF = "2024-07-01 00:00:00"
 
@@ -194,6 +194,22 @@ def a35_coverage(spark, folder):
     return rows.select("wallets", *[F.round(c, 6).alias(c) for c in rows.columns if c != "wallets"])
 
 
+def v3_document(spark, folder):
+    """Every entry of the analytics document with its number."""
+    snapshots = adapters.supply_snapshots(spark, folder)
+    holders = adapters.token_holders(spark, folder)
+    regions, categories = labels.labelled_shares(adapters.wallet_labels(spark, folder))
+    document = export.analytics_document(
+        entries(spark, folder),
+        regions,
+        categories,
+        supply.daily_holders(holders, 30, supply.newest(holders, "snapshot_at")),
+        supply.daily_last(supply.since(snapshots, 30, supply.newest(snapshots))),
+    )
+    number = F.coalesce(*[F.get_json_object("entry", f"$.{n}") for n in ("value", "holderCount", "totalHolders")])
+    return document.select("section", "key", F.round(number.cast("double"), 6).alias("number"))
+
+
 _STATE = """
 WITH last AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY slot DESC, seq DESC, mint, owner,
@@ -252,8 +268,6 @@ QUERIES = {
                 FROM caps, (SELECT sum(v) AS t FROM caps))
         SELECT hhi, CASE WHEN hhi < 1500 THEN 'Low Concentration' WHEN hhi < 2500 THEN 'Moderate Concentration'
                     ELSE 'High Concentration' END AS band FROM hhi""")),
-    "a27_key_figures": (a27_key_figures, None),
-    "a26_insights": (a26_insights, None),
     "a37_positive_balances": (a37_positive_balances, over("account_updates", """
         SELECT owner, mint, CAST(sum(amount) AS BIGINT) AS amount FROM account_updates WHERE amount > 0 GROUP BY 1, 2""")),
     "w16_largest_account": (w16_largest_account, over("token_accounts", """
@@ -314,8 +328,6 @@ QUERIES = {
                      / count(*) FILTER (WHERE labelled), 6) AS two_source_pct FROM j""")),
 }
 
-from ledgerlens.plans.supply import _ENTRIES  # noqa: E402
-
 QUERIES["a27_key_figures"] = (a27_key_figures, over("supply_snapshots holder_rows token_registry", _ENTRIES + """
     SELECT round(sum(market_cap_usd), 4) AS total_market_cap, sum(holder_count) AS total_holders,
            round(avg(median_balance), 6) AS avg_balance FROM entries"""))
@@ -333,3 +345,17 @@ QUERIES["a26_insights"] = (a26_insights, over(
     UNION ALL
     (SELECT 'Attribution', upper(category[1]) || category[2:] || ' wallets represent ' || p || '% of holders', 'warning'
      FROM c ORDER BY p DESC, n DESC, category DESC LIMIT 1)"""))
+
+
+QUERIES["v3_document"] = (v3_document, over(
+    "supply_snapshots holder_rows token_registry wallet_labels token_holders", _ENTRIES + "," + _REGIONS.strip()[4:] + """
+    SELECT 'stablecoins' AS section, symbol AS key, CAST(holder_count AS DOUBLE) AS number FROM entries
+    UNION ALL SELECT 'holders', 'total', sum(holder_count) FROM entries
+    UNION ALL SELECT 'geography', region, n FROM regions
+    UNION ALL SELECT 'attribution', category, n FROM categories
+    UNION ALL
+    SELECT 'holdersHistory', CAST(CAST(snapshot_at AS DATE) AS VARCHAR), count(DISTINCT wallet_address) FROM token_holders
+    WHERE CAST(snapshot_at AS DATE) >= (SELECT CAST(max(snapshot_at) AS DATE) FROM token_holders) - 30 GROUP BY 2
+    UNION ALL
+    SELECT 'supplyHistory', CAST(date AS VARCHAR) || '/' || symbol, round(ui_supply, 6) FROM daily
+    WHERE date >= (SELECT max(date) FROM daily) - 30"""))

@@ -201,23 +201,6 @@ def v4_cache_freshness(spark, folder):
     return export.cache_freshness(cache, last + F.expr("INTERVAL 2 MINUTES"))
 
 
-def v3_document(spark, folder):
-    """Every entry of the analytics document."""
-    from ledgerlens.operators import labels
-
-    snapshots = adapters.supply_snapshots(spark, folder)
-    holders = adapters.token_holders(spark, folder)
-    regions, categories = labels.labelled_shares(adapters.wallet_labels(spark, folder))
-    document = export.analytics_document(
-        entries(spark, folder),
-        regions,
-        categories,
-        supply.daily_holders(holders, 30, supply.newest(holders, "snapshot_at")),
-        supply.daily_last(supply.since(snapshots, 30, supply.newest(snapshots))),
-    )
-    return document
-
-
 def s12_cache_rows(spark, folder):
     return export.cache_rows(entries(spark, folder), "2024-02-01 00:00:00").select(
         "mint_address",
@@ -415,7 +398,6 @@ QUERIES = {
           SELECT greatest(0, CAST(floor((epoch_us((SELECT max(scraped_at) FROM supply_snapshots)) + 120000000
                  - epoch_us(scraped_at)) / 1e6 + 0.5) AS BIGINT)) AS s FROM last)
         SELECT s AS cache_age_seconds, greatest(0, 300 - s) AS next_refresh_seconds FROM age""")),
-    "v3_document": (v3_document, None),
     "s12_cache_rows": (s12_cache_rows, over("supply_snapshots holder_rows token_registry", _ENTRIES + """
         SELECT mint_address, symbol, circulating_supply AS total_supply, holder_count FROM entries""")),
     "s13_csv_rows": (s13_csv_rows, over("supply_snapshots holder_rows token_registry", _ENTRIES + """
