@@ -16,6 +16,15 @@ from ledgerlens.operators.ordering import first_overall, first_per_group
 # Currencies accepted as US dollars, stable tokens, native token, listing size.
 DOLLAR_CURRENCIES = ["USD", "USDC"]
 STABLE_TOKENS = ["USDC", "USDT", "USDG", "PYUSD"]
+STABLE_MINTS = [
+    "4zMMC9srt5Ri5X14GAgXhaHii3GnPAEERYPJgZJDncDU",
+    "EPjFWdd5AufqSSqeM2qN1xzybapC8G4wEGGkZwyTDt1v",
+    "Es9vMFrzaCERmJfrF4H2FYD4KCoNkY11McCe8BenwNYB",
+    "4F6PM96JJxngmHnZLBh9n58RH4aTVNWvDs2nuwrT5BP7",
+    "2u1tszSeqZ3qBWF3uNGPFc8TzMk2tdiwknnRMWGWjGWH",
+    "CXk2AMBfi3TwaEL2468s6zP8xq9NxTXjp9gjMgzeUynM",
+    "2b1kV6DkPAnxd5ixfnxCpjxmKwqjjaYmCZfHsFu24GXo",
+]
 NATIVE_TOKEN = "SOL"
 PINNED_TOKEN = "USDC"
 LISTED = 3
@@ -38,24 +47,38 @@ def fill_symbols(balances: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def price_balances(
-    balances: DataFrame, prices: DataFrame, stable: Sequence[str] = STABLE_TOKENS
+def mint_prices(
+    balances: DataFrame,
+    prices: DataFrame,
+    stable: Sequence[str] = STABLE_TOKENS,
+    stable_mints: Sequence[str] = STABLE_MINTS,
 ) -> DataFrame:
-    """Add usd_price and usd_value; stable tokens cost 1, other prices must be in dollars and not negative.
+    """Dollar price per held mint: 1 for a stable mint or a mint held under a stable name, else the fetched price.
 
-    ``prices`` has one row per mint: mint, price, currency.
+    ``prices`` has one row per mint: mint, price, currency.  A price must be in dollars and not negative.
     """
+    is_stable = F.upper(F.trim("token")).isin(*stable) | F.trim("mint").isin(*stable_mints)
+    fixed = balances.filter(is_stable).select("mint").distinct().withColumn("usd_price", F.lit(1.0))
     currency = F.upper(F.trim(F.coalesce("currency", F.lit("USD"))))
-    valid = prices.filter((F.col("price") >= 0) & currency.isin(*DOLLAR_CURRENCIES))
-    known = valid.select(F.trim("mint").alias("_mint"), F.col("price").cast("double").alias("_price"))
-    is_stable = F.upper(F.trim("token")).isin(*stable)
+    fetched = prices.filter((F.col("price") >= 0) & currency.isin(*DOLLAR_CURRENCIES)).select(
+        F.trim("mint").alias("mint"), F.col("price").cast("double").alias("usd_price")
+    )
+    return fixed.unionByName(fetched.join(fixed, "mint", "left_anti"))
+
+
+def price_balances(
+    balances: DataFrame,
+    prices: DataFrame,
+    stable: Sequence[str] = STABLE_TOKENS,
+    stable_mints: Sequence[str] = STABLE_MINTS,
+) -> DataFrame:
+    """Add usd_price and usd_value to balances with a numeric amount and a known price."""
+    known = mint_prices(balances, prices, stable, stable_mints)
     amount = F.col("ui_amount").try_cast("double")
     return (
-        balances.join(known, balances["mint"] == F.col("_mint"), "left")
-        .withColumn("usd_price", F.when(is_stable, F.lit(1.0)).otherwise(F.col("_price")))
+        balances.join(known, "mint", "left")
         .withColumn("usd_value", F.round(amount * F.col("usd_price"), 6))
         .withColumn("usd_price", F.when(amount.isNotNull(), F.col("usd_price")))
-        .drop("_mint", "_price")
     )
 
 

@@ -140,27 +140,45 @@ def resolve_targets(
             "config_id",
         )
         .select(
-            "organization_id", "wallet_id", "custody_wallet_id", "wallet_project_id",
-            F.col("created_at").alias("_created"),
+            "organization_id",
+            "wallet_id",
+            F.col("wallet_project_id").alias("project_id"),
+            F.struct("custody_wallet_id", "wallet_project_id").alias("wallet"),
+            "created_at",
         )
-    )
-    counts = permissions.groupBy("api_key_id").agg(F.count(F.lit(1)).alias("endpoint_binding_count"))
-    rank = (
-        F.when(F.col("wallet_project_id") == F.col("project_id"), 0)
-        .when(F.col("wallet_project_id").isNull(), 1)
-        .otherwise(2)
-    )
-    best = first_per_group(
-        requests.distinct().join(keys, "api_key_id").join(held, ["organization_id", "wallet_id"]),
-        ["api_key_id", "wallet_id"],
-        [rank, F.col("_created").desc(), F.col("custody_wallet_id")],
     )
+    newest = [F.col("created_at").desc(), F.col("wallet.custody_wallet_id")]
+
+    def best(candidates: DataFrame, keys: list[str], alias: str) -> DataFrame:
+        return first_per_group(candidates, keys, newest).select(*keys, F.col("wallet").alias(alias))
+
+    place = ["organization_id", "wallet_id"]
+    of_project = held.filter(F.col("project_id").isNotNull())
+    own = best(of_project, [*place, "project_id"], "_own")
+    shared = best(held.filter(F.col("project_id").isNull()), place, "_shared")
+    other = best(of_project, place, "_other")
+    counts = permissions.groupBy("api_key_id").agg(F.count(F.lit(1)).alias("endpoint_binding_count"))
     allowed = permissions.select("api_key_id", "wallet_id", "permission_id")
     return (
-        best.drop("_created")
+        requests.distinct()
+        .join(keys, "api_key_id")
+        .join(own, [*place, "project_id"], "left")
+        .join(shared, place, "left")
+        .join(other, place, "left")
+        .withColumn("_wallet", F.coalesce("_own", "_shared", "_other"))
+        .filter(F.col("_wallet").isNotNull())
         .join(counts, "api_key_id", "left")
         .join(allowed, ["api_key_id", "wallet_id"], "left")
-        .withColumn("endpoint_binding_count", F.coalesce("endpoint_binding_count", F.lit(0)))
+        .select(
+            "api_key_id",
+            "organization_id",
+            "project_id",
+            "wallet_id",
+            "_wallet.custody_wallet_id",
+            "_wallet.wallet_project_id",
+            F.coalesce("endpoint_binding_count", F.lit(0)).alias("endpoint_binding_count"),
+            "permission_id",
+        )
     )
 
 

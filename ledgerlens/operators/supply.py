@@ -87,6 +87,7 @@ def dashboard(supply: DataFrame, network: DataFrame) -> DataFrame:
     return (
         latest_per_symbol(supply)
         .withColumn("network", row.scalar())
+        .filter(F.col("network").isNotNull())
         .select("symbol", "mint", "ui_supply", "network.total_sol_supply", "network.tps", "scraped_at")
     )
 

@@ -123,6 +123,7 @@ def test_balances(spark):
         ("w3", "", "m2", "5", "0.05", 2),
         ("w4", "m2", "m2", "bad", "x", 2),
         ("w5", "SOL", "m3", "7", "0.000000007", 9),
+        ("w6", "", "m1", "1", "0.5", 6),
     ]
     held = spark.createDataFrame(rows, schema)
     prices = spark.createDataFrame(
@@ -130,13 +131,13 @@ def test_balances(spark):
     )
     names = spark.createDataFrame([("m2", " TWO "), ("m3", "X")], "mint string, symbol string")
     assert [r["token"] for r in balances.fill_symbols(held, names).orderBy("wallet_id").collect()] == [
-        "USDC", "USDC", "TWO", "TWO", "SOL",
+        "USDC", "USDC", "TWO", "TWO", "SOL", "",
     ]
     priced = balances.price_balances(held, prices)
     got = {r["wallet_id"]: (r["usd_price"], r["usd_value"]) for r in priced.collect()}
-    assert got == {"w1": (1.0, 1.000001), "w2": (1.0, 1.0), "w3": (2.0, 0.1), "w4": (None, None), "w5": (None, None)}
+    assert got == {"w1": (1.0, 1.000001), "w2": (1.0, 1.0), "w3": (2.0, 0.1), "w4": (None, None), "w5": (None, None), "w6": (1.0, 0.5)}
     totals = {r["mint"]: (r["amount"], r["ui_amount"]) for r in balances.total_per_mint(held).collect()}
-    assert totals["m1"] == ("340282366921938464", "340282366921.938464") and totals["m2"] == ("5", "0.05")
+    assert totals["m1"] == ("340282366921938465", "340282366921.938465") and totals["m2"] == ("5", "0.05")
     assert balances.total_value(priced.filter("mint = 'm3'")).first()[0] is None
     assert [r["reason"] for r in balances.malformed_amounts(held).collect()] == ["amount"]
     assert [r["mint"] for r in balances.listed_balances(balances.valid_total_per_mint(priced)).collect()] == ["m1", "m2"]
