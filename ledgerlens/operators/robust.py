@@ -7,7 +7,7 @@ goes through :func:`ordered_prefix`, so a hot group is sorted by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.skew import (
@@ -51,21 +51,34 @@ def _counted(series: DataFrame) -> DataFrame:
     )
 
 
-def _centre(counted: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Median and median absolute deviation per series."""
-    by_value = ordered_prefix(counted, ["series"], "value", {"n": F.col("n")}, hot)
-    medians = by_value.groupBy("series").agg(
-        middle_value("value").alias("centre"), F.sum("n").alias("samples")
-    )
+def _with_centre(counted: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Add samples, median (centre) and median absolute deviation (mad) of the series to its distinct values."""
+    count = {"n": F.col("n")}
+    ranked = ordered_prefix(counted, ["series"], "value", count, hot)
+    deviation = F.abs(F.col("value") - F.col("centre"))
+    if hot is None:
+        # Both medians are windows over rows that are already together: one shuffle by series in all.
+        whole = Window.partitionBy("series")
+        centred = ranked.select(
+            *counted.columns,
+            F.col("n_total").alias("samples"),
+            middle_value("value", over=whole).alias("centre"),
+        ).withColumn("deviation", deviation)
+        spread = ordered_prefix(centred, ["series"], "deviation", count, hot)
+        return spread.select(
+            *counted.columns, "samples", "centre", middle_value("deviation", over=whole).alias("mad")
+        )
+    medians = ranked.groupBy("series").agg(middle_value("value").alias("centre"), F.sum("n").alias("samples"))
     medians = settle(medians, hot, "medians")
     deviations = (
         join_group_values(counted, medians, ["series"], hot)
-        .groupBy("series", F.abs(F.col("value") - F.col("centre")).alias("deviation"))
+        .groupBy("series", deviation.alias("deviation"))
         .agg(F.sum("n").alias("n"))
     )
-    by_deviation = ordered_prefix(deviations, ["series"], "deviation", {"n": F.col("n")}, hot)
+    by_deviation = ordered_prefix(deviations, ["series"], "deviation", count, hot)
     mads = by_deviation.groupBy("series").agg(middle_value("deviation").alias("mad"))
-    return settle(medians.join(mads, "series"), hot, "centres")
+    centres = settle(medians.join(mads, "series"), hot, "centres")
+    return join_group_values(counted, centres, ["series"], hot)
 
 
 def _is_outlier(threshold: float) -> Column:
@@ -86,7 +99,8 @@ def flag_outliers(
     """Every observation with ``is_outlier``; nothing is flagged below four values or without spread."""
     series = _series(rows, key, value, at)
     hot = find_hot(series, ["series"], hot_rows)
-    scored = join_group_values(series, _centre(_counted(series), hot), ["series"], hot)
+    centres = _with_centre(_counted(series), hot).select("series", "samples", "centre", "mad").distinct()
+    scored = join_group_values(series, settle(centres, hot, "centres"), ["series"], hot)
     return scored.select(
         F.col("series").alias(key), "value", "at", "centre", "mad", _is_outlier(threshold).alias("is_outlier")
     )
@@ -212,12 +226,10 @@ def robust_summary(
     """
     series = _series(rows, key, value, at)
     hot = find_hot(series, ["series"], hot_rows)
-    counted = _counted(series)
-    centre = _centre(counted, hot)
     drop = _is_outlier(threshold) if remove_outliers else F.lit(False)
 
     profile = (
-        join_group_values(counted, centre, ["series"], hot)
+        _with_centre(_counted(series), hot)
         .withColumn("dropped", drop)
         .groupBy("series", "centre", "mad", "samples")
         .agg(

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType
 
@@ -169,13 +169,17 @@ def ordered_prefix(
     return joined.drop(*hidden)
 
 
-def middle_value(value: str, count: str = "n") -> Column:
-    """Aggregate giving the exact median from distinct values with ``count``, ``count_before``, ``count_total``."""
+def middle_value(value: str, count: str = "n", over: WindowSpec | None = None) -> Column:
+    """Aggregate giving the exact median from distinct values with ``count``, ``count_before``, ``count_total``.
+
+    With ``over`` it is added to every row of the group instead.
+    """
     start, size, total = F.col(f"{count}_before"), F.col(count), F.col(f"{count}_total")
     low, high = F.floor((total - 1) / 2), F.floor(total / 2)
 
     def at(position: Column) -> Column:
-        return F.max(F.when((start <= position) & (position < start + size), F.col(value)))
+        found = F.max(F.when((start <= position) & (position < start + size), F.col(value)))
+        return found if over is None else found.over(over)
 
     return (at(low) + at(high)) / 2
 

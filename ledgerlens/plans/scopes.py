@@ -195,9 +195,8 @@ def _custody(spark, folder):
         F.when(key % 8 == 0, "closed").otherwise("active").alias("status"),
     )
     part = F.col("p_partkey")
-    suppliers = adapters.table(spark, folder, "supplier").agg(F.count(F.lit(1))).scalar()
     wallets = adapters.table(spark, folder, "part").select(
-        (part % suppliers).alias("config_id"),
+        (part % 10).alias("config_id"),
         F.concat(F.lit("w"), (F.floor(part / 7) % 12).cast("string")).alias("wallet_id"),
         part.alias("custody_wallet_id"),
         F.when(part % 6 == 0, "inactive").otherwise("active").alias("status"),
@@ -496,7 +495,7 @@ QUERIES = {
           SELECT s_suppkey AS config_id, s_nationkey AS organization_id, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 4 END
                  AS project_id FROM supplier WHERE s_suppkey % 8 <> 0),
         wallets AS (
-          SELECT p_partkey % (SELECT count(*) FROM supplier) AS config_id, 'w' || (p_partkey // 7) % 12 AS wallet_id,
+          SELECT p_partkey % 10 AS config_id, 'w' || (p_partkey // 7) % 12 AS wallet_id,
                  p_partkey, p_size FROM part WHERE p_partkey % 6 <> 0),
         hits AS (
           SELECT c_custkey AS api_key_id, w.wallet_id, w.p_partkey AS custody_wallet_id, c.project_id AS wallet_project_id,

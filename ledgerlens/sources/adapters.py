@@ -346,10 +346,9 @@ POLICIES = [
 
 
 def policies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        POLICIES,
-        "scope string, scope_id string, profile_id string, revision_id string, default_action string, rules string",
-    )
+    names = ["scope", "scope_id", "profile_id", "revision_id", "default_action", "rules"]
+    rows = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, row)]) for row in POLICIES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def balances(spark: SparkSession, folder: str) -> DataFrame:
