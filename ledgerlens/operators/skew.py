@@ -190,14 +190,18 @@ def exact_medians(
     value: str,
     alias: str = "median",
     hot_rows: int = HOT_GROUP_ROWS,
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact median of ``value`` per group, without holding a group in one task's memory.
 
-    Equal values are counted before anything is sorted, so copies of one value cost one row.
+    Equal values are counted before anything is sorted, so copies of one value cost one row.  A group
+    without values has a null median.  ``extra`` adds aggregates over the distinct values ``_value`` and their
+    counts ``n``.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_value"))
     hot = find_hot(rows, keys, hot_rows)
-    counted = rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy(*keys, "_value").agg(F.count("_value").alias("n"))
     ranked = ordered_prefix(counted, keys, "_value", {"n": F.col("n")}, hot)
-    return ranked.groupBy(*keys).agg(middle_value("_value").alias(alias))
+    more = [column.alias(name) for name, column in (extra or {}).items()]
+    return ranked.groupBy(*keys).agg(middle_value("_value").alias(alias), *more)

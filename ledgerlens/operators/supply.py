@@ -47,14 +47,13 @@ def daily_average(supply: DataFrame) -> DataFrame:
 
 
 def daily_spread(supply: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Exact median, mean, lowest and highest supply per symbol and day."""
-    keys = ["symbol", "date"]
-    sums = supply.groupBy(*keys).agg(
-        F.avg("ui_supply").alias("mean_supply"),
-        F.min("ui_supply").alias("min_supply"),
-        F.max("ui_supply").alias("max_supply"),
-    )
-    return exact_medians(supply, keys, "ui_supply", "median_supply", hot_rows).join(sums, keys)
+    """Exact median, mean, lowest and highest supply per symbol and day, from one pass."""
+    extra = {
+        "mean_supply": F.try_divide(F.sum(F.col("_value") * F.col("n")), F.sum("n")),
+        "min_supply": F.min("_value"),
+        "max_supply": F.max("_value"),
+    }
+    return exact_medians(supply, ["symbol", "date"], "ui_supply", "median_supply", hot_rows, extra)
 
 
 def network_daily(network: DataFrame) -> DataFrame:

@@ -103,9 +103,10 @@ def test_options(spark, series):
 def test_exact_medians(spark, hot_rows):
     rng = np.random.default_rng(3)
     values = {"a": rng.normal(0, 1, 900), "b": rng.integers(0, 3, 200).astype(float), "c": np.array([2.0, 5.0])}
-    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("c", None)]
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("c", None), ("d", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     got = {r["k"]: r["median"] for r in skew.exact_medians(df, ["k"], "v", hot_rows=hot_rows).collect()}
+    assert got.pop("d") is None
     assert got == {k: pytest.approx(np.median(v)) for k, v in values.items()}
 
 
