@@ -18,8 +18,9 @@ from pyspark.sql.types import DataType, DecimalType
 
 from ledgerlens.session import shared_dir
 
-#: A group up to this size is sorted by one task.
-HOT_GROUP_ROWS = 5_000_000
+#: A group up to this size is sorted by one task, spilling as needed.  A table of 10**12 rows has at most 20 000
+#: larger groups, so their split points (8 KB each) take at most 160 MB to broadcast.
+HOT_GROUP_ROWS = 50_000_000
 
 #: A hot group is cut into COARSE * COARSE value ranges, found by two short scans of COARSE split points.
 COARSE = 32

@@ -329,7 +329,7 @@ QUERIES = {
 }
 
 QUERIES["a27_key_figures"] = (a27_key_figures, over("supply_snapshots holder_rows token_registry", _ENTRIES + """
-    SELECT round(sum(market_cap_usd), 4) AS total_market_cap, sum(holder_count) AS total_holders,
+    SELECT round(sum(market_cap_usd), 4) AS total_market_cap, CAST(sum(holder_count) AS BIGINT) AS total_holders,
            round(avg(median_balance), 6) AS avg_balance FROM entries"""))
 QUERIES["a26_insights"] = (a26_insights, over(
     "supply_snapshots holder_rows token_registry wallet_labels", _ENTRIES + "," + _REGIONS.strip()[4:] + """

@@ -60,7 +60,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN n_regionkey = 0 THEN 'Unknown' ELSE n_name END AS geography,
                CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE lower(c_mktsegment) END AS attribution_category,
                'analytics' AS source,
-               CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.9 END AS confidence,
+               CAST(CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence,
                CASE WHEN c_custkey % 3 = 0 THEN 'helius+static' ELSE 'helius' END AS source_detail,
                c_custkey
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",

@@ -19,7 +19,7 @@ def column(spark, values, type_, function):
 def test_base_units(spark):
     values = ["0", "1", "42", "1.23", "0.5", ".5", "1.2345678", "5.", ".", "", "1.2.3", "-1", "a", None, " 7 "]
     got = column(spark, values, "string", lambda c: amounts.to_base_units(c, F.lit(6)))
-    expected = [0, 1_000_000, 42_000_000, 1_230_000, 500_000, 500_000, None, 5_000_000]
+    expected = [0, 1_000_000, 42_000_000, 1_230_000, 500_000, 500_000, None, 50_000_000]
     assert got == [*expected, None, None, None, None, None, None, 7_000_000]
 
 

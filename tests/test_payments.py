@@ -67,7 +67,7 @@ def test_batch_status(spark):
     assert all(r["batch_id"] == r["status"] for r in got) and len(got) == 4
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 10])
+@pytest.mark.parametrize("hot_rows", [50_000_000, 10])
 def test_chunks_of_twenty(spark, hot_rows):
     rows = [(b, i, f"r{i}", 10**20) for b, n in (("a", 20), ("b", 21), ("c", 95)) for i in range(n)]
     df = spark.createDataFrame(
@@ -111,7 +111,7 @@ def test_running_spend_counts_instants_in_id_order(spark):
 def test_removable_keeps_the_last_wallet(spark):
     rows = [("c1", "a", "active"), ("c1", "b", "active"), ("c2", "c", "active"), ("c2", "d", "inactive")]
     df = spark.createDataFrame(rows, "config_id string, wallet_id string, status string")
-    for hot_rows in (5_000_000, 1):
+    for hot_rows in (50_000_000, 1):
         assert {r["wallet_id"] for r in scopes.removable(df, hot_rows).collect()} == {"a", "b"}
 
 

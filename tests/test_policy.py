@@ -131,7 +131,7 @@ def test_wallet_limits(spark):
     assert got["v"]["destination_allowlist"] == [] and got["u"]["max_daily_amount"] is None
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 2])
+@pytest.mark.parametrize("hot_rows", [50_000_000, 2])
 def test_check_limits(spark, hot_rows):
     def transfer(i, minute, amount, to="a", status="confirmed", wallet="w", direction="outbound"):
         return (f"t{i}", wallet, "USDC", direction, status, amount, to, DAY + timedelta(minutes=minute))

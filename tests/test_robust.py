@@ -71,7 +71,7 @@ def series():
     return rows
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 30])
+@pytest.mark.parametrize("hot_rows", [50_000_000, 30])
 def test_summary_equals_numpy(spark, series, hot_rows):
     df = spark.createDataFrame(series, "symbol string, ui_supply double, scraped_at timestamp")
     got = {r["symbol"]: r.asDict() for r in robust.robust_summary(df, hot_rows=hot_rows).collect()}
@@ -99,7 +99,7 @@ def test_options(spark, series):
     assert robust.robust_summary(df, strict_reference=True).first()["outliers_removed"] == 0
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 50])
+@pytest.mark.parametrize("hot_rows", [50_000_000, 50])
 def test_exact_medians(spark, hot_rows):
     rng = np.random.default_rng(3)
     values = {"a": rng.normal(0, 1, 900), "b": rng.integers(0, 3, 200).astype(float), "c": np.array([2.0, 5.0])}
@@ -110,7 +110,7 @@ def test_exact_medians(spark, hot_rows):
     assert got == {k: pytest.approx(np.median(v)) for k, v in values.items()}
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 40])
+@pytest.mark.parametrize("hot_rows", [50_000_000, 40])
 def test_ordered_prefix(spark, hot_rows):
     """One group holds most rows, a third of them at one instant."""
     rng = np.random.default_rng(5)
@@ -131,7 +131,7 @@ def test_ordered_prefix(spark, hot_rows):
     assert all((r["a_total"], r["n_total"]) == seen[r["k"]] for r in found)
 
 
-@pytest.mark.parametrize("hot_rows", [5_000_000, 10])
+@pytest.mark.parametrize("hot_rows", [50_000_000, 10])
 def test_join_group_values(spark, hot_rows):
     rows = spark.createDataFrame([("a", 1)] * 50 + [("b", 2), ("c", 3)], "k string, n int")
     values = spark.createDataFrame([("a", 10), ("b", 20)], "k string, v int")

@@ -152,7 +152,7 @@ def test_payloads(spark):
     votes = frame({"current": [{"nodePubkey": f"n{i}", "activatedStake": str(i)} for i in range(30)], "delinquent": [{}]})
     fallback = landed.whales(frame(), votes, NOW).orderBy("rank").collect()
     assert [r["address"] for r in fallback[:2]] == ["n29", "n28"] and len(fallback) == 20
-    listed = landed.whales(frame([{"address": "a", "lamports": 5_000_000_000}]), votes, NOW).collect()
+    listed = landed.whales(frame([{"address": "a", "lamports": 50_000_000_000}]), votes, NOW).collect()
     assert [(r["address"], r["ui_balance"], r["source"]) for r in listed] == [("a", 5.0, "rpc")]
     assert {r["status"] for r in landed.validators(votes, NOW).collect()} == {"current", "delinquent"}
     runs = spark.createDataFrame(
