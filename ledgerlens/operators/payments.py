@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.amounts import UNITS, parse_decimal
 from ledgerlens.functions.documents import appended, field, merged
 from ledgerlens.functions.text import title_case
-from ledgerlens.functions.times import moment, plus_hours, utc_day
+from ledgerlens.functions.times import moment, plus_hours
 from ledgerlens.operators.listing import waiting_since
 from ledgerlens.operators.ordering import first_overall, first_per_group
 from ledgerlens.operators.skew import HOT_GROUP_ROWS, find_hot, never_null, ordered_prefix
