@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe
+from ledgerlens.llm import bpe, line_dedup, packing, topk
 from ledgerlens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,62 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of at most 1024 tokens."""
+    return packing.pack(read_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), length=1024)
+
+
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    vectors = read_table(spark, folder, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
+
+
+OP8_SQL = """
+WITH usable AS (
+    SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source."""
+    cleaned = line_dedup.drop_boilerplate(read_table(spark, folder, "documents"), host="source")
+    return cleaned.select("doc_id", "source", "text", "n_dropped")
+
+
+OP10_SQL = f"""
+WITH lines AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents
+), totals AS (
+    SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source
+), found AS (
+    SELECT source, trim(line) AS line FROM lines JOIN totals USING (source) WHERE trim(line) <> ''
+    GROUP BY source, trim(line)
+    HAVING count(DISTINCT doc_id) >= {line_dedup.LEAST_PAGES} AND count(DISTINCT doc_id) > {line_dedup.RATIO} * any_value(pages)
+), judged AS (
+    SELECT doc_id, lines.line, place, found.line IS NOT NULL AS dropped
+    FROM lines LEFT JOIN found ON lines.source = found.source AND trim(lines.line) = found.line
+), rest AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped) AS text,
+           count(*) FILTER (dropped) AS n_dropped FROM judged GROUP BY doc_id
+)
+SELECT documents.doc_id, source, CASE WHEN n_dropped > 0 THEN coalesce(rest.text, '') ELSE documents.text END AS text,
+       coalesce(n_dropped, 0) AS n_dropped
+FROM documents LEFT JOIN rest ON documents.doc_id = rest.doc_id
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op2_packing": (op2_packing, None),
     "op7_bpe": (op7_bpe, None),
+    "op8_topk": (op8_topk, OP8_SQL),
+    "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
