@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, line_dedup, packing, topk
+from ledgerlens.llm import bpe, line_dedup, packing, simhash, topk
 from ledgerlens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, folder, "documents"), shingle=3, distance=3, seed=42)
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe.round_trip(read_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
@@ -76,6 +81,7 @@ FROM documents LEFT JOIN rest ON documents.doc_id = rest.doc_id
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_packing": (op2_packing, None),
+    "op4_simhash": (op4_simhash, None),
     "op7_bpe": (op7_bpe, None),
     "op8_topk": (op8_topk, OP8_SQL),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
