@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, line_dedup, packing, simhash, topk
+from ledgerlens.llm import bpe, html_extract, license_scan, line_dedup, packing, simhash, topk
 from ledgerlens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan.scan(read_table(spark, folder, "documents"), containment=0.8)
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, folder, "documents"), shingle=3, distance=3, seed=42)
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read_table(spark, folder, "pages"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe.round_trip(read_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
@@ -81,7 +91,9 @@ FROM documents LEFT JOIN rest ON documents.doc_id = rest.doc_id
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_packing": (op2_packing, None),
+    "op3_license_scan": (op3_license_scan, license_scan.scan_sql(0.8)),
     "op4_simhash": (op4_simhash, None),
+    "op5_html_extraction": (op5_html_extraction, None),
     "op7_bpe": (op7_bpe, None),
     "op8_topk": (op8_topk, OP8_SQL),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
