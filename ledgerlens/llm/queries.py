@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, html_extract, license_scan, line_dedup, packing, simhash, topk
-from ledgerlens.llm.common import read_table
+from ledgerlens.llm import bpe, html_extract, language_id, license_scan, line_dedup, packing, simhash, topk
+from ledgerlens.llm.common import held_back, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,13 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learnt from the rows that are not held out."""
+    held_out = held_back(F.col("doc_id"), parts=4, part=2)
+    documents = read_table(spark, folder, "documents").withColumn("held_out", held_out)
+    return language_id.identify(documents, ~held_out, keep=["doc_id", "held_out"])
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most 1024 tokens."""
     return packing.pack(read_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), length=1024)
@@ -90,6 +97,7 @@ FROM documents LEFT JOIN rest ON documents.doc_id = rest.doc_id
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_language_id": (op1_language_id, None),
     "op2_packing": (op2_packing, None),
     "op3_license_scan": (op3_license_scan, license_scan.scan_sql(0.8)),
     "op4_simhash": (op4_simhash, None),
