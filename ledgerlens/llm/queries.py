@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, html_extract, language_id, license_scan, line_dedup, packing, simhash, topk
+from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, packing, simhash, topk
 from ledgerlens.llm.common import held_back, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(read_table(spark, folder, "pages"))
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_edits(read_table(spark, folder, "documents"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe.round_trip(read_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
@@ -102,6 +107,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_license_scan": (op3_license_scan, license_scan.scan_sql(0.8)),
     "op4_simhash": (op4_simhash, None),
     "op5_html_extraction": (op5_html_extraction, None),
+    "op6_fingerprints": (op6_fingerprints, None),
     "op7_bpe": (op7_bpe, None),
     "op8_topk": (op8_topk, OP8_SQL),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
