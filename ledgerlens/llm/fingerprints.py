@@ -166,8 +166,9 @@ def fingerprint_edits(documents: DataFrame, least: float = LEAST_SHARE, most: fl
     prepared = numbered.select(
         *carried[:6], F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_whole"), sides.alias("sides")
     )
-    halves = prepared.select(*carried, F.explode("sides").alias("side"))
-    words = halves.select(*carried, "side.of_edited", F.explode("side.words").alias("word"))
+    # The outer form, as the inner one adds a filter that works all words out again; no array is empty.
+    halves = prepared.select(*carried, F.explode_outer("sides").alias("side"))
+    words = halves.select(*carried, "side.of_edited", F.explode_outer("side.words").alias("word"))
     kept = words.join(F.broadcast(lexicon.union(lexicon.sparkSession.range(1).select(anchor))), "word")
     # The rows of a document lie in its bucket already: no further shuffle.
     gathered = kept.groupBy(*carried).agg(
