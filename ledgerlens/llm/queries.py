@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, packing, simhash, topk
+from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_score, packing, simhash, topk
 from ledgerlens.llm.common import held_back, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,12 @@ FROM scored QUALIFY rank <= 20
 """
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Katz scores of all documents, learnt from nine in ten."""
+    documents = read_table(spark, folder, "documents")
+    return lm_score.score_texts(documents, held_back(F.col("doc_id"), parts=10, part=0))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
     cleaned = line_dedup.drop_boilerplate(read_table(spark, folder, "documents"), host="source")
@@ -110,5 +116,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op6_fingerprints": (op6_fingerprints, None),
     "op7_bpe": (op7_bpe, None),
     "op8_topk": (op8_topk, OP8_SQL),
+    "op9_lm_scoring": (op9_lm_scoring, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
 }
