@@ -24,19 +24,30 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names, so a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, a folder of the warehouse is used.
+    Only where it is unset, as in tests, a folder of the warehouse is used.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so that a lost executor costs no recomputation of what led here."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        named = conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where the table already has such a column."""
     taken = {c.lower() for c in df.columns}

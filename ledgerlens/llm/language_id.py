@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import cut_lineage, slices
+from ledgerlens.llm.common import cut_lineage, fresh, slices
 
 #: Documents per language that are drawn for fitting (expected number), and the part of them used for calibration.
 SAMPLE, CALIBRATION = 800, 0.25
@@ -253,7 +253,7 @@ class Calibration:
 
 def draw_sample(documents: DataFrame, learn: Column, size: int) -> DataFrame:
     """About ``size`` labelled documents of every language, drawn by a hash of the id: text, lang, calibrate."""
-    rows = documents.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = documents.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return rows.select("text", "lang", F.lit(False).alias("calibrate")).limit(0)
@@ -318,27 +318,35 @@ def train(documents: DataFrame, learn: Column, order: int = ORDER, size: int = S
     return models, Calibration.fit(bits, np.array([r["signs"] for r in rows], float), truth, models.signs)
 
 
-def identify(documents: DataFrame, learn: Column, order: int = ORDER, size: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
+def identify(
+    documents: DataFrame,
+    learn: Column,
+    order: int = ORDER,
+    size: int = SAMPLE,
+    keep: list[str] | None = None,
+    verdict: str = "rejected",
+) -> DataFrame:
     """The language of every whole text.
 
     ``learn`` says which rows may be learnt from; their ``lang`` is used for nothing else.  The result has the columns
-    of ``keep`` (doc_id by default), then lang_pred, score (0 to 1), rejected.  A null text, or one without a letter, is
+    of ``keep`` (doc_id by default), then lang_pred, score (0 to 1), and ``verdict``: whether it is rejected.  A null text, or one without a letter, is
     ``und`` with score 0 and rejected; so is every text if no labelled row may be learnt from.  Repeated rows give
     repeated rows.  A kept column with the name of a result is replaced by it.
     """
-    trained = train(documents.select("doc_id", "text", "lang"), learn, order, size)
-    results = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
+    trained = train(documents, learn, order, size)
+    results = {"lang_pred": "string", "score": "double", verdict: "boolean"}
     kept = [c for c in (keep or ["doc_id"]) if c not in results]
     if trained is None:
-        return documents.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return documents.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias(verdict))
     shared = documents.sparkSession.sparkContext.broadcast(trained)
-    rows = documents.select(*kept, F.col("text").cast("string").alias("text_to_judge"))
+    judged = fresh(documents, "text_to_judge")[0]
+    rows = documents.select(*kept, F.col("text").cast("string").alias(judged))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, calibration = shared.value
         scorer, names = Scorer(models), np.array(models.languages, object)
-        for batch in slices(batches, "text_to_judge"):
-            entropies, signs = scorer.entropies(batch.column("text_to_judge"))
+        for batch in slices(batches, judged):
+            entropies, signs = scorer.entropies(batch.column(judged))
             pick, score, rejected = calibration.judge(entropies, signs)
             none = signs == 0
             predicted = np.where(none, UNKNOWN, names[pick])
