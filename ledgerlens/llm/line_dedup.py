@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import fresh
+from ledgerlens.llm.common import cut_lineage, fresh
 
 #: A line is boilerplate when more than this share of the pages of its host contain it.
 RATIO = 0.1
@@ -18,6 +18,9 @@ RATIO = 0.1
 #: ... and at least this many pages do: on a host with few pages a share says nothing.
 LEAST_PAGES = 5
 
+#: Hashes and hosts that are sent to every task at most (16 MB); beyond that pages and lines are shuffled, salted.
+BROADCAST_HASHES, SALTS = 1_000_000, 64
+
 
 def line_keys(text: Column) -> Column:
     """Hashes of the lines of a text that hold anything, in order."""
@@ -49,20 +52,34 @@ def boilerplate(
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+    pages: DataFrame,
+    host: str = "source",
+    text: str = "text",
+    ratio: float = RATIO,
+    least_pages: int = LEAST_PAGES,
+    count: str | None = "n_dropped",
 ) -> DataFrame:
-    """Every page with its boilerplate lines taken out of ``text``, and how many lines went in ``n_dropped``.
+    """Every page with its boilerplate lines taken out of ``text``, and how many lines went in the column ``count``.
 
     Lines are compared without surrounding blanks; blank lines are never boilerplate and stay.  A null text stays null,
     an empty one empty; pages with a null host belong to no site and keep their lines.  Repeated rows are pages of their
-    own and stay repeated.  Other columns stay as they are; one named ``n_dropped`` is replaced.
+    own and stay repeated.  Other columns stay as they are; one named like ``count`` is replaced.  Without ``count`` the
+    columns are those of the pages.
     """
-    on, drop = fresh(pages, "host", "lines_to_drop")
-    found = boilerplate(pages, host, text, ratio, least_pages).toDF(on, drop)
-    kept = [c for c in pages.columns if c != "n_dropped"]
-    joined = pages.join(found, F.col(host) == F.col(on), "left")
+    on, drop, salt = fresh(pages, "host", "lines_to_drop", "salt")
+    found = cut_lineage(boilerplate(pages, host, text, ratio, least_pages).toDF(on, drop))
+    kept = [c for c in pages.columns if c != count]
+    hashes = found.agg(F.sum(F.size(drop)), F.count(F.lit(1))).first()
+    if (hashes[0] or 0) + hashes[1] <= BROADCAST_HASHES:
+        joined = pages.join(F.broadcast(found), F.col(host) == F.col(on), "left")
+    else:
+        # Too many hosts to send to every task: the pages of a host are dealt to SALTS tasks, each with its lines.
+        copies = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = pages.withColumn(salt, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(copies.withColumnRenamed(salt, f"{salt}_of"), (F.col(host) == F.col(on)) & (F.col(salt) == F.col(f"{salt}_of")), "left")
     lines = F.split(F.col(text), "\n", -1)
     rest = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col(drop), F.xxhash64(F.trim(line))))
     dropped = F.when(F.col(drop).isNotNull() & F.col(text).isNotNull(), F.size(lines) - F.size(rest)).otherwise(0)
     cleaned = F.when(dropped > 0, F.array_join(rest, "\n")).otherwise(F.col(text)).alias(text)
-    return joined.select(*[cleaned if c == text else F.col(c) for c in kept], dropped.cast("bigint").alias("n_dropped"))
+    told = [dropped.cast("bigint").alias(count)] if count else []
+    return joined.select(*[cleaned if c == text else F.col(c) for c in kept], *told)
