@@ -28,14 +28,14 @@ VOCABULARY = "byte_bpe_50k.json"
 def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language of the labelled documents; null texts and texts without a letter go."""
     learn = ~held_back(F.col("doc_id"), parts=4, part=2)
-    (verdict,) = fresh(docs, "rejected")
-    judged = language_id.identify(docs, learn, keep=docs.columns, verdict=verdict)
-    return judged.filter(~F.col(verdict)).select(*docs.columns)
+    names = fresh(docs, "lang_pred", "score", "rejected")
+    judged = language_id.identify(docs, learn, keep=docs.columns, names=names)
+    return judged.filter(~F.col(names[2])).select(*docs.columns)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; no document goes."""
-    return line_dedup.drop_boilerplate(docs, host="source").select(*docs.columns)
+    return line_dedup.drop_boilerplate(docs, host="source", count=None)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

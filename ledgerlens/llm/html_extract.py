@@ -157,8 +157,13 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     # Where the page names its article, only that is looked at.
     if any(inside for *_, inside in lines):
         lines = [line for line in lines if line[3]]
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]), sigma)
-    content = ratios >= min(share * ratios.std(), ratios.max())
+    ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    smooth = smoothed(ratios, sigma)
+    # A line must hold text itself: smoothing alone also lifts the links next to an article.
+    least = min(share * smooth.std(), smooth.max())
+    content = (smooth >= least) & (ratios >= min(least, ratios.max()))
+    if not content.any():
+        content = ratios == ratios.max()
     regions = {region for (_, _, region, _), kept in zip(lines, content) if kept}
     return "\n".join(text for text, _, region, _ in lines if region in regions)
 

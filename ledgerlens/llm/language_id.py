@@ -9,7 +9,7 @@ cross-entropy lies farther above the language's own texts than any calibration t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -252,13 +252,13 @@ class Calibration:
 
 
 def draw_sample(documents: DataFrame, learn: Column, size: int) -> DataFrame:
-    """About ``size`` labelled documents of every language, drawn by a hash of the id: text, lang, calibrate."""
+    """About ``size`` labelled documents of every language, drawn by a hash of the row: text, lang, calibrate."""
     rows = documents.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return rows.select("text", "lang", F.lit(False).alias("calibrate")).limit(0)
     share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, size / n))])
-    chance = lambda seed: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    chance = lambda seed: F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
     drawn = rows.filter(chance(1) < F.element_at(share, F.col("lang")))
     return drawn.select("text", "lang", (chance(2) < CALIBRATION).alias("calibrate"))
 
@@ -324,20 +324,22 @@ def identify(
     order: int = ORDER,
     size: int = SAMPLE,
     keep: list[str] | None = None,
-    verdict: str = "rejected",
+    names: Sequence[str] = ("lang_pred", "score", "rejected"),
 ) -> DataFrame:
     """The language of every whole text.
 
     ``learn`` says which rows may be learnt from; their ``lang`` is used for nothing else.  The result has the columns
-    of ``keep`` (doc_id by default), then lang_pred, score (0 to 1), and ``verdict``: whether it is rejected.  A null text, or one without a letter, is
+    of ``keep`` (doc_id by default), then those of ``names``: the language, a confidence from 0 to 1, and whether the text
+    is rejected.  A null text, or one without a letter, is
     ``und`` with score 0 and rejected; so is every text if no labelled row may be learnt from.  Repeated rows give
     repeated rows.  A kept column with the name of a result is replaced by it.
     """
     trained = train(documents, learn, order, size)
-    results = {"lang_pred": "string", "score": "double", verdict: "boolean"}
+    results = dict(zip(names, ("string", "double", "boolean")))
     kept = [c for c in (keep or ["doc_id"]) if c not in results]
     if trained is None:
-        return documents.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias(verdict))
+        nothing = (F.lit(UNKNOWN), F.lit(0.0), F.lit(True))
+        return documents.select(*kept, *[value.alias(name) for value, name in zip(nothing, names)])
     shared = documents.sparkSession.sparkContext.broadcast(trained)
     judged = fresh(documents, "text_to_judge")[0]
     rows = documents.select(*kept, F.col("text").cast("string").alias(judged))
