@@ -12,7 +12,10 @@ def field(document: Column, *path: str) -> Column:
 
 
 def merged(document: Column, extra: Column) -> Column:
-    """JSON object with the fields of ``extra`` (a map of JSON values) set; nested values are kept."""
+    """JSON object with the fields of ``extra`` (a map of JSON values) set; nested values are kept.
+
+    Null for text that is no JSON object: the caller decides what becomes of it.
+    """
     known = F.from_json(F.coalesce(document, F.lit("{}")), "map<string,variant>")
     added = F.from_json(extra, "map<string,variant>")
     kept = F.map_filter(known, lambda name, _: ~F.array_contains(F.map_keys(added), name))

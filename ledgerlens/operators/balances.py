@@ -10,7 +10,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import format_base_units, parse_decimal, parse_integer
+from ledgerlens.functions.amounts import (
+    LIMBS,
+    beyond_limbs,
+    finite_number,
+    format_base_units,
+    is_decimal_text,
+    limbs,
+    limbs_text,
+    parse_decimal,
+    parse_integer,
+)
 from ledgerlens.operators.ordering import first_overall, first_per_group
 
 # Currencies accepted as US dollars, stable tokens, native token, listing size.
@@ -74,7 +84,7 @@ def price_balances(
 ) -> DataFrame:
     """Add usd_price and usd_value to balances with a numeric amount and a known price."""
     known = mint_prices(balances, prices, stable, stable_mints)
-    amount = F.col("ui_amount").try_cast("double")
+    amount = finite_number(F.col("ui_amount"))
     return (
         balances.join(known, "mint", "left")
         .withColumn("usd_value", F.round(amount * F.col("usd_price"), 6))
@@ -111,7 +121,7 @@ def total_per_mint(balances: DataFrame) -> DataFrame:
 def valid_total_per_mint(balances: DataFrame) -> DataFrame:
     """Exact balance and dollar value per mint; rows with a malformed amount are dropped."""
     units = parse_integer(F.col("amount"))
-    sound = balances.filter(units.isNotNull() & F.col("ui_amount").try_cast("double").isNotNull())
+    sound = balances.filter(units.isNotNull() & finite_number(F.col("ui_amount")).isNotNull())
     sums = sound.groupBy("mint").agg(
         _first_row("token").alias("token"),
         _first_row("decimals").alias("decimals"),
@@ -124,15 +134,16 @@ def valid_total_per_mint(balances: DataFrame) -> DataFrame:
 def malformed_amounts(balances: DataFrame) -> DataFrame:
     """Rows the totals cannot use, with the reason."""
     bad_units = parse_integer(F.col("amount")).isNull()
-    bad_amount = F.col("ui_amount").try_cast("double").isNull()
+    bad_amount = finite_number(F.col("ui_amount")).isNull()
     return balances.withColumn(
         "reason", F.when(bad_units, "amount").when(bad_amount, "ui_amount")
     ).filter(F.col("reason").isNotNull())
 
 
 def total_value(balances: DataFrame) -> DataFrame:
-    """Dollar value of everything, null when nothing has a price."""
-    return balances.agg(F.sum("usd_value").alias("total_usd"))
+    """Dollar value of everything, null when nothing has a price; values that are not finite have none."""
+    finite = ~F.isnan("usd_value") & (F.abs("usd_value") < float("inf"))
+    return balances.agg(F.sum(F.when(finite, F.col("usd_value"))).alias("total_usd"))
 
 
 def listed_balances(balances: DataFrame) -> DataFrame:
@@ -167,7 +178,16 @@ def largest_account(accounts: DataFrame) -> DataFrame:
 
 
 def volume_since(transfers: DataFrame, start: Column) -> DataFrame:
-    """Sum of numeric amounts created at or after ``start``; null when there is none."""
-    return transfers.filter(F.col("created_at") >= start).agg(
-        F.sum(parse_decimal(F.col("amount"))).alias("volume")
+    """Sum of numeric amounts created at or after ``start``; null when there is none.
+
+    ``volume_text`` is the same sum for amounts of any usual length, exactly; ``unsummed`` counts the others.
+    """
+    amount = F.col("amount").cast("string")
+    sums = transfers.filter(F.col("created_at") >= start).agg(
+        F.sum(parse_decimal(F.col("amount"))).alias("volume"),
+        *[F.sum(part).alias(f"_{name}") for name, part in limbs(amount).items()],
+        F.count_if(is_decimal_text(amount)).alias("_valid"),
+        F.count_if(amount.isNotNull() & (~is_decimal_text(amount) | beyond_limbs(amount))).alias("unsummed"),
     )
+    text = F.when(F.col("_valid") > 0, limbs_text(*[F.col(f"_{name}") for name in LIMBS]))
+    return sums.select("volume", text.alias("volume_text"), "unsummed")

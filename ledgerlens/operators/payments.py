@@ -8,7 +8,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import UNITS, parse_decimal
+from ledgerlens.functions.amounts import (
+    LIMBS,
+    UNITS,
+    beyond_limbs,
+    decimal_order,
+    is_decimal_text,
+    limbs,
+    limbs_text,
+    parse_decimal,
+)
 from ledgerlens.functions.documents import appended, field, merged
 from ledgerlens.functions.text import title_case
 from ledgerlens.functions.times import moment, plus_hours
@@ -31,19 +40,34 @@ FEED_SIZE = 10
 
 
 def daily_spend(transfers: DataFrame) -> DataFrame:
-    """Exact amount per wallet, token, direction and UTC day over transfers that count."""
-    return (
+    """Exact amount per wallet, token, direction and UTC day over transfers that count.
+
+    ``spent`` is decimal text, null without a valid amount; ``unsummed`` counts amounts that are no decimal text or have
+    more digits than a sum keeps.
+    """
+    amount = F.col("amount").cast("string")
+    parts = limbs(amount)
+    sums = (
         transfers.filter(F.col("status").isin(*COUNTED_STATUSES))
         .groupBy("wallet_id", "token", "direction", F.to_date("created_at").alias("day"))
-        .agg(F.sum(parse_decimal(F.col("amount"))).alias("spent"))
+        .agg(
+            *[F.sum(part).alias(f"_{name}") for name, part in parts.items()],
+            F.count_if(is_decimal_text(amount)).alias("_valid"),
+            F.count_if(amount.isNotNull() & (~is_decimal_text(amount) | beyond_limbs(amount))).alias("unsummed"),
+        )
     )
+    spent = F.when(F.col("_valid") > 0, limbs_text(*[F.col(f"_{name}") for name in LIMBS]))
+    return sums.select("wallet_id", "token", "direction", "day", spent.alias("spent"), "unsummed")
 
 
 def with_running_spend(transfers: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Add ``spent_before``: what the wallet sent of the token earlier the same UTC day.
 
-    Transfers of one instant are taken in id order.
+    Transfers of one instant are taken in id order.  The columns ``_high_before``, ``_low_before`` and
+    ``_fraction_before`` hold the same sum in exact parts (:func:`spent_text`), and ``unsummed_before`` counts the
+    earlier amounts that are no decimal text or too long to be summed.
     """
+    amount = F.col("amount").cast("string")
     counted = transfers.filter(
         F.col("status").isin(*COUNTED_STATUSES) & (F.col("direction") == "outbound")
     ).withColumns(
@@ -51,15 +75,21 @@ def with_running_spend(transfers: DataFrame, hot_rows: int = HOT_GROUP_ROWS) ->
             "day": F.to_date("created_at"),
             "_units": parse_decimal(F.col("amount")),
             "_at": F.unix_micros("created_at"),
+            "_order": decimal_order(amount),
+            "own_unsummed": (amount.isNotNull() & (~is_decimal_text(amount) | beyond_limbs(amount))).cast("bigint"),
+            **{f"_{name}": part for name, part in limbs(amount).items()},
         }
     )
     keys = ["wallet_id", "token", "day"]
     hot = find_hot(counted, keys, hot_rows)
-    return (
-        ordered_prefix(counted, keys, "_at", {"spent": F.col("_units")}, hot, ties=["id"])
-        .withColumnRenamed("_units", "units")
-        .drop("_at", "spent_total")
-    )
+    sums = {"spent": F.col("_units"), "unsummed": F.col("own_unsummed"), **{f"_{n}": F.col(f"_{n}") for n in LIMBS}}
+    running = ordered_prefix(counted, keys, "_at", sums, hot, ties=["id"]).withColumnRenamed("_units", "units")
+    return running.drop("_at", *[f"{n}_total" for n in sums])
+
+
+def spent_text() -> Column:
+    """The exact sum before a row of :func:`with_running_spend` as decimal text."""
+    return limbs_text(*[F.col(f"_{n}_before") for n in LIMBS])
 
 
 # --- batches --------------------------------------------------------------------------------------------
@@ -283,7 +313,7 @@ def collection_work(payments: DataFrame, attempts: DataFrame, as_of: datetime |
     )
 
 
-SKIPPED_ERROR = "Skipped duplicate collection attempt before active due uniqueness migration"
+SKIPPED_ERROR = "another attempt for the same due date is kept"
 
 
 def skip_duplicate_attempts(attempts: DataFrame, as_of: datetime | str | Column, by: str) -> DataFrame:
@@ -303,7 +333,8 @@ def skip_duplicate_attempts(attempts: DataFrame, as_of: datetime | str | Column,
     changed = {
         "status": F.lit("skipped"),
         "error": F.coalesce("error", F.lit(SKIPPED_ERROR)),
-        "metadata": merged(F.col("metadata"), extra),
+        # Metadata that is no JSON object cannot take the note and stays as it is.
+        "metadata": F.coalesce(merged(F.col("metadata"), extra), F.col("metadata")),
         "updated_at": moment(as_of),
     }
     return attempts.join(kept, "id", "left").select(

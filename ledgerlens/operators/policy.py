@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import is_decimal_text, parse_decimal
+from ledgerlens.functions.amounts import LIMBS, beyond_limbs, decimal_order, is_decimal_text, limbs, limbs_compare
 from ledgerlens.operators.payments import with_running_spend
-from ledgerlens.operators.skew import HOT_GROUP_ROWS, exact_sum, never_null
+from ledgerlens.operators.skew import HOT_GROUP_ROWS, never_null
 
 # Decisions from mild to strict, actions, policy document version.
 DECISIONS = ["not_evaluated", "allow", "review", "provider_approval_required", "approval_required", "deny"]
@@ -25,9 +25,6 @@ DOCUMENT_VERSION = 1
 
 MATCHES = "array<struct<scope:string,rule_id:string,kind:string,decision:string,reason:string>>"
 
-#: Comparisons need more fraction digits than any token has.
-COMPARABLE = "decimal(38,18)"
-
 
 # --- reading rules ---------------------------------------------------------------------------------------
 
@@ -107,10 +104,6 @@ def _empty(values: Column) -> Column:
     return F.size(values) == 0
 
 
-def _number(text: Column) -> Column:
-    return F.trim(text).try_cast(COMPARABLE)
-
-
 def _judge(rule: Column) -> Column:
     """Verdict of one rule on the operation of the row, null when the rule does not apply."""
     family, kind, asset = F.col("family"), F.col("type"), F.col("asset")
@@ -119,29 +112,29 @@ def _judge(rule: Column) -> Column:
 
     def membership(values: Column, item: Column, label: str, empty: str) -> Column:
         return F.when(_empty(values), _verdict(rule, "review", empty)).when(
-            _listed(values, item), _verdict(rule, allow, _says(f"{label} ", item, " matched policy."))
+            _listed(values, item), _verdict(rule, allow, _says(f"listed {label}: ", item))
         )
 
     by_destination = (
         F.when(
             _empty(rule["blocked"]) & _empty(rule["allowed"]),
-            _verdict(rule, "review", "Destination rule has no allowlist or blocklist."),
+            _verdict(rule, "review", "destination rule without lists"),
         )
         .when(
             _listed(rule["blocked"], F.nullif(destination, F.lit(""))),
-            _verdict(rule, "deny", _says("Destination ", destination, " is blocked by policy.")),
+            _verdict(rule, "deny", _says("blocked destination: ", destination)),
         )
         .when(
             ~_empty(rule["allowed"]) & (F.coalesce(destination, F.lit("")) == ""),
-            _verdict(rule, "deny", "Operation has no destination for destination policy evaluation."),
+            _verdict(rule, "deny", "destination missing"),
         )
         .when(
             ~_empty(rule["allowed"]) & ~_listed(rule["allowed"], destination),
-            _verdict(rule, "deny", _says("Destination ", destination, " is not allowed by policy.")),
+            _verdict(rule, "deny", _says("destination not on the list: ", destination)),
         )
         .when(
             ~_empty(rule["allowed"]),
-            _verdict(rule, allow, _says("Destination ", destination, " matched policy.")),
+            _verdict(rule, allow, _says("listed destination: ", destination)),
         )
     )
 
@@ -151,23 +144,23 @@ def _judge(rule: Column) -> Column:
         (_empty(rule["assets"]) | _listed(rule["assets"], F.nullif(asset, F.lit("")))) & amount.isNotNull(),
         F.when(
             ~is_decimal_text(amount),
-            _verdict(rule, "review", "Operation amount is invalid for amount policy evaluation."),
+            _verdict(rule, "review", "amount is no decimal"),
         )
-        .when(low.isNull() & high.isNull(), _verdict(rule, "review", "Amount rule has no min or max."))
-        .when(bad_bound, _verdict(rule, "review", "Amount rule has an invalid decimal bound."))
+        .when(low.isNull() & high.isNull(), _verdict(rule, "review", "amount rule without bounds"))
+        .when(bad_bound, _verdict(rule, "review", "bound is no decimal"))
         .when(
-            _number(amount) < _number(low),
+            decimal_order(amount) < decimal_order(low),
             _verdict(
-                rule, "deny", _says("Operation amount ", amount, " is below policy minimum ", low, ".")
+                rule, "deny", _says("amount ", amount, " < minimum ", low)
             ),
         )
         .when(
-            _number(amount) > _number(high),
+            decimal_order(amount) > decimal_order(high),
             _verdict(
-                rule, "deny", _says("Operation amount ", amount, " exceeds policy maximum ", high, ".")
+                rule, "deny", _says("amount ", amount, " > maximum ", high)
             ),
         )
-        .otherwise(_verdict(rule, allow, _says("Operation amount ", amount, " matched policy."))),
+        .otherwise(_verdict(rule, allow, _says("amount ", amount, " within bounds"))),
     )
 
     applies = (
@@ -180,30 +173,30 @@ def _judge(rule: Column) -> Column:
         _verdict(
             rule,
             F.coalesce(rule["action"], F.lit("approval_required")),
-            "Approval policy matched operation.",
+            "approval rule applies",
         ),
     )
     unknown = F.when(
         rule["kind"].isNotNull(),
         _verdict(
-            rule, "review", _says("Unknown policy rule kind ", rule["kind"], " requires manual review.")
+            rule, "review", _says("unknown rule kind: ", rule["kind"])
         ),
-    ).otherwise(_verdict(rule, "review", "Policy rule is missing a kind and requires manual review."))
+    ).otherwise(_verdict(rule, "review", "rule without a kind"))
     return (
-        F.when(rule["kind"] == "always", _verdict(rule, allow, "Always rule matched."))
+        F.when(rule["kind"] == "always", _verdict(rule, allow, "rule always applies"))
         .when(
             rule["kind"] == "operation_family",
             membership(
-                rule["families"], family, "Operation family", "Operation family rule has no families."
+                rule["families"], family, "family", "family rule without families"
             ),
         )
         .when(
             rule["kind"] == "operation_type",
-            membership(rule["types"], kind, "Operation type", "Operation type rule has no operation types."),
+            membership(rule["types"], kind, "type", "type rule without types"),
         )
         .when(
             rule["kind"] == "asset",
-            membership(rule["assets"], F.nullif(asset, F.lit("")), "Asset", "Asset rule has no assets."),
+            membership(rule["assets"], F.nullif(asset, F.lit("")), "asset", "asset rule without assets"),
         )
         .when(rule["kind"] == "destination", by_destination)
         .when(rule["kind"] == "amount", by_amount)
@@ -243,9 +236,9 @@ def _with_result(rows: DataFrame, scope: str, label: str) -> DataFrame:
     default = F.coalesce(policy["default_action"], F.lit("allow"))
     result = F.struct(
         F.when(active, F.coalesce(chosen["decision"], default)).otherwise("allow").alias("decision"),
-        F.when(~active, f"{label} policy is not active; implicit default allow applies.")
+        F.when(~active, f"no active {label} policy")
         .when(chosen.isNotNull(), chosen["reason"])
-        .otherwise(_says(f"No {label} policy rules matched; default action ", default, " applies."))
+        .otherwise(_says(f"no {label} rule applies; default: ", default))
         .alias("reason"),
         F.when(active, f"{scope}_policy_match").otherwise(f"{scope}_policy_missing").alias("reason_code"),
         policy["revision_id"].alias("revision_id"),
@@ -307,9 +300,9 @@ def evaluate(operations: DataFrame, policies: DataFrame) -> DataFrame:
         pick("decision").alias("decision"),
         F.when(implicit, "implicit_default_allow").otherwise(pick("reason_code")).alias("reason_code"),
         F.when(
-            implicit, "No active wallet or API key policy exists; implicit default allow applies."
+            implicit, "no active policy"
         )
-        .otherwise(_says(pick("reason"), " Combined policy decision: ", scopes, "."))
+        .otherwise(_says(pick("reason"), "; ", scopes))
         .alias("reason"),
         F.col("w.decision").alias("wallet_decision"),
         F.when(has_key, F.col("k.decision")).alias("api_key_decision"),
@@ -360,21 +353,37 @@ def wallet_limits(rows: DataFrame) -> DataFrame:
 def check_limits(transfers: DataFrame, limits: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """What the wallet's limits say about each outbound transfer, given what was sent earlier that day.
 
-    The first violated limit is reported, in the order destination, single transfer, day.
+    Amounts of any length are compared exactly.  An amount that is no decimal text is ``invalid_amount``, and one with
+    more digits than can be summed ``unsummable_amount`` for its wallet and the rest of its day: neither is ever allowed.
+    Otherwise the first violated limit is reported, in the order destination, single transfer, day.
     """
     spent = with_running_spend(transfers, hot_rows)
-    rows = limits.select("wallet_id", "destination_allowlist", "max_transfer_amount", "max_daily_amount")
     single, daily = F.col("max_transfer_amount"), F.col("max_daily_amount")
-    projected = exact_sum(F.col("spent_before"), F.col("units"), spent.schema["units"].dataType)
+    # What only depends on the limits is worked out once per wallet.
+    rows = limits.select(
+        "wallet_id",
+        "destination_allowlist",
+        "max_transfer_amount",
+        "max_daily_amount",
+        decimal_order(single).alias("_single"),
+        (single.isNotNull() & ~is_decimal_text(single)).alias("_bad_single"),
+        (daily.isNotNull() & ~is_decimal_text(daily)).alias("_bad_daily"),
+        (is_decimal_text(daily) & ~beyond_limbs(daily)).alias("_has_daily"),
+        *[part.alias(f"_daily{name}") for name, part in limbs(daily).items()],
+    )
+    projected = [F.col(f"_{n}_before").cast("decimal(36,0)") + F.col(f"_{n}") for n in LIMBS]
+    beyond_day = limbs_compare(projected, [F.col(f"_daily{n}") for n in LIMBS]) > 0
     outside = (F.size("destination_allowlist") > 0) & ~_listed(
         F.col("destination_allowlist"), F.col("destination_address")
     )
     verdict = (
-        F.when(outside, "destination_not_allowed")
-        .when(single.isNotNull() & ~is_decimal_text(single), "invalid_max_transfer")
-        .when(F.col("units") > parse_decimal(single), "exceeds_max_transfer")
-        .when(daily.isNotNull() & ~is_decimal_text(daily), "invalid_max_daily")
-        .when(projected > parse_decimal(daily), "exceeds_max_daily")
+        F.when(F.col("_order").isNull(), "invalid_amount")
+        .when(outside, "destination_not_allowed")
+        .when(F.col("_bad_single"), "invalid_max_transfer")
+        .when(F.col("_order") > F.col("_single"), "exceeds_max_transfer")
+        .when(F.col("_bad_daily"), "invalid_max_daily")
+        .when(daily.isNotNull() & (F.col("unsummed_before") + F.col("own_unsummed") > 0), "unsummable_amount")
+        .when(F.col("_has_daily") & beyond_day, "exceeds_max_daily")
         .otherwise("allowed")
     )
     return spent.join(rows, "wallet_id", "left").select(

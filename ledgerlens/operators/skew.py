@@ -1,9 +1,9 @@
 """Work per group that stays spread out when one group holds a large part of all rows.
 
 A *hot* group has more than ``threshold`` rows, so there are at most ``rows / threshold`` hot groups however
-large the input is.  That is the size bound behind every broadcast in this module.  :func:`find_hot` counts
-rows per group once, reading only the key columns; without a hot group the operators use the plain join or
-window, with one they spread its rows over many tasks.  Both ways give the same rows.
+large the input is.  :func:`find_hot` counts rows per group once, reading only the key columns; without a hot
+group the operators use the plain join or window, with one they spread its rows over many tasks.  Both ways
+give the same rows.  Hot groups are only broadcast after their number has been checked.
 
 Group keys must not be null; callers give missing keys a name first.
 """
@@ -18,12 +18,14 @@ from pyspark.sql.types import DataType, DecimalType
 
 from ledgerlens.session import shared_dir
 
-#: A group up to this size is sorted by one task, spilling as needed.  A table of 10**12 rows has at most 20 000
-#: larger groups, so their split points (8 KB each) take at most 160 MB to broadcast.
-HOT_GROUP_ROWS = 50_000_000
+#: A group up to this size is sorted by one task, spilling as needed.
+HOT_GROUP_ROWS = 5_000_000
 
-#: A hot group is cut into COARSE * COARSE value ranges, found by two short scans of COARSE split points.
-COARSE = 32
+#: Hot groups whose keys and values are sent to every task at most.
+BROADCAST_GROUPS = 100_000
+
+#: Ranges that rows with hot groups are cut into at least.
+RANGES = 64
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -69,40 +71,21 @@ def join_group_values(
     keys = list(keys)
     if hot is None:
         return rows.join(values, keys, "left")
+    # Beyond that size Spark joins by a shuffle and splits the partitions of hot keys itself.
+    sent = F.broadcast if hot.count() <= BROADCAST_GROUPS else (lambda df: df)
     hot_values = hot.join(values, keys, "left")
-    spread = rows.join(F.broadcast(hot_values), keys, "inner")
-    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(values, keys, "left")
+    spread = rows.join(sent(hot_values), keys, "inner")
+    rest = rows.join(sent(hot), keys, "left_anti").join(values, keys, "left")
     return spread.unionByName(rest)
 
 
-def _with_range(
-    df: DataFrame, keys: list[str], order: Column, hot: DataFrame
-) -> DataFrame:
-    """Add ``_range``: 0 for ordinary groups, an order-preserving value range for hot ones."""
-    n_ranges = COARSE * COARSE
-    cuts = [i / n_ranges for i in range(1, n_ranges)]
-    position = order.cast("double")
-    splits = (
-        df.join(F.broadcast(hot), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(position, cuts, 20 * n_ranges).alias("_splits"))
-        .withColumn(
-            "_coarse",
-            F.expr(f"transform(sequence(1, {COARSE - 1}), i -> element_at(_splits, i * {COARSE}))"),
-        )
-    )
-    tagged = df.withColumn("_range_at", position).join(F.broadcast(splits), keys, "left")
-    coarse = F.expr("size(filter(_coarse, s -> s <= _range_at))")
-    fine = F.expr(
-        f"size(filter(slice(_splits, _block * {COARSE} + 1, {COARSE - 1}), s -> s <= _range_at))"
-    )
-    return (
-        tagged.withColumn("_block", F.when(F.col("_splits").isNotNull(), coarse))
-        .withColumn(
-            "_range", F.when(F.col("_block").isNull(), 0).otherwise(F.col("_block") * COARSE + fine)
-        )
-        .drop("_range_at", "_splits", "_coarse", "_block")
-    )
+def with_range(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``_range``: the number of the range of rows in that order, as many rows to each.
+
+    Rows of one group, and rows of one value that differ in the later columns, lie in as many ranges as they fill.
+    """
+    ranges = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
 
 
 def exact_sum(left: Column, right: Column, data_type: DataType) -> Column:
@@ -127,8 +110,8 @@ def ordered_prefix(
     """Running and total sums within each group, in the order of ``order`` then ``ties``.
 
     For every entry ``name`` of ``sums`` the result has ``name_before`` (sum over the earlier rows) and
-    ``name_total`` (sum over the group).  A hot group is cut into value ranges that are sorted by separate
-    tasks; the sums of the earlier ranges are then added to each row.
+    ``name_total`` (sum over the group).  With hot groups the rows are cut into ranges that are sorted by separate
+    tasks; the sums of the earlier ranges of a group are then added to each row.
     """
     keys = list(keys)
     zero = F.lit(0)
@@ -144,9 +127,8 @@ def ordered_prefix(
 
     for name, column in sums.items():
         df = df.withColumn(f"_{name}", column)
-    # Read three times below: for the split points, the range sums and the rows.
-    df = materialise(df, "ordered")
-    ranged = _with_range(df, keys, F.col(order), hot)
+    # Written once, as the range sums and the rows below must see the same ranges.
+    ranged = materialise(with_range(df, [*keys, order, *ties]), "ordered")
     part = [*keys, "_range"]
     per_range = ranged.groupBy(*part).agg(*[F.sum(f"_{n}").alias(f"_{n}_range") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,8 @@ from ledgerlens.functions.times import moment
 from ledgerlens.operators.ordering import first_overall, first_per_group
 from ledgerlens.operators.skew import HOT_GROUP_ROWS, exact_medians
 
-# Look-back limits in days, widest pivot.
+# Look-back limits in days.
 MIN_DAYS, MAX_DAYS = 1, 365
-MAX_PIVOT_COLUMNS = 1000
 
 
 def newest(df: DataFrame, column: str = "scraped_at") -> Column:
@@ -22,9 +22,17 @@ def newest(df: DataFrame, column: str = "scraped_at") -> Column:
     return df.agg(F.max(column)).scalar()
 
 
-def since(df: DataFrame, days: int, as_of: datetime | str | Column, date: str = "date") -> DataFrame:
-    """Rows of the last ``days`` days; the filter reaches the partition column of the scan."""
-    days = min(max(days, MIN_DAYS), MAX_DAYS)
+def since(
+    df: DataFrame, days: int, as_of: datetime | str | Column, date: str = "date", most: int | None = MAX_DAYS
+) -> DataFrame:
+    """Rows of the last ``days`` days, between one and ``most`` (None: any number).
+
+    The filter reaches the partition column of the scan.  A look-back beyond ``most`` is cut to it with a warning.
+    """
+    if most is not None and days > most:
+        warnings.warn(f"look-back of {days} days cut to {most}; pass most=None for all of it", stacklevel=2)
+        days = most
+    days = max(days, MIN_DAYS)
     return df.filter(F.col(date) >= F.date_sub(F.to_date(moment(as_of)), days))
 
 
@@ -101,14 +109,11 @@ def daily_last(supply: DataFrame) -> DataFrame:
 def supply_history(supply: DataFrame, symbols: list[str] | None = None) -> DataFrame:
     """One row per date, one column per symbol.
 
-    The columns are discovered when not given.  More than MAX_PIVOT_COLUMNS symbols do not fit a wide
-    table: use the long form of :func:`daily_last`.
+    The columns are those of ``symbols``, or discovered: one row per symbol then reaches the driver.  The long form,
+    :func:`daily_last`, has no such limit.
     """
     if symbols is None:
-        found = symbol_columns(supply).limit(MAX_PIVOT_COLUMNS + 1).collect()
-        if len(found) > MAX_PIVOT_COLUMNS:
-            raise ValueError("too many symbols for a wide table; use daily_last")
-        symbols = sorted(r["symbol"] for r in found)
+        symbols = sorted(r["symbol"] for r in symbol_columns(supply).collect())
     return daily_last(supply).groupBy("date").pivot("symbol", symbols).agg(F.max("ui_supply"))
 
 

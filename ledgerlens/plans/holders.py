@@ -21,11 +21,6 @@ def _shares(spark, folder):
     return holders.holder_shares(adapters.holder_rows(spark, folder), "amount")
 
 
-def _ranked(spark, folder):
-    shares = _shares(spark, folder).withColumnRenamed("holder_address", "owner")
-    return holders.top_holders(shares)
-
-
 def a14_owner_balances(spark, folder):
     rows = holders.owner_balances(adapters.token_accounts(spark, folder))
     return rows.select("mint", "owner", F.col("amount").cast("bigint").alias("amount"))
@@ -41,7 +36,8 @@ def a15_holder_shares(spark, folder):
 
 
 def a4_j1_concentration(spark, folder):
-    rows = holders.concentration(_ranked(spark, folder), adapters.token_registry(spark, folder))
+    shares = _shares(spark, folder).withColumnRenamed("holder_address", "owner")
+    rows = holders.concentration(shares, adapters.token_registry(spark, folder))
     return rows.select(
         "mint", "symbol", "name", "top1_pct", F.round("top10_pct", 4).alias("top10_pct"), "holder_count"
     )
@@ -246,7 +242,7 @@ QUERIES = {
                  row_number() OVER (PARTITION BY mint ORDER BY amount DESC, holder_address) AS rank FROM shares)
         SELECT r.mint, t.symbol, t.name, max(CASE WHEN rank = 1 THEN percentage END) AS top1_pct,
                round(sum(CASE WHEN rank <= 10 THEN percentage END), 4) AS top10_pct, count(*) AS holder_count
-        FROM ranked r LEFT JOIN token_registry t ON r.mint = t.mint WHERE rank <= 20 GROUP BY 1, 2, 3""")),
+        FROM ranked r LEFT JOIN token_registry t ON r.mint = t.mint GROUP BY 1, 2, 3""")),
     "a16_median_balances": (a16_median_balances, over("holder_rows", """
         SELECT mint, median(ui_amount) AS median_balance FROM holder_rows GROUP BY 1""")),
     "a7_balance_summary": (a7_balance_summary, over("token_accounts", """

@@ -105,10 +105,18 @@ def f17_category(spark, folder):
 
 
 def a29_daily_spend(spark, folder):
-    rows = payments.daily_spend(_transfers(spark, folder))
+    rows = payments.daily_spend(_transfers(spark, folder)).drop("unsummed")
     return rows.withColumn("spent", F.col("spent").cast("double"))
 
 
+def a29_exact_spend(spark, folder):
+    """Every fifth amount has up to 27 whole and 12 fraction digits, every fifth is malformed."""
+    key = F.substring_index("id", "_", -1).cast("bigint")
+    long = F.concat(key.cast("string"), F.lit("0" * 18 + ".000000000001"))
+    amount = F.when(key % 5 == 0, long).when(key % 5 == 1, "12,5").otherwise(F.col("amount").cast("string"))
+    return payments.daily_spend(_transfers(spark, folder).withColumn("amount", amount))
+
+
 def a29_running_spend(spark, folder):
     rows = payments.with_running_spend(_transfers(spark, folder))
     return rows.select("id", F.col("spent_before").cast("double").alias("spent_before"))
@@ -376,6 +384,16 @@ QUERIES = {
     "f17_category": (f17_category, over(_P, """
         SELECT CASE WHEN type IN ('onramp', 'offramp') THEN 'ramp' ELSE 'wallet' END AS category, count(*) AS transfers
         FROM payment_transfers GROUP BY 1""")),
+    "a29_exact_spend": (a29_exact_spend, over(_P, """
+        WITH texts AS (
+          SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN CAST(CAST(o_orderkey AS VARCHAR) || repeat('0', 18) ||
+                           '.000000000001' AS DECIMAL(38,12))
+                         WHEN o_orderkey % 5 <> 1 THEN CAST(amount AS DECIMAL(38,12)) END AS value
+          FROM payment_transfers WHERE status IN ('pending', 'processing', 'confirmed', 'finalized'))
+        SELECT wallet_id, token, direction, CAST(created_at AS DATE) AS day,
+               rtrim(rtrim(CAST(sum(value) AS VARCHAR), '0'), '.') AS spent,
+               count(*) FILTER (WHERE o_orderkey % 5 = 1) AS unsummed
+        FROM texts GROUP BY 1, 2, 3, 4""")),
     "a29_daily_spend": (a29_daily_spend, over(_P, """
         SELECT wallet_id, token, direction, CAST(created_at AS DATE) AS day, CAST(sum(amount) AS DOUBLE) AS spent
         FROM payment_transfers WHERE status IN ('pending', 'processing', 'confirmed', 'finalized')

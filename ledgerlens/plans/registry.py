@@ -56,10 +56,10 @@ def f11_search(spark, folder):
 
 
 def w11_sorted(spark, folder):
-    """Fifty tokens with the oldest verification; never verified tokens sort last."""
+    """All tokens, the oldest verification first; never verified tokens sort last."""
     tokens = _tokens(spark, folder)
     rows = listing.sorted_nulls_last(tokens, "last_verified_at", False, ["mint_address"])
-    return rows.limit(50).selectExpr("mint_address", "unix_micros(last_verified_at) as last_verified_at")
+    return rows.selectExpr("mint_address", "unix_micros(last_verified_at) as last_verified_at")
 
 
 def a11_summary(spark, folder):
@@ -403,7 +403,7 @@ QUERIES = {
         WHERE (symbol ILIKE '%brand#2%' OR name ILIKE '%widget%') AND name ILIKE '%r%'""")),
     "w11_sorted": (w11_sorted, over(_T, """
         SELECT mint_address, epoch_us(last_verified_at) AS last_verified_at FROM analytics_tokens
-        ORDER BY last_verified_at ASC NULLS LAST, mint_address LIMIT 50""")),
+        ORDER BY last_verified_at ASC NULLS LAST, mint_address""")),
     "a11_summary": (a11_summary, over(_T, """
         SELECT count(*) AS total, count(*) FILTER (WHERE is_active) AS active,
                count(*) FILTER (WHERE is_active AND verification_status = 'verified') AS verified,

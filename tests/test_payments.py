@@ -149,3 +149,46 @@ def test_volume_skips_text(spark):
     start = F.lit(datetime(2024, 5, 1))
     assert balances.volume_since(df, start).first()[0] == Decimal("1.5")
     assert balances.volume_since(df.filter("amount = 'x'"), start).first()[0] is None
+
+
+def test_sums_keep_every_digit_and_count_what_cannot_be_summed(spark):
+    amounts = ["1" + "0" * 31, "0.0000000004", "007.50", ".25", "999999999999999999.999999999999999999", "12,5", "NaN", "1" * 40, "0." + "3" * 19, None]
+    schema = "id int, wallet_id string, token string, direction string, status string, amount string, created_at timestamp"
+    rows = [(i, "w", "T", "outbound", "confirmed", a, ago(100 - i)) for i, a in enumerate(amounts)]
+    df = spark.createDataFrame(rows, schema)
+    got = payments.daily_spend(df).first()
+    assert got["unsummed"] == 4 and Decimal(got["spent"]) == add(amounts[:5])
+    running = {r["id"]: r for r in payments.with_running_spend(df).withColumn("spent_before_text", payments.spent_text()).collect()}
+    for i in range(6):
+        assert Decimal(running[i]["spent_before_text"]) == add(amounts[:i])
+    assert running[9]["unsummed_before"] == 4
+    total = balances.volume_since(df, F.lit(datetime(2020, 1, 1))).first()
+    assert Decimal(total["volume_text"]) == add(amounts[:5]) and total["unsummed"] == 4
+
+
+def add(amounts):
+    """Exact sum of decimal texts."""
+    from decimal import localcontext
+
+    with localcontext() as context:
+        context.prec = 100
+        return sum((Decimal(a) for a in amounts), Decimal(0))
+
+
+def test_values_that_are_not_finite_never_reach_a_total(spark):
+    schema = "wallet_id string, token string, mint string, amount string, ui_amount string, decimals int"
+    rows = [("w1", "USDC", "m1", "1", "1.5", 6), ("w2", "USDC", "m1", "2", "NaN", 6), ("w3", "USDC", "m1", "3", "Infinity", 6)]
+    held = spark.createDataFrame(rows, schema)
+    priced = balances.price_balances(held, spark.createDataFrame([], "mint string, price double, currency string"))
+    assert {r["wallet_id"]: r["usd_value"] for r in priced.collect()} == {"w1": 1.5, "w2": None, "w3": None}
+    assert balances.total_value(priced).first()["total_usd"] == 1.5
+    assert balances.valid_total_per_mint(priced).first()["usd_value"] == 1.5
+    assert {r["wallet_id"] for r in balances.malformed_amounts(held).collect()} == {"w2", "w3"}
+
+
+def test_unreadable_metadata_is_kept(spark):
+    schema = "id string, organization_id string, project_id string, subscription_id string, due_at timestamp, status string, error string, metadata string, updated_at timestamp, created_at timestamp"
+    rows = [(i, "o", "p", "s", ago(5), "pending", None, m, ago(n), ago(9)) for n, (i, m) in enumerate([("keep", "{}"), ("a", "not json"), ("b", "[1]"), ("c", '{"x":1}')])]
+    got = payments.skip_duplicate_attempts(spark.createDataFrame(rows, schema), ago(0), "test")
+    kept = {r["id"]: r["metadata"] for r in got.collect() if r["status"] == "skipped"}
+    assert kept["a"] == "not json" and kept["b"] == "[1]" and '"x":1' in kept["c"] and "deduplicatedBy" in kept["c"]

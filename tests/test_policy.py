@@ -2,9 +2,12 @@
 
 import json
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlens.functions.amounts import decimal_order
 from ledgerlens.operators import policy
 
 OPERATION = ("op", "w", None, "payment", "payment_request", "USDC", "125.50", "recipient_blocked")
@@ -36,7 +39,7 @@ def test_no_policy_allows(spark):
     row = decide(spark)
     assert (row["decision"], row["reason_code"], row["requires_approval"]) == ("allow", "implicit_default_allow", False)
     assert row["matched_rules"] == [] and row["wallet_revision_id"] is None
-    assert row["reason"] == "No active wallet or API key policy exists; implicit default allow applies."
+    assert row["reason"] == "no active policy"
 
 
 RULES = [
@@ -80,13 +83,13 @@ def test_missing_parts_of_an_operation(spark):
     assert decide(spark, [{"kind": "amount", "max": "1"}], amount="1e5")["decision"] == "review"
     assert decide(spark, [{"kind": "asset", "asset": "USDC"}], "deny", asset=None)["decision"] == "allow"
     row = decide(spark, [{"kind": "destination", "allowlist": ["a"]}], destination=None)
-    assert row["decision"] == "deny" and row["reason"].startswith("Operation has no destination")
+    assert row["decision"] == "deny" and row["reason"].startswith("destination missing")
 
 
 def test_default_action_when_nothing_matches(spark):
     row = decide(spark, [{"kind": "approval", "families": ["issuance"]}], default="deny")
     assert row["decision"] == "deny" and row["matched_rules"] == []
-    assert "default action deny applies" in row["reason"]
+    assert "default: deny" in row["reason"]
 
 
 def test_scopes_combine(spark):
@@ -101,14 +104,14 @@ def test_scopes_combine(spark):
     assert decide(spark, provider, wallet)["decision"] == "approval_required"
     tie = decide(spark, wallet, wallet)
     assert tie["reason_code"] == "wallet_policy_match" and tie["api_key_revision_id"] == "rk"
-    assert tie["reason"].endswith("Combined policy decision: wallet=approval_required, API key=approval_required.")
+    assert tie["reason"].endswith("wallet=approval_required, API key=approval_required")
     implicit = decide(spark, [{"kind": "always", "action": "review"}], has_key=True)
     assert implicit["api_key_decision"] == "allow" and implicit["api_key_revision_id"] is None
 
 
 def test_first_of_equal_verdicts_gives_the_reason(spark):
     row = decide(spark, [{"kind": "asset", "asset": "USDC"}, {"kind": "always"}])
-    assert row["reason"].startswith("Asset USDC matched policy.")
+    assert row["reason"].startswith("listed asset: USDC")
 
 
 DAY = datetime(2024, 5, 1)
@@ -163,3 +166,30 @@ def test_check_limits(spark, hot_rows):
         "t7": "allowed",
         "t8": "allowed",
     }
+
+
+def test_amounts_of_any_length_are_compared(spark):
+    numbers = ["0", "000.0", "0.1", "0.12", "9", "10", "99.999", "100", "100.0000000000000000000001", "1" + "0" * 24, "1" + "0" * 60]
+    values = [Decimal(n) for n in numbers]
+    rows = [(a, b) for a in numbers for b in numbers]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", (decimal_order(F.col("a")) > decimal_order(F.col("b"))).alias("more"))
+    assert all(r["more"] == (values[numbers.index(r["a"])] > values[numbers.index(r["b"])]) for r in got.collect())
+
+
+def test_long_and_malformed_transfers_are_never_allowed(spark):
+    schema = (
+        "id string, wallet_id string, token string, direction string, status string, amount string, "
+        "destination_address string, created_at timestamp"
+    )
+    amounts = ["1" + "0" * 31, "12,5", "1", "1" * 40, "2"]
+    rows = [(f"t{i}", "w", "T", "outbound", "confirmed", a, "a", DAY + timedelta(minutes=i)) for i, a in enumerate(amounts)]
+    rows += [("u0", "u", "T", "outbound", "confirmed", "1" + "0" * 31, "a", DAY), ("u1", "u", "T", "outbound", "confirmed", "1", "a", DAY + timedelta(minutes=1))]
+    limits = spark.createDataFrame(
+        [("w", [], "100", "200"), ("u", [], None, "1" + "0" * 31)],
+        "wallet_id string, destination_allowlist array<string>, max_transfer_amount string, max_daily_amount string",
+    )
+    got = {r["id"]: r["verdict"] for r in policy.check_limits(spark.createDataFrame(rows, schema), limits).collect()}
+    assert got == {
+        "t0": "exceeds_max_transfer", "t1": "invalid_amount", "t2": "unsummable_amount", "t3": "exceeds_max_transfer",
+        "t4": "unsummable_amount", "u0": "allowed", "u1": "exceeds_max_daily",
+    }

@@ -138,3 +138,9 @@ def test_join_group_values(spark, hot_rows):
     joined = skew.join_group_values(rows, values, ["k"], skew.find_hot(rows, ["k"], hot_rows))
     counts = {(r["k"], r["v"]): r["count"] for r in joined.groupBy("k", "v").count().collect()}
     assert counts == {("a", 10): 50, ("b", 20): 1, ("c", None): 1}
+
+
+def test_ties_of_a_hot_group_lie_in_several_ranges(spark):
+    df = spark.range(4000).select(F.lit("k").alias("k"), F.lit(7).alias("t"), "id")
+    ranges = skew.with_range(df, ["k", "t", "id"]).groupBy("_range").count().collect()
+    assert len(ranges) > 8 and max(r["count"] for r in ranges) < 1000

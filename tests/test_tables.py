@@ -119,13 +119,11 @@ def test_list_arguments_are_checked(spark):
         registry.list_tokens(df, sort="symbol; drop table")
 
 
-def test_wide_history_needs_few_symbols(spark, monkeypatch):
+def test_wide_history_has_the_found_or_the_wanted_symbols(spark):
     rows = snapshot(spark, (1, "a", 1.0, 1), (1, "b", 2.0, 1), (1, "a", 3.0, 2)).withColumn("slot", F.lit(1))
     wide = supply.supply_history(rows).first()
     assert (wide["a"], wide["b"]) == (3.0, 2.0)
-    monkeypatch.setattr(supply, "MAX_PIVOT_COLUMNS", 1)
-    with pytest.raises(ValueError, match="daily_last"):
-        supply.supply_history(rows)
+    assert supply.supply_history(rows, ["b", "c"]).columns == ["date", "b", "c"]
 
 
 def test_export(spark, tmp_path):
