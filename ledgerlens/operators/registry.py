@@ -379,3 +379,17 @@ def register_identifiers(registry: DataFrame, new: DataFrame) -> DataFrame:
         F.coalesce("decimals", F.lit(6)).alias("decimals"),
     )
     return registry.unionByName(insert_absent(registry, rows, ["mint"]))
+
+
+def identifier_of(registry: DataFrame, mint: str | None = None, uuid: str | None = None) -> DataFrame:
+    """The registry row of a mint or of an identifier; exactly one of the two is given."""
+    if (mint is None) == (uuid is None):
+        raise ValueError("give a mint or a uuid")
+    return registry.filter(F.col("mint") == mint if uuid is None else F.col("uuid") == uuid)
+
+
+def with_identifiers(rows: DataFrame, registry: DataFrame, by: str = "mint") -> DataFrame:
+    """Rows with the registry's columns added, looked up by ``mint`` or ``uuid``; unknown ones get nulls."""
+    if by not in ("mint", "uuid"):
+        raise ValueError("look up by mint or uuid")
+    return rows.join(registry, by, "left")

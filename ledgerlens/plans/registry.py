@@ -555,29 +555,29 @@ QUERIES = {
                    / 3.6e9 AS age FROM analytics_tokens)
         SELECT 'ingestion' AS "check", CASE WHEN broken > 0 THEN 'warn' WHEN age > 6 THEN 'fail' WHEN age > 2 THEN 'warn'
                  ELSE 'pass' END AS status,
-               format('Last ingestion {:.1f}h ago', age) || CASE WHEN broken > 0 THEN format(', {} failed in 24h', broken)
+               format('ingested {:.1f} h ago', age) || CASE WHEN broken > 0 THEN format(', {} failed', broken)
                  ELSE '' END AS message FROM m
         UNION ALL
         SELECT 'tokens', CASE WHEN failed > 0 OR stale > 0 OR rug > 0 THEN 'warn' ELSE 'pass' END,
-               format('{} tokens tracked ({} verified)', ok + pending + failed + stale, ok)
+               format('{} tokens, {} verified', ok + pending + failed + stale, ok)
                || CASE WHEN failed > 0 THEN format(', {} failed', failed) ELSE '' END
                || CASE WHEN stale > 0 THEN format(', {} stale', stale) ELSE '' END
                || CASE WHEN rug > 0 THEN format(', {} rug-flagged', rug) ELSE '' END FROM m
         UNION ALL
-        SELECT 'retirement', 'pass', format('Retirement: {} retired (30d), {} rug-flagged, {} stale', retired, rug,
+        SELECT 'retirement', 'pass', format('{} retired in 30 days, {} rug-flagged, {} stale', retired, rug,
                all_stale) FROM m""")),
     "m13_alerts": (m13_alerts, over(_T, """
         WITH m AS (
           SELECT count(*) FILTER (WHERE is_active AND last_ingestion_status = 'failed') AS broken,
                  count(*) FILTER (WHERE verification_status = 'rug_flagged') AS rug,
                  count(*) FILTER (WHERE verification_status = 'stale') AS stale FROM analytics_tokens)
-        SELECT 'warning' AS severity, 'ingestion' AS source, 'Ingestion delayed or has failures' AS message FROM m
+        SELECT 'warning' AS severity, 'ingestion' AS source, 'ingestion late or partly failed' AS message FROM m
         WHERE broken > 0
-        UNION ALL SELECT 'warning', 'tokens', 'Token verification issues detected' FROM m
-        UNION ALL SELECT 'warning', 'ingestion', format('{} failed ingestions in 24h', broken) FROM m WHERE broken > 10
-        UNION ALL SELECT 'warning', 'retirement', format('{} tokens flagged as potential rug pulls', rug) FROM m
+        UNION ALL SELECT 'warning', 'tokens', 'tokens failed, stale or flagged' FROM m
+        UNION ALL SELECT 'warning', 'ingestion', format('failed ingestions: {}', broken) FROM m WHERE broken > 10
+        UNION ALL SELECT 'warning', 'retirement', format('possible rug pulls: {}', rug) FROM m
         WHERE rug > 0
-        UNION ALL SELECT 'warning', 'retirement', format('{} tokens stale (no ingestion 7+ days)', stale) FROM m
+        UNION ALL SELECT 'warning', 'retirement', format('stale tokens: {}', stale) FROM m
         WHERE stale > 5""")),
     "m13_report": (m13_report, over(_T, """
         WITH m AS (

@@ -40,7 +40,8 @@ def token_holders(accounts: DataFrame, as_of: datetime | str | Column) -> DataFr
 
     ``accounts`` also has mint_address and slot.
     """
-    account = F.from_json("payload", ACCOUNT_PAYLOAD)
+    accounts = accounts.withColumn("account", F.from_json("payload", ACCOUNT_PAYLOAD))
+    account = F.col("account")
     info = account["account"]["data"]["parsed"]["info"]
     return accounts.select(
         "mint_address",
@@ -53,9 +54,11 @@ def token_holders(accounts: DataFrame, as_of: datetime | str | Column) -> DataFr
 
 def discovered_mints(accounts: DataFrame) -> DataFrame:
     """Mint accounts of a discovery payload; the known mints when it has none."""
-    account = F.from_json("payload", ACCOUNT_PAYLOAD)
+    # Parsed behind an outer explode, so that the filter below does not parse every payload again.
+    parsed = accounts.select(F.explode_outer(F.array(F.from_json("payload", ACCOUNT_PAYLOAD))).alias("account"))
+    account = F.col("account")
     info = account["account"]["data"]["parsed"]["info"]
-    found = accounts.select(
+    found = parsed.select(
         account["pubkey"].alias("mint"),
         F.coalesce(info["decimals"], F.lit(0)).alias("decimals"),
         F.coalesce(info["supply"], F.lit("0")).alias("supply"),
@@ -77,8 +80,9 @@ def token_symbol(mint: Column) -> Column:
 
 def supply_snapshot(mints: DataFrame, supplies: DataFrame, as_of: datetime | str | Column) -> DataFrame:
     """Supply per mint from its payload (mint, payload); without one, from the discovery row."""
-    value = F.from_json("payload", "amount string, decimals int, uiAmountString string")
-    told = supplies.select(
+    value = F.col("value")
+    parsed = F.from_json("payload", "amount string, decimals int, uiAmountString string")
+    told = supplies.select("mint", F.explode_outer(F.array(parsed)).alias("value")).select(
         "mint",
         value["amount"].alias("_amount"),
         value["decimals"].alias("_decimals"),

@@ -5,11 +5,12 @@ The format is one argument everywhere, so a session with a table format on its c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,7 +27,10 @@ def read_object(spark: SparkSession, path: str, schema: str | StructType | None
 
 
 def read_prefix(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    """All Parquet files below a path; unreadable and vanished files are skipped, other files ignored."""
+    """All Parquet files below a path; unreadable and vanished files are skipped, other files ignored.
+
+    :func:`skipped_files` names the files of such a read that gave no rows.
+    """
     reader = (
         spark.read.option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
@@ -36,9 +40,29 @@ def read_prefix(spark: SparkSession, path: str, schema: str | StructType | None
     return (reader if schema is None else reader.schema(schema)).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """A table; columns added over time are null in older files."""
-    return spark.read.format(format).option("mergeSchema", "true").load(path)
+def skipped_files(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """Files below a path that :func:`read_prefix` finds but gets no row from: unreadable, vanished or empty ones."""
+    listed = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select("path")
+    )
+    read = read_prefix(spark, path, schema).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return listed.join(read, "path", "left_anti")
+
+
+def read_table(
+    spark: SparkSession, path: str, format: str = "parquet", schema: str | StructType | None = None
+) -> DataFrame:
+    """A table; columns added over time are null in older files.
+
+    Without a declared ``schema`` the footers of all files are read and merged.
+    """
+    reader = spark.read.format(format)
+    reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
+    return reader.load(path)
 
 
 def read_table_or_none(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame | None:
@@ -103,18 +127,27 @@ def append_json(
     """Append landed JSON rows, with ``ingested_at`` where it is missing; no rows is an error."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     rows = reader.json(source)
-    if not rows.columns or rows.isEmpty():
+    if not rows.columns or (schema is None and rows.isEmpty()):
         raise ValueError("no rows to append")
     if "ingested_at" not in rows.columns:
         rows = rows.withColumn("ingested_at", moment(as_of))
-    count = rows.count()
-    append_evolving(rows, path, None)
+    # Counted while they are written: with a declared schema the input is read once.
+    seen = Observation()
+    append_evolving(rows.observe(seen, F.count(F.lit(1)).alias("rows")), path, None)
+    count = seen.get["rows"]
+    if not count:
+        raise ValueError("no rows to append")
     return count
 
 
-def push_absent(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose key the table does not have."""
+def push_absent(df: DataFrame, path: str, keys: list[str], date: str | None = "date") -> None:
+    """Append rows whose key the table does not have.
+
+    With ``date`` among the keys, only the dates of the new rows are looked at in the table.
+    """
     known = read_table_or_none(df.sparkSession, path)
+    if known is not None and date in keys:
+        known = known.join(df.select(date).distinct(), date, "left_semi")
     write_table(df if known is None else insert_absent(known, df, keys), path, "append")
 
 
@@ -124,6 +157,19 @@ def register_views(spark: SparkSession, paths: Mapping[str, str]) -> None:
         read_table(spark, path).createOrReplaceTempView(name)
 
 
+def register_tables(spark: SparkSession, paths: Mapping[str, str], format: str = "parquet") -> None:
+    """External tables over paths: the catalog keeps their schema, dropping a table leaves its files.
+
+    A name that is taken is pointed at its path anew; partition folders are found once, here.
+    """
+    for name, path in paths.items():
+        location = path.replace("'", "\\'")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} USING {format} OPTIONS (mergeSchema 'true') LOCATION '{location}'")
+        if any(column.isPartition for column in spark.catalog.listColumns(name)):
+            spark.catalog.recoverPartitions(name)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)
@@ -145,12 +191,26 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def publish_version(df: DataFrame, root: str) -> str:
-    """Write the next version of a table; readers see it once its job has committed."""
+    """Write the next version of a table; readers see it once its job has committed.
+
+    The rows are written to a folder of their own, which is then renamed to the next free number.  The rename fails
+    where another writer was faster, and the number after that is tried: no writer replaces another's version.
+    """
     spark = df.sparkSession
+    draft = f"{root}/_draft-{uuid.uuid4().hex}"
+    df.write.option("partitionOverwriteMode", "static").parquet(draft)
+    files, location = _file_system(spark, draft)
     number = (versions(spark, root) or [0])[-1] + 1
-    path = f"{root}/version={number}"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-    return path
+    while True:
+        path = f"{root}/version={number}"
+        _, target = _file_system(spark, path)
+        if not files.exists(target) and files.rename(location, target):
+            # A rename onto a folder made meanwhile moves into it: that number belongs to the other writer.
+            inside = _file_system(spark, f"{path}/{location.getName()}")[1]
+            if not files.exists(inside):
+                return path
+            location = inside
+        number += 1
 
 
 def read_version(spark: SparkSession, root: str, number: int | None = None) -> DataFrame | None:

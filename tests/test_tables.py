@@ -172,3 +172,42 @@ def test_program_labels(spark):
     rows = [(program, "Unknown", "unknown", "s", NOW, None, None), (program[::-1], "Unknown", "unknown", "s", NOW, None, None)]
     got = labels.program_attribution(spark.createDataFrame(rows, schema), NOW).collect()
     assert [r["attribution_category"] for r in got] == ["protocol:jupiter", "unknown"]
+
+
+def test_external_tables_keep_schema_and_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_table(snapshot(spark, (1, "a", 1.0, 1), (2, "b", 2.0, 1)), path)
+    tables.register_tables(spark, {"external_supply": path})
+    assert spark.sql("SELECT count(*) AS n FROM external_supply WHERE symbol = 'a'").first()["n"] == 1
+    spark.sql("DROP TABLE external_supply")
+    assert tables.read_table(spark, path).count() == 2
+
+
+def test_skipped_files_are_named(spark, tmp_path):
+    path = tmp_path / "p"
+    snapshot(spark, (1, "a", 1.0, 1)).coalesce(1).write.parquet(str(path))
+    (path / "broken.parquet").write_bytes(b"no parquet")
+    assert tables.read_prefix(spark, str(path), "symbol string").count() == 1
+    names = [r["path"].rsplit("/", 1)[1] for r in tables.skipped_files(spark, str(path), "symbol string").collect()]
+    assert names == ["broken.parquet"]
+
+
+def test_two_writers_get_two_versions(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "v")
+    tables.publish_version(snapshot(spark, (1, "a", 1.0, 1)), root)
+    monkeypatch.setattr(tables, "versions", lambda *_: [])  # a writer that looked before the other one finished
+    assert tables.publish_version(snapshot(spark, (1, "a", 2.0, 1)), root).endswith("version=2")
+    monkeypatch.undo()
+    assert [tables.read_version(spark, root, n).first()["ui_supply"] for n in (1, 2)] == [1.0, 2.0]
+
+
+def test_registry_is_looked_up_by_mint_and_by_uuid(spark):
+    known = registry.bootstrap_registry(spark)
+    row = known.first()
+    assert registry.identifier_of(known, mint=row["mint"]).first() == row
+    assert registry.identifier_of(known, uuid=row["uuid"]).first() == row
+    with pytest.raises(ValueError):
+        registry.identifier_of(known)
+    rows = spark.createDataFrame([(row["mint"], 1), ("unknown", 2)], "mint string, n int")
+    got = {r["n"]: r["uuid"] for r in registry.with_identifiers(rows, known).collect()}
+    assert got == {1: row["uuid"], 2: None}
