@@ -101,6 +101,16 @@ def a7_daily_holders_sketch(spark, folder):
     return supply.daily_holders_approx(holders, 365, supply.newest(holders, "snapshot_at"))
 
 
+def a7_sketch_error(spark, folder):
+    """Days with their exact holders, and whether the sketch is within five percent."""
+    holders = adapters.token_holders(spark, folder)
+    newest = supply.newest(holders, "snapshot_at")
+    rough = supply.daily_holders_approx(holders, 365, newest).withColumnRenamed("holders", "rough")
+    both = supply.daily_holders(holders, 365, newest).join(rough, "date")
+    close = F.abs(F.col("rough") - F.col("holders")) <= F.greatest(F.lit(1.0), F.col("holders") * 0.05)
+    return both.select("date", "holders", close.alias("close"))
+
+
 def a8_daily_supply(spark, folder):
     snapshots = adapters.token_supply_snapshots(spark, folder)
     rows = supply.daily_supply(snapshots, 30, supply.newest(snapshots, "snapshot_at"))
@@ -349,6 +359,11 @@ QUERIES = {
         WHERE CAST(snapshot_at AS DATE) >= (SELECT CAST(max(snapshot_at) AS DATE) FROM token_holders) - 365
         GROUP BY 1""")),
     "a7_daily_holders_sketch": (a7_daily_holders_sketch, None),
+    "a7_sketch_error": (a7_sketch_error, over("token_holders", """
+        SELECT CAST(snapshot_at AS DATE) AS date, count(DISTINCT wallet_address) AS holders, true AS close
+        FROM token_holders
+        WHERE CAST(snapshot_at AS DATE) >= (SELECT CAST(max(snapshot_at) AS DATE) FROM token_holders) - 365
+        GROUP BY 1""")),
     "a8_daily_supply": (a8_daily_supply, over(_S, """
         SELECT date, mint AS mint_address, round(sum(ui_supply), 6) AS supply_daily_sum,
                arg_max(ui_supply, (scraped_at, slot)) AS supply_daily_last

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -44,12 +43,7 @@ def local_session(cpus: int | str = 8, app: str = "ledgerlens", **extra: str) ->
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to the machine's own temporary folder; on a cluster the executors
-    would not see it, so an unset folder is an error there.
+    Where that is unset, as in tests, a folder of the warehouse is used, which all executors reach too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="ledgerlens-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,7 +2,8 @@
 
 Spark's state store holds the last update per account, ordered by (slot, seq), so a late update cannot replace
 a newer one and a balance of 0 stays as a tombstone.  Each micro-batch appends the accounts it changed to a
-change log; the current accounts are the newest entry per account.
+change log; the current accounts are the newest entry per account.  :func:`fold` turns the log into a version with one
+row per account and drops the batches in it, so that reading the state does not take longer as the stream gets older.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators.holders import latest_accounts
 from ledgerlens.operators.ordering import first_per_group
-from ledgerlens.sources.tables import publish_version
+from ledgerlens.sources.tables import _file_system, publish_version, read_version
 
 CHANGE_LOG = "account string, mint string, owner string, amount decimal(20,0), slot bigint, seq bigint"
 
@@ -60,3 +61,50 @@ def compact(log: DataFrame, root: str) -> str:
     """Publish the newest entry per account, tombstones included, as a new table version."""
     newest = first_per_group(log.drop("batch"), ["account"], [F.col("slot").desc(), F.col("seq").desc()])
     return publish_version(newest, root)
+
+
+def batches(spark: SparkSession, log_path: str) -> list[int]:
+    """Numbers of the logged batches, oldest first."""
+    files, location = _file_system(spark, log_path)
+    names = [e.getPath().getName() for e in files.listStatus(location)] if files.exists(location) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def _pending(spark: SparkSession, log_path: str, known: DataFrame | None) -> tuple[DataFrame | None, int | None]:
+    """Entries of the batches that the newest version does not hold, and the last of these batches."""
+    first = None if known is None else known.select("folded").first()
+    new = [b for b in batches(spark, log_path) if first is None or b > first["folded"]]
+    if not new:
+        return None, None
+    paths = [f"{log_path}/batch={b}" for b in new]
+    return spark.read.schema(CHANGE_LOG).parquet(*paths), new[-1]
+
+
+def state(spark: SparkSession, log_path: str, root: str) -> DataFrame:
+    """Accounts with a balance: the newest version of :func:`fold` and the batches logged since."""
+    known = read_version(spark, root)
+    rows, _ = _pending(spark, log_path, known)
+    held = None if known is None else known.drop("folded")
+    if rows is None and held is None:
+        return spark.createDataFrame([], CHANGE_LOG)
+    return latest_accounts(rows if held is None else held if rows is None else held.unionByName(rows))
+
+
+def fold(spark: SparkSession, log_path: str, root: str) -> str | None:
+    """Publish the newest entry per account, tombstones included, and drop the batches it holds; None without new ones.
+
+    A batch that the stream runs again later writes its folder anew; its entries are in the version already and change
+    nothing.
+    """
+    known = read_version(spark, root)
+    rows, last = _pending(spark, log_path, known)
+    if rows is None:
+        return None
+    rows = rows if known is None else rows.unionByName(known.drop("folded"))
+    newest = first_per_group(rows, ["account"], [F.col("slot").desc(), F.col("seq").desc()])
+    path = publish_version(newest.withColumn("folded", F.lit(last)), root)
+    for batch in batches(spark, log_path):
+        if batch <= last:
+            files, location = _file_system(spark, f"{log_path}/batch={batch}")
+            files.delete(location, True)
+    return path

@@ -112,6 +112,16 @@ def test_state_in_pieces_equals_one_batch(spark, tmp_path):
     holder_stream.compact(log, root)
     assert tables.read_version(spark, root).count() == len(newest)
     assert state(holders.latest_accounts(tables.read_version(spark, root))) == expected
+    # Folding the log twice keeps the state and leaves no batches behind.
+    path, folded = str(tmp_path / "log"), str(tmp_path / "folded")
+    assert state(holder_stream.state(spark, path, folded)) == expected
+    assert holder_stream.fold(spark, path, folded) and holder_stream.batches(spark, path) == []
+    assert holder_stream.fold(spark, path, folded) is None
+    assert state(holder_stream.state(spark, path, folded)) == expected
+    gone = spark.createDataFrame([(expected[0][0], "m", "o", 0, 10**9, 1)], holder_stream.CHANGE_LOG.replace("decimal(20,0)", "int"))
+    gone.selectExpr("account", "mint", "owner", "cast(amount as decimal(20,0)) amount", "slot", "seq").write.parquet(f"{path}/batch=99")
+    assert state(holder_stream.state(spark, path, folded)) == expected[1:]
+    assert holder_stream.fold(spark, path, folded) and state(holder_stream.state(spark, path, folded)) == expected[1:]
 
 
 def test_periodic_ingest_reads_each_file_once(spark, tmp_path):
