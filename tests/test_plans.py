@@ -22,7 +22,8 @@ def plan(df):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 def test_no_cross_join_and_no_window_over_everything(spark):
     for name, query in queries().items():
-        if name in STREAMS:
+        # The optional operators run jobs while they are planned; their plans are looked at in their own tests.
+        if name in STREAMS or name == "pipeline" or re.match(r"op\d+_", name):
             continue
         text = plan(query(spark, FOLDER))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
