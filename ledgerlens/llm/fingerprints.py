@@ -24,7 +24,7 @@ LEAST_SHARE, MOST_SHARE = 0.002, 0.2
 #: A word of a single document is never in the lexicon.
 LEAST_DOCUMENTS = 2
 
-#: One in so many lexicon words falls into a subset of each density, divided by the subsets of a density.
+#: One in so many lexicon words falls into some subset of each density (powers of two), and the subsets of a density.
 DENSITIES = (1, 4, 16, 64)
 SUBSETS = 16
 
@@ -36,7 +36,7 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 def distinct_words(text: Column) -> Column:
     """Hashes of the distinct words of a text, letter case aside."""
-    words = F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -49,26 +49,31 @@ def build_lexicon(documents: DataFrame, least: float = LEAST_SHARE, most: float
     return counts.filter(band).select("word")
 
 
-def subset_hashes(words: Column, whole: Column) -> Column:
-    """The hash of each subset's share of the sorted lexicon words, 0 where a subset has none.
+def with_subset_hashes(documents: DataFrame, words: str, whole: str, output: str) -> DataFrame:
+    """Add the hash of each subset's share of the sorted lexicon words, 0 where a subset has none.
 
-    A document without lexicon words gets the hash of its whole text in every place.
+    A document without lexicon words gets the hash of its whole text in every place.  Columns that later steps use more
+    than once are worked out in steps of their own.
     """
-    ordered = F.array_sort(words)
 
-    def parts(density: int) -> Column:
-        def place(word: Column) -> Column:
-            return F.pmod(F.xxhash64(word, F.lit(density)), F.lit(density * SUBSETS))
+    def place(word: Column, number: int, density: int) -> Column:
+        # Each density reads bits of its own of the word's hash: the subset, or no subset beyond SUBSETS.
+        return F.shiftrightunsigned(word, 16 * number).bitwiseAND(F.lit(density * SUBSETS - 1))
 
-        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(SUBSETS - 1).cast("bigint"))
-        return F.transform(numbers, lambda k: F.filter(ordered, lambda w: place(w) == k))
+    def share(number: int, density: int, subset: int) -> Column:
+        return F.filter(f"{output}_{number}", lambda w: place(w, number, density) == subset)
 
-    hashed = F.transform(
-        F.flatten(F.array(*map(parts, DENSITIES))),
-        lambda part: F.when(F.size(part) > 0, F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0)),
-    )
-    missing = F.array_repeat(whole.bitwiseAND(F.lit(0xFFFFFFFF)), len(DENSITIES) * SUBSETS)
-    return F.when(F.size(words) > 0, hashed).otherwise(missing)
+    def thinned(number: int, density: int) -> Column:
+        return F.filter(f"{output}_0", lambda w: place(w, number, density) < SUBSETS)
+
+    low = F.lit(0xFFFFFFFF)
+    steps = documents.withColumn(f"{output}_0", F.sort_array(words))
+    steps = steps.withColumns({f"{output}_{i}": thinned(i, d) for i, d in enumerate(DENSITIES) if i})
+    shares = [share(i, d, k) for i, d in enumerate(DENSITIES) for k in range(SUBSETS)]
+    hashed = F.transform(F.array(*shares), lambda s: F.when(F.size(s) > 0, F.xxhash64(s).bitwiseAND(low)).otherwise(F.lit(0)))
+    missing = F.array_repeat(F.col(whole).bitwiseAND(low), len(shares))
+    found = steps.withColumn(output, F.when(F.size(words) > 0, hashed).otherwise(missing))
+    return found.drop(words, *[f"{output}_{i}" for i in range(len(DENSITIES))])
 
 
 def as_text(hashes: Column) -> Column:
@@ -175,11 +180,8 @@ def fingerprint_edits(documents: DataFrame, least: float = LEAST_SHARE, most: fl
         F.collect_list(F.when(~F.col("of_edited") & (F.col("word") != anchor), F.col("word"))).alias("own"),
         F.collect_list(F.when(F.col("of_edited") & (F.col("word") != anchor), F.col("word"))).alias("other"),
     )
-    marked = gathered.select(
-        "*",
-        subset_hashes(F.col("own"), F.col("tie")).alias("own_hashes"),
-        subset_hashes(F.col("other"), F.col("edited_whole")).alias("edited_hashes"),
-    )
+    marked = with_subset_hashes(gathered, "own", "tie", "own_hashes")
+    marked = with_subset_hashes(marked, "other", "edited_whole", "edited_hashes")
     following = F.lead("own_hashes").over(Window.partitionBy("bucket").orderBy("turn"))
     marked = marked.withColumn("next_hashes", F.when(F.col("doc_id").isNotNull(), following)).filter(~F.col("guest"))
     return marked.select(
