@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import lower_ascii
+from ledgerlens.llm.common import cut_lineage, lower_ascii
 
 # What separates words, the phrases that are looked for, and published notices.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,37 +56,63 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def phrase_places(documents: DataFrame) -> DataFrame:
-    """Add n_words, n_base, first_word, last_word and base (the labels) to rows with ``clean`` word text."""
+def least_overlap(words: set[str], containment: float) -> int:
+    return math.ceil(containment * len(words) - 1e-9)
+
+
+def facts_of(documents: DataFrame, containment: float) -> DataFrame:
+    """What one pass over (doc_id, text) tells of every document.
+
+    Result: doc_id, digest (of the text), n_words, present (the template words it holds), n_base, first_word, last_word,
+    base (labels of the phrases), and the text again where some template has enough of its words in it.
+    """
+    vocabulary = sorted({w for _, text in TEMPLATES for w in text.split()})
+    # Lower-casing all letters is cheaper than A-Z alone.  It neither joins nor splits words, and adds at most a word to
+    # those present; places and blocks below are taken from the exact text.
+    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_WORD), "")
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("digest"), words.alias("words"))
+    rows = rows.select(
+        "doc_id", "text", "digest", F.size("words").cast("bigint").alias("n_words"),
+        F.array_intersect("words", _strings(vocabulary)).alias("present"),
+    )
+    def holds(wanted: set[str], least: int) -> Column:
+        return F.size(F.array_intersect("present", _strings(sorted(wanted)))) >= least
+
+    some_phrase, some_template = F.lit(False), F.lit(False)
+    for phrase in PHRASES:
+        some_phrase = some_phrase | holds(set(phrase.split()), len(set(phrase.split())))
+    for _, text in TEMPLATES:
+        some_template = some_template | holds(set(text.split()), least_overlap(set(text.split()), containment))
     # Every word stands between blanks of its own, so that neighbouring phrases share none.
-    spaced = documents.withColumn("spaced", F.concat(F.lit(" "), F.replace("clean", F.lit(" "), F.lit("  ")), F.lit(" ")))
+    clean = F.when(some_phrase, F.concat(F.lit(" "), F.replace(word_text(F.col("text")), F.lit(" "), F.lit("  ")), F.lit(" ")))
+    rows = rows.withColumn("spaced", F.coalesce(clean, F.lit("")))
     blanks = lambda text: F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    spaced = spaced.withColumn("n_words", F.when(F.col("clean") == "", 0).otherwise(blanks(F.col("clean")) + 1).cast("bigint"))
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in PHRASES.items():
-        words = phrase.split()
-        needle = " " + "  ".join(words) + " "
+        needle = " " + "  ".join(phrase.split()) + " "
         found = F.col("spaced").contains(needle)
         counts.append(F.when(found, F.size(F.split("spaced", needle, -1)) - 1).otherwise(0))
         firsts.append(F.when(found, blanks(F.substring_index("spaced", needle, 1)) / 2))
-        lasts.append(F.when(found, F.col("n_words") - blanks(F.substring_index("spaced", needle, -1)) / 2 - len(words)))
+        lasts.append(F.when(found, F.col("n_words") - blanks(F.substring_index("spaced", needle, -1)) / 2 - len(phrase.split())))
         labels.append(F.when(found, F.lit(label)))
-    total = sum(counts[1:], counts[0])
-    return spaced.select(
-        *documents.columns,
+    return rows.select(
+        "doc_id",
+        "digest",
         "n_words",
-        total.cast("bigint").alias("n_base"),
+        "present",
+        sum(counts[1:], counts[0]).cast("bigint").alias("n_base"),
         F.least(*firsts).cast("bigint").alias("first_word"),
         F.greatest(*lasts).cast("bigint").alias("last_word"),
         F.array_compact(F.array(*labels)).alias("base"),
+        F.when(some_template, F.col("text")).alias("text"),
     )
 
 
-def ordered_vocabulary(documents: DataFrame) -> list[str]:
+def ordered_vocabulary(facts: DataFrame) -> list[str]:
     """The words of the templates by the number of documents that hold them, rarest first; ties by the word."""
     vocabulary = sorted({w for _, text in TEMPLATES for w in text.split()})
-    held = documents.select(F.explode(F.array_intersect(words_of(F.col("clean")), _strings(vocabulary))).alias("word"))
-    counts = {row["word"]: row["n"] for row in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = facts.select(F.explode("present").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = {row["word"]: row["n"] for row in held.collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
@@ -96,24 +122,21 @@ def prefix_index(vocabulary: list[str], containment: float) -> list[dict]:
     rows = []
     for number, (label, text) in enumerate(TEMPLATES):
         words = sorted(set(text.split()), key=place.__getitem__)
-        least = math.ceil(containment * len(words) - 1e-9)
+        least = least_overlap(set(words), containment)
         for i, word in enumerate(words[: len(words) - least + 1]):
             rows.append({"template": number, "label": label, "words": words, "least": least, "place": i, "word": word})
     return rows
 
 
-def template_matches(documents: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def template_matches(facts: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """Rows of (doc_id, digest, found, best): labels and best containment of the documents that match a template."""
-    vocabulary = ordered_vocabulary(documents)
+    vocabulary = ordered_vocabulary(facts)
     index = prefix_index(vocabulary, containment)
     least = min(r["least"] for r in index)
     rarest = sorted({r["word"] for r in index})
-    # A block can only match if its document holds a prefix word, here looked for as a part of the text.
-    hopeful = F.lit(False)
-    for word in rarest:
-        hopeful = hopeful | F.col("clean").contains(word)
-    candidates = documents.filter(hopeful).withColumn("all_words", words_of(F.col("clean")))
-    candidates = candidates.filter(F.arrays_overlap("all_words", _strings(rarest)))
+    # A block can only match if its document holds a prefix word.
+    candidates = facts.filter(F.col("text").isNotNull() & F.arrays_overlap("present", _strings(rarest)))
+    candidates = candidates.select("doc_id", "digest", words_of(word_text(F.col("text"))).alias("all_words"))
     starts = F.sequence(F.lit(1), F.size("all_words"), F.lit(STEP))
     windows = F.transform(starts, lambda s: F.array_intersect(_strings(vocabulary), F.slice("all_words", s, WIDTH)))
     blocks = candidates.select("doc_id", "digest", F.explode(F.array_distinct(windows)).alias("block"))
@@ -122,7 +145,7 @@ def template_matches(documents: DataFrame, containment: float = CONTAINMENT) ->
         "doc_id", "digest", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - least + 1)).alias("at", "word")
     )
     # At most a few rows per template, whatever the size of the corpus.
-    templates = documents.sparkSession.range(1).select(
+    templates = facts.sparkSession.range(1).select(
         F.inline(F.array(*[
             F.struct(
                 F.lit(r["label"]).alias("label"), F.lit(r["template"]).alias("template"), _strings(r["words"]).alias("words"),
@@ -153,11 +176,10 @@ def scan(documents: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     labels and null positions.  Repeated rows give repeated rows, null doc_ids are kept.  Other columns are not read.
     """
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    clean = rows.select("doc_id", word_text(F.col("text")).alias("clean"))
-    clean = clean.withColumn("digest", F.xxhash64("clean"))
-    base = phrase_places(clean).drop("clean")
-    matches = template_matches(clean, containment).withColumnsRenamed({"doc_id": "match_id", "digest": "match_digest"})
-    joined = base.join(matches, F.col("doc_id").eqNullSafe(F.col("match_id")) & (F.col("digest") == F.col("match_digest")), "left")
+    # Read for the word frequencies, the matches and the result; holds texts only where a template may match.
+    facts = cut_lineage(facts_of(rows, containment))
+    matches = template_matches(facts, containment).withColumnsRenamed({"doc_id": "match_id", "digest": "match_digest"})
+    joined = facts.join(matches, F.col("doc_id").eqNullSafe(F.col("match_id")) & (F.col("digest") == F.col("match_digest")), "left")
     found = F.coalesce("found", F.array().cast("array<string>"))
     named = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return joined.select(
