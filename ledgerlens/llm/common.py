@@ -65,7 +65,7 @@ def held_back(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
+    batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000
 ) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of one text column, or a single row."""
     for batch in batches:

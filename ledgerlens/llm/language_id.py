@@ -31,7 +31,7 @@ ORDER, MOST_GRAMS = 4, 2_000_000
 TOLERANCE = 0.75
 
 #: Words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 UNKNOWN = "und"
 
