@@ -80,6 +80,18 @@ def test_scores_equal_brute_force(spark, monkeypatch, block):
         assert sum(p(context, w) for w in [*one, "never seen"]) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("block", [700, 1_000_000])
+def test_every_word_of_the_training_documents_is_a_context(spark, monkeypatch, block):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
+    rows = [*documents(200), (200, "once alone", False), (201, "once alone", True), (202, "once of", True), (203, "never of", True)]
+    tokens, one, p, contexts = slow_model(rows)
+    assert sum(one.values()) > 2000 and contexts == {*one, "^"} - {" "}
+    found = {r["doc_id"]: r["score"] for r in scored(spark, rows).collect()}
+    for own, (i, _, _) in zip(tokens, rows):
+        assert found[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["^", *own], own)), rel=1e-9)
+    assert found[201] > found[202]
+
+
 def test_without_training_rows_and_without_rows(spark):
     found = scored(spark, [(1, "a b", True), (2, None, True)]).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in sorted(found)] == [
