@@ -25,6 +25,24 @@ def test_page_without_an_article_element():
     assert main_text(page) == f"Title\n{LONG.strip()}\nHm.\n{LONG.strip()}"
 
 
+def test_teaser_articles_beside_the_main_text():
+    cards = "".join(f"<article><a href='/{i}'><h3>Card {i}</h3></a></article>" for i in range(6))
+    page = f"<body><main><div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div></main><div>{cards}</div></body>"
+    assert main_text(page) == f"Title\n{LONG.strip()}\nShort.\n{LONG.strip()}"
+
+
+def test_short_blocks_between_and_beside_content_stay():
+    links = "".join(f"<div><a href='/{i}'>Link {i}</a></div>" for i in range(9))
+    page = f"""<body><div>{links}</div><div><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div>
+    <div><p>The end.</p></div>{links}</div></body>"""
+    assert main_text(page) == f"{LONG.strip()}\nShort.\n{LONG.strip()}\nThe end."
+
+
+def test_wrappers_that_only_mention_clutter():
+    for name in ("content has-sidebar", "no-comments", "page-with-nav", "sidebar-layout"):
+        assert main_text(f"<div class='{name}'><p>{LONG}</p></div><div class='sidebar-left'>{LONG}x</div>") == LONG.strip()
+
+
 def test_rows_without_text(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x", 1), (3, "u", "<script>x</script>", 1), (3, "u", "plain", 1), (3, "u", "plain", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
