@@ -78,3 +78,19 @@ def slices(
             held += size or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def repeated(df: DataFrame, copies: str, run: int = 1000) -> DataFrame:
+    """Each row as often as its column ``copies`` says, and that column gone.
+
+    A row with very many copies is cut into runs first, which are dealt to all tasks before they are written out.
+    """
+    (part,) = fresh(df, "run_part")
+    few = df.filter(F.col(copies) <= run).withColumn(part, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
+    runs = (
+        df.filter(F.col(copies) > run)
+        .withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(copies) - 1) / run))))
+        .withColumn(copies, F.least(F.lit(run).cast("bigint"), F.col(copies) - F.col(part) * run))
+    )
+    dealt = runs.repartition(part).withColumn(part, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
+    return few.unionByName(dealt).drop(copies, part)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_score, packing, simhash, topk
+from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_score, packing, simhash, topk, whitening
 from ledgerlens.llm.common import held_back, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,11 @@ FROM documents LEFT JOIN rest ON documents.doc_id = rest.doc_id
 """
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened values of every vector on the eight strongest components of all vectors."""
+    return whitening.whiten(read_table(spark, folder, "embeddings"), most=8, scale=1024.0, shift=100_000)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_packing": (op2_packing, None),
@@ -118,4 +123,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_topk": (op8_topk, OP8_SQL),
     "op9_lm_scoring": (op9_lm_scoring, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
+    "op11_whitening": (op11_whitening, None),
 }
