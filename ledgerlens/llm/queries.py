@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_score, packing, simhash, topk, whitening
+from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_score, packing, periodic_runs, simhash, topk, whitening
 from ledgerlens.llm.common import held_back, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,11 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(read_table(spark, folder, "embeddings"), most=8, scale=1024.0, shift=100_000)
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, some of which are made periodic first."""
+    return periodic_runs.periodic_runs(read_table(spark, folder, "documents"), least_words=24, least_periods=3, plant=True)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_packing": (op2_packing, None),
@@ -124,4 +129,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_lm_scoring": (op9_lm_scoring, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
     "op11_whitening": (op11_whitening, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
 }
