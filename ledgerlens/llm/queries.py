@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_score, packing, periodic_runs, simhash, topk, whitening
+from ledgerlens.llm import bpe, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_score, mixing, packing, periodic_runs, simhash, topk, whitening
 from ledgerlens.llm.common import held_back, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,11 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.periodic_runs(read_table(spark, folder, "documents"), least_words=24, least_periods=3, plant=True)
 
 
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of the sources takes of every document: 150 % of all words, no document more than twice."""
+    return mixing.mix(read_table(spark, folder, "documents"), weights=[5.0, 2.0, 1.0], share=1.5, most=2.0, seed=42)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_packing": (op2_packing, None),
@@ -130,4 +135,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
     "op11_whitening": (op11_whitening, None),
     "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_mixing": (op13_mixing, None),
 }
