@@ -10,7 +10,6 @@ DECIMAL_TEXT = r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"
 PLAIN_DECIMAL_TEXT = r"^[0-9]+(\.[0-9]+)?$"
 INTEGER_TEXT = r"^[0-9]+$"
 
-EXACT = "decimal(38,9)"
 UNITS = "decimal(38,0)"
 
 
@@ -24,9 +23,13 @@ def is_decimal_text(text: Column) -> Column:
     return F.coalesce(F.trim(text).rlike(DECIMAL_TEXT), F.lit(False))
 
 
-def parse_decimal(text: Column) -> Column:
-    """Exact value of decimal text, null when it is not decimal text."""
-    return F.when(is_decimal_text(text), F.trim(text).try_cast(EXACT))
+def decimal_text(text: Column) -> Column:
+    """Decimal text of any length without superfluous zeros, null for other text: equal numbers have equal texts."""
+    trimmed = F.trim(text)
+    whole = F.regexp_replace(F.substring_index(trimmed, ".", 1), "^0+(?=[0-9])", "")
+    fraction = F.regexp_replace(_fraction(trimmed), "0+$", "")
+    front = F.when(whole == "", "0").otherwise(whole)
+    return F.when(is_decimal_text(text), F.when(fraction == "", front).otherwise(F.concat_ws(".", front, fraction)))
 
 
 def decimal_order(text: Column) -> Column:
@@ -37,61 +40,22 @@ def decimal_order(text: Column) -> Column:
     return F.when(is_decimal_text(text), F.struct(F.length(whole).alias("digits"), whole.alias("whole"), fraction.alias("fraction")))
 
 
-#: Sums are kept in parts of LIMB digits: two for whole numbers and one behind the point.
-LIMB = 18
-LIMBS = ("high", "low", "fraction")
-
-
-def limbs(text: Column) -> dict[str, Column]:
-    """Decimal text of up to 36 whole and 18 fraction digits in exact parts, 0 for other text."""
-    trimmed = F.trim(text)
-    whole = F.lpad(F.regexp_replace(F.substring_index(trimmed, ".", 1), "^0+", ""), 2 * LIMB, "0")
-    fraction = F.rpad(F.regexp_replace(_fraction(trimmed), "0+$", ""), LIMB, "0")
-    parts = (F.substring(whole, 1, LIMB), F.substring(whole, LIMB + 1, LIMB), fraction)
-    usable = is_decimal_text(text) & ~beyond_limbs(text)
-    return {n: F.when(usable, p.cast(f"decimal({LIMB},0)")).otherwise(0).cast(f"decimal({LIMB},0)") for n, p in zip(LIMBS, parts)}
-
-
-def beyond_limbs(text: Column) -> Column:
-    """Whether decimal text has more digits than :func:`limbs` keeps; such amounts are counted, not dropped silently."""
-    trimmed = F.trim(text)
-    whole = F.regexp_replace(F.substring_index(trimmed, ".", 1), "^0+", "")
-    fraction = F.regexp_replace(_fraction(trimmed), "0+$", "")
-    return is_decimal_text(text) & ((F.length(whole) > 2 * LIMB) | (F.length(fraction) > LIMB))
-
-
-def limbs_text(high: Column, low: Column, fraction: Column) -> Column:
-    """Sums of :func:`limbs` as one exact decimal text without superfluous zeros."""
-
-    def carried(part: Column) -> tuple[Column, Column]:
-        digits = F.lpad(part.cast("decimal(38,0)").cast("string"), 38, "0")
-        return F.substring(digits, 1, 38 - LIMB).cast("decimal(20,0)"), F.substring(digits, 39 - LIMB, LIMB)
-
-    over, tail = carried(fraction)
-    over, middle = carried(low.cast("decimal(36,0)") + over)
-    front = (high.cast("decimal(36,0)") + over).cast("string")
-    whole = F.regexp_replace(F.concat(front, middle), "^0+(?=[0-9])", "")
-    tail = F.regexp_replace(tail, "0+$", "")
-    return F.when(tail == "", whole).otherwise(F.concat_ws(".", whole, tail))
-
-
-def limbs_compare(left: list[Column], right: list[Column]) -> Column:
-    """Negative, zero or positive like the difference of two amounts in exact parts; sums need not be carried."""
-    high, low, fraction = [a.cast("decimal(37,0)") - b.cast("decimal(37,0)") for a, b in zip(left, right)]
-    unit = F.lit(10**LIMB).cast("decimal(19,0)")
-    # Where a higher part alone decides, it is left out of the products, which then fit 38 digits.
-    bound = F.lit(10**17).cast("decimal(18,0)")
-    whole = F.when(F.abs(high) > bound, F.signum(high) * bound).otherwise(high).cast("decimal(18,0)") * unit + low
-    whole = F.when(F.abs(whole) > bound, F.signum(whole) * bound).otherwise(whole).cast("decimal(18,0)")
-    return whole * unit + fraction
-
-
 def finite_number(text: Column) -> Column:
     """Double value of a text, null for text that is no number and for NaN and infinities."""
     value = text.try_cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+def is_finite(value: Column) -> Column:
+    """False for null, NaN and infinities."""
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
+def is_integer_text(text: Column) -> Column:
+    """True for digits of any length; false for null, signs and points."""
+    return F.coalesce(F.trim(text).rlike(INTEGER_TEXT), F.lit(False))
+
+
 def parse_integer(text: Column) -> Column:
     """Exact value of an unsigned integer text, null for anything else."""
     trimmed = F.trim(text)
@@ -121,18 +85,18 @@ def truncate_to_base_units(text: Column, decimals: Column) -> Column:
 
 def format_base_units(raw: Column, decimals: Column) -> Column:
     """Base units as decimal text without trailing zeros."""
-    units = F.abs(raw.cast(UNITS)).cast("string")
-    padded = F.when(
-        F.length(units) <= decimals, F.lpad(units, decimals + 1, F.lit("0"))
-    ).otherwise(units)
-    whole = F.substring(padded, F.lit(1), F.length(padded) - decimals)
-    fraction = F.regexp_replace(
-        F.substring(padded, F.length(padded) - decimals + 1, decimals), "0+$", ""
-    )
-    text = F.when((decimals == 0) | (fraction == ""), whole).otherwise(F.concat_ws(".", whole, fraction))
+    text = with_point(F.abs(raw.cast(UNITS)).cast("string"), decimals)
     return F.when(raw < 0, F.concat(F.lit("-"), text)).when(raw >= 0, text)
 
 
+def with_point(units: Column, decimals: Column) -> Column:
+    """Digits of base units, however many, as decimal text without trailing zeros."""
+    padded = F.when(F.length(units) <= decimals, F.lpad(units, decimals + 1, F.lit("0"))).otherwise(units)
+    whole = F.substring(padded, F.lit(1), F.length(padded) - decimals)
+    fraction = F.regexp_replace(F.substring(padded, F.length(padded) - decimals + 1, decimals), "0+$", "")
+    return F.when((decimals == 0) | (fraction == ""), whole).otherwise(F.concat_ws(".", whole, fraction))
+
+
 def plain_text(value: Column) -> Column:
     """Exact decimal as text without trailing zeros."""
     text = value.cast("string")

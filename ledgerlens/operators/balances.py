@@ -10,17 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import (
-    LIMBS,
-    beyond_limbs,
-    finite_number,
-    format_base_units,
-    is_decimal_text,
-    limbs,
-    limbs_text,
-    parse_decimal,
-    parse_integer,
-)
+from ledgerlens.functions.amounts import finite_number, is_finite, is_integer_text, with_point
+from ledgerlens.operators.exact import sum_amounts
 from ledgerlens.operators.ordering import first_overall, first_per_group
 
 # Currencies accepted as US dollars, stable tokens, native token, listing size.
@@ -65,12 +56,13 @@ def mint_prices(
 ) -> DataFrame:
     """Dollar price per held mint: 1 for a stable mint or a mint held under a stable name, else the fetched price.
 
-    ``prices`` has one row per mint: mint, price, currency.  A price must be in dollars and not negative.
+    ``prices`` has one row per mint: mint, price, currency.  A price must be in dollars, finite and not negative.
     """
     is_stable = F.upper(F.trim("token")).isin(*stable) | F.trim("mint").isin(*stable_mints)
     fixed = balances.filter(is_stable).select("mint").distinct().withColumn("usd_price", F.lit(1.0))
     currency = F.upper(F.trim(F.coalesce("currency", F.lit("USD"))))
-    fetched = prices.filter((F.col("price") >= 0) & currency.isin(*DOLLAR_CURRENCIES)).select(
+    sound = is_finite(F.col("price").cast("double")) & (F.col("price") >= 0)
+    fetched = prices.filter(sound & currency.isin(*DOLLAR_CURRENCIES)).select(
         F.trim("mint").alias("mint"), F.col("price").cast("double").alias("usd_price")
     )
     return fixed.unionByName(fetched.join(fixed, "mint", "left_anti"))
@@ -82,58 +74,48 @@ def price_balances(
     stable: Sequence[str] = STABLE_TOKENS,
     stable_mints: Sequence[str] = STABLE_MINTS,
 ) -> DataFrame:
-    """Add usd_price and usd_value to balances with a numeric amount and a known price."""
+    """Add usd_price and usd_value to balances with a numeric amount and a known price; a value is finite or null."""
     known = mint_prices(balances, prices, stable, stable_mints)
     amount = finite_number(F.col("ui_amount"))
+    value = F.round(amount * F.col("usd_price"), 6)
     return (
         balances.join(known, "mint", "left")
-        .withColumn("usd_value", F.round(amount * F.col("usd_price"), 6))
+        .withColumn("usd_value", F.when(is_finite(value), value))
         .withColumn("usd_price", F.when(amount.isNotNull(), F.col("usd_price")))
     )
 
 
-def _formatted(sums: DataFrame, *extra: str) -> DataFrame:
+def _totals(balances: DataFrame, *more: tuple[str, tuple[str, Column]]) -> DataFrame:
+    """Exact base units per mint as text, and the label of the wallet that comes first."""
+    units = F.when(is_integer_text(F.col("amount")), F.trim("amount"))
+    first = F.struct("wallet_id", "token", "decimals")
+    sums = sum_amounts(balances, ["mint"], units, "units", "unsummed", {"first": ("min", first), **dict(more)})
+    digits = F.coalesce("units", F.lit("0"))
     return sums.select(
-        "token",
+        "first.token",
         "mint",
-        F.col("units").cast("string").alias("amount"),
-        format_base_units(F.col("units"), F.col("decimals")).alias("ui_amount"),
-        "decimals",
-        *extra,
+        digits.alias("amount"),
+        with_point(digits, F.col("first.decimals")).alias("ui_amount"),
+        "first.decimals",
+        *[name for name, _ in more],
     )
 
 
-def _first_row(column: str) -> Column:
-    """Value of the wallet that comes first; the label of a mint is the same in every wallet."""
-    return F.min_by(column, F.struct("wallet_id", "token"))
-
-
 def total_per_mint(balances: DataFrame) -> DataFrame:
-    """Exact balance per mint over all wallets; malformed amounts count as 0."""
-    sums = balances.groupBy("mint").agg(
-        _first_row("token").alias("token"),
-        _first_row("decimals").alias("decimals"),
-        F.sum(F.coalesce(parse_integer(F.col("amount")), F.lit(0))).alias("units"),
-    )
-    return _formatted(sums)
+    """Exact balance per mint over all wallets, for amounts of any length; malformed amounts count as 0."""
+    return _totals(balances)
 
 
 def valid_total_per_mint(balances: DataFrame) -> DataFrame:
-    """Exact balance and dollar value per mint; rows with a malformed amount are dropped."""
-    units = parse_integer(F.col("amount"))
-    sound = balances.filter(units.isNotNull() & finite_number(F.col("ui_amount")).isNotNull())
-    sums = sound.groupBy("mint").agg(
-        _first_row("token").alias("token"),
-        _first_row("decimals").alias("decimals"),
-        F.sum(units).alias("units"),
-        F.round(F.sum("usd_value"), 6).alias("usd_value"),
-    )
-    return _formatted(sums, "usd_value")
+    """Exact balance and dollar value per mint; rows with a malformed amount are dropped, values that are not finite too."""
+    sound = balances.filter(is_integer_text(F.col("amount")) & finite_number(F.col("ui_amount")).isNotNull())
+    value = F.when(is_finite(F.col("usd_value")), F.col("usd_value"))
+    return _totals(sound, ("usd_value", ("sum", value))).withColumn("usd_value", F.round("usd_value", 6))
 
 
 def malformed_amounts(balances: DataFrame) -> DataFrame:
     """Rows the totals cannot use, with the reason."""
-    bad_units = parse_integer(F.col("amount")).isNull()
+    bad_units = ~is_integer_text(F.col("amount"))
     bad_amount = finite_number(F.col("ui_amount")).isNull()
     return balances.withColumn(
         "reason", F.when(bad_units, "amount").when(bad_amount, "ui_amount")
@@ -142,8 +124,7 @@ def malformed_amounts(balances: DataFrame) -> DataFrame:
 
 def total_value(balances: DataFrame) -> DataFrame:
     """Dollar value of everything, null when nothing has a price; values that are not finite have none."""
-    finite = ~F.isnan("usd_value") & (F.abs("usd_value") < float("inf"))
-    return balances.agg(F.sum(F.when(finite, F.col("usd_value"))).alias("total_usd"))
+    return balances.agg(F.sum(F.when(is_finite(F.col("usd_value")), F.col("usd_value"))).alias("total_usd"))
 
 
 def listed_balances(balances: DataFrame) -> DataFrame:
@@ -178,16 +159,8 @@ def largest_account(accounts: DataFrame) -> DataFrame:
 
 
 def volume_since(transfers: DataFrame, start: Column) -> DataFrame:
-    """Sum of numeric amounts created at or after ``start``; null when there is none.
+    """Exact sum of the amounts created at or after ``start`` as decimal text, for amounts of any length.
 
-    ``volume_text`` is the same sum for amounts of any usual length, exactly; ``unsummed`` counts the others.
+    ``volume`` is null when there is none; ``unsummed`` counts amounts that are no decimal text.
     """
-    amount = F.col("amount").cast("string")
-    sums = transfers.filter(F.col("created_at") >= start).agg(
-        F.sum(parse_decimal(F.col("amount"))).alias("volume"),
-        *[F.sum(part).alias(f"_{name}") for name, part in limbs(amount).items()],
-        F.count_if(is_decimal_text(amount)).alias("_valid"),
-        F.count_if(amount.isNotNull() & (~is_decimal_text(amount) | beyond_limbs(amount))).alias("unsummed"),
-    )
-    text = F.when(F.col("_valid") > 0, limbs_text(*[F.col(f"_{name}") for name in LIMBS]))
-    return sums.select("volume", text.alias("volume_text"), "unsummed")
+    return sum_amounts(transfers.filter(F.col("created_at") >= start), [], F.col("amount"), "volume", "unsummed")

@@ -8,19 +8,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import (
-    LIMBS,
-    UNITS,
-    beyond_limbs,
-    decimal_order,
-    is_decimal_text,
-    limbs,
-    limbs_text,
-    parse_decimal,
-)
+from ledgerlens.functions.amounts import UNITS
 from ledgerlens.functions.documents import appended, field, merged
 from ledgerlens.functions.text import title_case
 from ledgerlens.functions.times import moment, plus_hours
+from ledgerlens.operators.exact import running_amounts, sum_amounts, sum_text
 from ledgerlens.operators.listing import waiting_since
 from ledgerlens.operators.ordering import first_overall, first_per_group
 from ledgerlens.operators.skew import HOT_GROUP_ROWS, find_hot, never_null, ordered_prefix
@@ -35,61 +27,35 @@ CHANGING_STATUSES = ["activating", "canceling", "resuming"]
 DUE_KEY = ["organization_id", "project_id", "subscription_id", "due_at"]
 FEED_SIZE = 10
 
+#: Running sums sort one wallet's transfers of so many minutes at once.
+SPAN_MINUTES = 10
+
 
 # --- spending -------------------------------------------------------------------------------------------
 
 
 def daily_spend(transfers: DataFrame) -> DataFrame:
-    """Exact amount per wallet, token, direction and UTC day over transfers that count.
+    """Exact amount per wallet, token, direction and UTC day over transfers that count, for amounts of any length.
 
-    ``spent`` is decimal text, null without a valid amount; ``unsummed`` counts amounts that are no decimal text or have
-    more digits than a sum keeps.
+    ``spent`` is decimal text, null without a valid amount; ``unsummed`` counts amounts that are no decimal text.
     """
-    amount = F.col("amount").cast("string")
-    parts = limbs(amount)
-    sums = (
-        transfers.filter(F.col("status").isin(*COUNTED_STATUSES))
-        .groupBy("wallet_id", "token", "direction", F.to_date("created_at").alias("day"))
-        .agg(
-            *[F.sum(part).alias(f"_{name}") for name, part in parts.items()],
-            F.count_if(is_decimal_text(amount)).alias("_valid"),
-            F.count_if(amount.isNotNull() & (~is_decimal_text(amount) | beyond_limbs(amount))).alias("unsummed"),
-        )
-    )
-    spent = F.when(F.col("_valid") > 0, limbs_text(*[F.col(f"_{name}") for name in LIMBS]))
-    return sums.select("wallet_id", "token", "direction", "day", spent.alias("spent"), "unsummed")
+    counted = transfers.filter(F.col("status").isin(*COUNTED_STATUSES)).withColumn("day", F.to_date("created_at"))
+    return sum_amounts(counted, ["wallet_id", "token", "direction", "day"], F.col("amount"), "spent", "unsummed")
 
 
-def with_running_spend(transfers: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Add ``spent_before``: what the wallet sent of the token earlier the same UTC day.
+def with_running_spend(transfers: DataFrame) -> DataFrame:
+    """Add ``spent_before``: the exact decimal text of what the wallet sent of the token earlier the same UTC day.
 
-    Transfers of one instant are taken in id order.  The columns ``_high_before``, ``_low_before`` and
-    ``_fraction_before`` hold the same sum in exact parts (:func:`spent_text`), and ``unsummed_before`` counts the
-    earlier amounts that are no decimal text or too long to be summed.
+    Transfers of one instant are taken in id order.  ``unsummed_before`` counts the earlier amounts that are no decimal
+    text; ``short_before`` and ``limbs_before`` hold the sum in parts (:mod:`ledgerlens.operators.exact`).
     """
-    amount = F.col("amount").cast("string")
-    counted = transfers.filter(
-        F.col("status").isin(*COUNTED_STATUSES) & (F.col("direction") == "outbound")
-    ).withColumns(
-        {
-            "day": F.to_date("created_at"),
-            "_units": parse_decimal(F.col("amount")),
-            "_at": F.unix_micros("created_at"),
-            "_order": decimal_order(amount),
-            "own_unsummed": (amount.isNotNull() & (~is_decimal_text(amount) | beyond_limbs(amount))).cast("bigint"),
-            **{f"_{name}": part for name, part in limbs(amount).items()},
-        }
+    counted = transfers.filter(F.col("status").isin(*COUNTED_STATUSES) & (F.col("direction") == "outbound")).withColumns(
+        {"day": F.to_date("created_at"), "_at": F.unix_micros("created_at")}
     )
-    keys = ["wallet_id", "token", "day"]
-    hot = find_hot(counted, keys, hot_rows)
-    sums = {"spent": F.col("_units"), "unsummed": F.col("own_unsummed"), **{f"_{n}": F.col(f"_{n}") for n in LIMBS}}
-    running = ordered_prefix(counted, keys, "_at", sums, hot, ties=["id"]).withColumnRenamed("_units", "units")
-    return running.drop("_at", *[f"{n}_total" for n in sums])
-
-
-def spent_text() -> Column:
-    """The exact sum before a row of :func:`with_running_spend` as decimal text."""
-    return limbs_text(*[F.col(f"_{n}_before") for n in LIMBS])
+    # A day is cut into stretches of time that are sorted apart.
+    span = f"floor(_at / {SPAN_MINUTES * 60_000_000})"
+    running = running_amounts(counted, ["wallet_id", "token", "day"], F.col("amount"), ["_at", "id"], span)
+    return running.withColumn("spent_before", sum_text("short_before", "limbs_before")).drop("_at")
 
 
 # --- batches --------------------------------------------------------------------------------------------

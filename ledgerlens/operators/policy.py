@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import LIMBS, beyond_limbs, decimal_order, is_decimal_text, limbs, limbs_compare
+from ledgerlens.functions.amounts import decimal_order, decimal_text, is_decimal_text
+from ledgerlens.operators.exact import LIMBS, SHORT_SUM, amount_parts, sum_text
 from ledgerlens.operators.payments import with_running_spend
 from ledgerlens.operators.skew import HOT_GROUP_ROWS, never_null
 
@@ -350,14 +351,15 @@ def wallet_limits(rows: DataFrame) -> DataFrame:
     )
 
 
-def check_limits(transfers: DataFrame, limits: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def check_limits(transfers: DataFrame, limits: DataFrame) -> DataFrame:
     """What the wallet's limits say about each outbound transfer, given what was sent earlier that day.
 
-    Amounts of any length are compared exactly.  An amount that is no decimal text is ``invalid_amount``, and one with
-    more digits than can be summed ``unsummable_amount`` for its wallet and the rest of its day: neither is ever allowed.
-    Otherwise the first violated limit is reported, in the order destination, single transfer, day.
+    Amounts and limits of any length are compared exactly.  An amount that is no decimal text is ``invalid_amount``, and
+    where the day holds such an amount before it, a daily limit gives ``unsummable_amount``: neither is ever allowed.
+    Otherwise the first violated limit is reported, in the order destination, single transfer, day.  A limit that is no
+    decimal text is ``invalid_max_transfer`` or ``invalid_max_daily``.
     """
-    spent = with_running_spend(transfers, hot_rows)
+    spent = with_running_spend(transfers)
     single, daily = F.col("max_transfer_amount"), F.col("max_daily_amount")
     # What only depends on the limits is worked out once per wallet.
     rows = limits.select(
@@ -366,26 +368,36 @@ def check_limits(transfers: DataFrame, limits: DataFrame, hot_rows: int = HOT_GR
         "max_transfer_amount",
         "max_daily_amount",
         decimal_order(single).alias("_single"),
+        decimal_order(daily).alias("_daily"),
+        amount_parts("max_daily_amount")["short"].alias("_daily_short"),
         (single.isNotNull() & ~is_decimal_text(single)).alias("_bad_single"),
         (daily.isNotNull() & ~is_decimal_text(daily)).alias("_bad_daily"),
-        (is_decimal_text(daily) & ~beyond_limbs(daily)).alias("_has_daily"),
-        *[part.alias(f"_daily{name}") for name, part in limbs(daily).items()],
     )
-    projected = [F.col(f"_{n}_before").cast("decimal(36,0)") + F.col(f"_{n}") for n in LIMBS]
-    beyond_day = limbs_compare(projected, [F.col(f"_daily{n}") for n in LIMBS]) > 0
+    # Numbers that a plain decimal holds are compared as such, all others by their digits.
+    sent = spent.selectExpr(
+        "*",
+        f"CAST(CAST(coalesce(short_before, 0) AS DECIMAL(37,9)) + CAST(coalesce(short, 0) AS DECIMAL(37,9)) AS {SHORT_SUM}) AS _sent",
+        f"concat(coalesce(limbs_before, CAST(array() AS {LIMBS})), coalesce(limbs, CAST(array() AS {LIMBS}))) AS _sent_limbs",
+    )
+    plain = (F.size("_sent_limbs") == 0) & F.col("_daily_short").isNotNull()
+    beyond_day = F.when(plain, F.col("_sent") > F.col("_daily_short")).otherwise(
+        decimal_order(sum_text("_sent", "_sent_limbs")) > F.col("_daily")
+    )
     outside = (F.size("destination_allowlist") > 0) & ~_listed(
         F.col("destination_allowlist"), F.col("destination_address")
     )
+    order = decimal_order(F.col("amount").cast("string"))
     verdict = (
-        F.when(F.col("_order").isNull(), "invalid_amount")
+        F.when(~F.col("valid"), "invalid_amount")
         .when(outside, "destination_not_allowed")
         .when(F.col("_bad_single"), "invalid_max_transfer")
-        .when(F.col("_order") > F.col("_single"), "exceeds_max_transfer")
+        .when(order > F.col("_single"), "exceeds_max_transfer")
         .when(F.col("_bad_daily"), "invalid_max_daily")
-        .when(daily.isNotNull() & (F.col("unsummed_before") + F.col("own_unsummed") > 0), "unsummable_amount")
-        .when(F.col("_has_daily") & beyond_day, "exceeds_max_daily")
+        .when(daily.isNotNull() & (F.col("unsummed_before") > 0), "unsummable_amount")
+        .when(daily.isNotNull() & beyond_day, "exceeds_max_daily")
         .otherwise("allowed")
     )
-    return spent.join(rows, "wallet_id", "left").select(
-        "id", "wallet_id", "token", "day", "units", "spent_before", verdict.alias("verdict")
+    amount = decimal_text(F.col("amount").cast("string"))
+    return sent.join(rows, "wallet_id", "left").select(
+        "id", "wallet_id", "token", "day", amount.alias("amount"), "spent_before", verdict.alias("verdict")
     )

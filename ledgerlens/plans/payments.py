@@ -109,12 +109,23 @@ def a29_daily_spend(spark, folder):
     return rows.withColumn("spent", F.col("spent").cast("double"))
 
 
-def a29_exact_spend(spark, folder):
-    """Every fifth amount has up to 27 whole and 12 fraction digits, every fifth is malformed."""
+def _long_amounts(spark, folder):
+    """Transfers of which every fifth amount has up to 47 whole and 30 fraction digits, and every fifth is malformed."""
     key = F.substring_index("id", "_", -1).cast("bigint")
-    long = F.concat(key.cast("string"), F.lit("0" * 18 + ".000000000001"))
+    long = F.concat(key.cast("string"), F.lit("0" * 40 + "." + "0" * 29 + "1"))
     amount = F.when(key % 5 == 0, long).when(key % 5 == 1, "12,5").otherwise(F.col("amount").cast("string"))
-    return payments.daily_spend(_transfers(spark, folder).withColumn("amount", amount))
+    return _transfers(spark, folder).withColumn("amount", amount)
+
+
+def a29_exact_spend(spark, folder):
+    """Daily spend of amounts beyond any number type."""
+    return payments.daily_spend(_long_amounts(spark, folder))
+
+
+def a29_exact_running(spark, folder):
+    """Running spend of amounts beyond any number type."""
+    rows = payments.with_running_spend(_long_amounts(spark, folder))
+    return rows.select("id", "spent_before", "unsummed_before")
 
 
 def a29_running_spend(spark, folder):
@@ -144,6 +155,12 @@ def a36_volume_today(spark, folder):
     return rows.select(F.col("volume").cast("double").alias("volume"))
 
 
+def a36_exact_volume(spark, folder):
+    """Volume of the last days, of amounts beyond any number type."""
+    transfers = _long_amounts(spark, folder)
+    return balances.volume_since(transfers, F.lit("1998-01-01").cast("timestamp"))
+
+
 def m11_reconcile(spark, folder):
     rows = payments.reconcile(_transfers(spark, folder), adapters.chain_status(spark, folder), AS_OF)
     return rows.select("id", "status", "error", "slot")
@@ -298,6 +315,14 @@ def a22_total_per_mint(spark, folder):
     return rows.select("mint", "amount", "ui_amount")
 
 
+def a22_exact_total(spark, folder):
+    """Totals per mint where every fifth balance has more than 40 digits."""
+    held = adapters.balances(spark, folder)
+    key = F.substring_index("wallet_id", "-", -1).cast("bigint")
+    amount = F.when(key % 5 == 0, F.concat("amount", F.lit("0" * 40))).otherwise(F.col("amount"))
+    return balances.total_per_mint(held.withColumn("amount", amount)).select("mint", "amount", "ui_amount")
+
+
 def a23_valid_total_per_mint(spark, folder):
     rows = balances.valid_total_per_mint(_priced(spark, folder))
     return rows.select("mint", "amount", "ui_amount", F.round("usd_value", 2).alias("usd_value"))
@@ -337,6 +362,17 @@ WITH totals AS (
 """
 _PLAIN = """CAST({0} // 100 AS VARCHAR) || CASE WHEN {0} % 100 = 0 THEN ''
             ELSE '.' || rtrim(lpad(CAST({0} % 100 AS VARCHAR), 2, '0'), '0') END"""
+_COUNTED = "status IN ('pending', 'processing', 'confirmed', 'finalized')"
+_EARLIER = """OVER (PARTITION BY wallet_id, token, CAST(created_at AS DATE)
+                 ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+#: Sums of the long amounts' leading numbers, of how many there are, and of the plain amounts in cents.
+_PARTS = """CAST(coalesce(sum(o_orderkey) FILTER (WHERE o_orderkey % 5 = 0) {over}, 0) AS BIGINT) AS front,
+                 count(*) FILTER (WHERE o_orderkey % 5 = 0) {over} AS n_long,
+                 CAST(coalesce(sum(CAST(amount * 100 AS BIGINT)) FILTER (WHERE o_orderkey % 5 > 1) {over}, 0) AS BIGINT) AS cents,
+                 count(*) FILTER (WHERE o_orderkey % 5 <> 1) {over} AS valid"""
+_JOINED = """rtrim(rtrim(CASE WHEN front > 0 THEN front || lpad(CAST(cents // 100 AS VARCHAR), 40, '0')
+                              ELSE CAST(cents // 100 AS VARCHAR) END
+                         || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || lpad(CAST(n_long AS VARCHAR), 28, '0'), '0'), '.')"""
 _OPEN = "status IN ('pending', 'processing', 'confirmed')"
 _RECOVERABLE = """
   SELECT * FROM (
@@ -384,16 +420,21 @@ QUERIES = {
     "f17_category": (f17_category, over(_P, """
         SELECT CASE WHEN type IN ('onramp', 'offramp') THEN 'ramp' ELSE 'wallet' END AS category, count(*) AS transfers
         FROM payment_transfers GROUP BY 1""")),
-    "a29_exact_spend": (a29_exact_spend, over(_P, """
-        WITH texts AS (
-          SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN CAST(CAST(o_orderkey AS VARCHAR) || repeat('0', 18) ||
-                           '.000000000001' AS DECIMAL(38,12))
-                         WHEN o_orderkey % 5 <> 1 THEN CAST(amount AS DECIMAL(38,12)) END AS value
-          FROM payment_transfers WHERE status IN ('pending', 'processing', 'confirmed', 'finalized'))
-        SELECT wallet_id, token, direction, CAST(created_at AS DATE) AS day,
-               rtrim(rtrim(CAST(sum(value) AS VARCHAR), '0'), '.') AS spent,
-               count(*) FILTER (WHERE o_orderkey % 5 = 1) AS unsummed
-        FROM texts GROUP BY 1, 2, 3, 4""")),
+    "a29_exact_spend": (a29_exact_spend, over(_P, f"""
+        WITH sums AS (
+          SELECT wallet_id, token, direction, CAST(created_at AS DATE) AS day, {_PARTS.format(over="")},
+                 count(*) FILTER (WHERE o_orderkey % 5 = 1) AS unsummed
+          FROM payment_transfers WHERE {_COUNTED} GROUP BY 1, 2, 3, 4)
+        SELECT wallet_id, token, direction, day, CASE WHEN valid > 0 THEN {_JOINED} END AS spent, unsummed FROM sums""")),
+    "a29_exact_running": (a29_exact_running, over(_P, f"""
+        WITH sums AS (
+          SELECT id, {_PARTS.format(over=_EARLIER)}, count(*) FILTER (WHERE o_orderkey % 5 = 1) {_EARLIER} AS unsummed_before
+          FROM payment_transfers WHERE {_COUNTED} AND direction = 'outbound')
+        SELECT id, {_JOINED} AS spent_before, unsummed_before FROM sums""")),
+    "a36_exact_volume": (a36_exact_volume, over(_P, f"""
+        WITH sums AS (SELECT {_PARTS.format(over="")}, count(*) FILTER (WHERE o_orderkey % 5 = 1) AS unsummed
+                      FROM payment_transfers WHERE created_at >= TIMESTAMP '1998-01-01')
+        SELECT CASE WHEN valid > 0 THEN {_JOINED} END AS volume, unsummed FROM sums""")),
     "a29_daily_spend": (a29_daily_spend, over(_P, """
         SELECT wallet_id, token, direction, CAST(created_at AS DATE) AS day, CAST(sum(amount) AS DOUBLE) AS spent
         FROM payment_transfers WHERE status IN ('pending', 'processing', 'confirmed', 'finalized')
@@ -508,6 +549,13 @@ QUERIES = {
     "a22_total_per_mint": (a22_total_per_mint, over("balances", """
         WITH t AS (SELECT mint, CAST(sum(coalesce(units, 0)) AS BIGINT) AS u FROM balances GROUP BY 1)
         SELECT mint, CAST(u AS VARCHAR) AS amount, """ + _PLAIN.format("u") + " AS ui_amount FROM t")),
+    "a22_exact_total": (a22_exact_total, over("balances", """
+        WITH t AS (
+          SELECT mint, CAST(coalesce(sum(units) FILTER (WHERE o_orderkey % 5 = 0), 0) AS BIGINT) AS front,
+                 CAST(coalesce(sum(units) FILTER (WHERE o_orderkey % 5 <> 0), 0) AS BIGINT) AS u FROM balances GROUP BY 1),
+        d AS (SELECT mint, CASE WHEN front > 0 THEN front || lpad(CAST(u AS VARCHAR), 40, '0') ELSE CAST(u AS VARCHAR) END AS amount FROM t)
+        SELECT mint, amount, rtrim(rtrim(CASE WHEN len(amount) > 2 THEN amount[1:len(amount) - 2] ELSE '0' END || '.' || right(CASE WHEN len(amount) < 3 THEN lpad(amount, 3, '0') ELSE amount END, 2), '0'), '.')
+                 AS ui_amount FROM d""")),
     "a23_valid_total_per_mint": (a23_valid_total_per_mint, over(_VALID, _TOTALS + """
         SELECT mint, CAST(units AS VARCHAR) AS amount, """ + _PLAIN.format("CAST(units AS BIGINT)") + """ AS ui_amount,
                round(usd_value, 2) AS usd_value FROM totals""")),

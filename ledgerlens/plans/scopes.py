@@ -351,6 +351,16 @@ def p5_limits(spark, folder):
     return rows.select("id", "verdict")
 
 
+def p5_long_limits(spark, folder):
+    """Amounts and daily limits with 23 fraction digits."""
+    tiny = F.lit("0" * 20)
+    limits = policy.wallet_limits(_policy_rows(spark, folder).filter("policy_type = 'transfer_limits' OR policy_id % 8 = 0"))
+    limits = limits.withColumn("max_daily_amount", F.concat("max_daily_amount", tiny, F.lit("2")))
+    transfers = adapters.payment_transfers(spark, folder)
+    rows = policy.check_limits(transfers.withColumn("amount", F.concat("amount", tiny, F.lit("1"))), limits)
+    return rows.select("id", "verdict", "spent_before")
+
+
 _PROJECTS = """
 WITH projects AS (
   SELECT n_nationkey AS organization_id, 'default-sandbox-' || n_nationkey AS project_id, 'sandbox' AS environment,
@@ -531,6 +541,23 @@ QUERIES = {
         SELECT wallet_id, array_to_string(allowed, ',') AS destination_allowlist, single AS max_transfer_amount,
                daily AS max_daily_amount, epoch_us(created_at) AS created_at, epoch_us(updated_at) AS updated_at
         FROM limits"""),
+    "p5_long_limits": (p5_long_limits, over("payment_transfers", _LIMITS.format(
+        where="AND (o_orderkey % 4 <> 0 OR o_orderkey % 8 = 0)") + """
+        , spent AS (
+          SELECT *, CAST(amount AS DECIMAL(38,2)) AS own,
+                 CAST(coalesce(sum(CAST(amount AS DECIMAL(38,2))) OVER earlier, 0) AS DECIMAL(38,2)) AS before, count(*) OVER earlier AS n
+          FROM payment_transfers WHERE status IN ('pending', 'processing', 'confirmed', 'finalized')
+            AND direction = 'outbound'
+          WINDOW earlier AS (PARTITION BY wallet_id, token, CAST(created_at AS DATE)
+                   ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT s.id, CASE WHEN len(l.allowed) > 0 AND NOT list_contains(l.allowed, s.destination_address)
+                            THEN 'destination_not_allowed'
+                          WHEN s.own >= CAST(l.single AS DECIMAL(38,2)) THEN 'exceeds_max_transfer'
+                          WHEN s.before + s.own > CAST(l.daily AS DECIMAL(38,2))
+                            OR s.before + s.own = CAST(l.daily AS DECIMAL(38,2)) AND s.n + 1 > 2 THEN 'exceeds_max_daily'
+                          ELSE 'allowed' END AS verdict,
+               CASE WHEN n = 0 THEN '0' ELSE CAST(before AS VARCHAR) || lpad(CAST(n AS VARCHAR), 21, '0') END AS spent_before
+        FROM spent s LEFT JOIN limits l ON s.wallet_id = l.wallet_id""")),
     "p5_limits": (p5_limits, over("payment_transfers", _LIMITS.format(
         where="AND (o_orderkey % 4 <> 0 OR o_orderkey % 8 = 0)") + """
         , spent AS (

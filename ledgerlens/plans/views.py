@@ -126,6 +126,7 @@ VIEWS: dict[str, str] = {
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "priced_balances": """
         SELECT b.*, CASE WHEN token = 'USDC' THEN 1.0
+                 WHEN mint IN ('m41', 'm12', 'm22') THEN NULL
                  WHEN right(mint, 1) <> '3' AND mint[2] <> '5' THEN CAST(mint[2] AS INTEGER) * CAST(0.25 AS DOUBLE)
                END AS usd_price FROM balances b""",
     "screening_results": """

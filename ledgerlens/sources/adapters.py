@@ -369,12 +369,16 @@ def balances(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, folder: str) -> DataFrame:
-    """A price for every mint except those of the third kind; some are not in dollars."""
+    """A price for every mint except those of the third kind; some are not in dollars, not finite or negative."""
     mints = balances(spark, folder).select("mint").distinct()
     number = F.substring("mint", 2, 1).cast("int")
     return mints.filter(~F.col("mint").endswith("3")).select(
         "mint",
-        (number * 0.25).alias("price"),
+        F.when(F.col("mint") == "m41", float("nan"))
+        .when(F.col("mint") == "m12", float("inf"))
+        .when(F.col("mint") == "m22", -1.0)
+        .otherwise(number * 0.25)
+        .alias("price"),
         F.when(number == 5, "EUR").when(number == 2, F.lit(None)).otherwise("usd").alias("currency"),
     )
 

@@ -102,10 +102,12 @@ def test_signature_history(spark):
 def test_running_spend_counts_instants_in_id_order(spark):
     schema = "id string, wallet_id string, token string, direction string, status string, amount string, created_at timestamp"
     rows = [(f"t{i:03d}", "w", "T", "outbound", "confirmed", "1.000000001", ago(i // 40)) for i in range(160)]
+    rows += [("x", None, None, "outbound", "confirmed", "5", None), ("y", None, None, "outbound", "confirmed", "6", None)]
     df = spark.createDataFrame(rows, schema)
-    plain = {r["id"]: r["spent_before"] for r in payments.with_running_spend(df).collect()}
-    split = {r["id"]: r["spent_before"] for r in payments.with_running_spend(df, hot_rows=20).collect()}
-    assert plain == split and max(plain.values()) == Decimal("159.000000159")
+    got = {r["id"]: r["spent_before"] for r in payments.with_running_spend(df).collect()}
+    at = sorted(rows[:160], key=lambda r: (r[-1], r[0]))
+    assert {r[0]: Decimal(got[r[0]]) for r in at} == {r[0]: i * Decimal("1.000000001") for i, r in enumerate(at)}
+    assert (got["x"], got["y"]) == ("0", "5")
 
 
 def test_removable_keeps_the_last_wallet(spark):
@@ -147,23 +149,48 @@ def test_volume_skips_text(spark):
     rows = [("1.5", ago(10)), ("x", ago(10)), ("2", ago(60 * 24))]
     df = spark.createDataFrame(rows, "amount string, created_at timestamp")
     start = F.lit(datetime(2024, 5, 1))
-    assert balances.volume_since(df, start).first()[0] == Decimal("1.5")
+    assert balances.volume_since(df, start).first()[0] == "1.5"
     assert balances.volume_since(df.filter("amount = 'x'"), start).first()[0] is None
 
 
 def test_sums_keep_every_digit_and_count_what_cannot_be_summed(spark):
-    amounts = ["1" + "0" * 31, "0.0000000004", "007.50", ".25", "999999999999999999.999999999999999999", "12,5", "NaN", "1" * 40, "0." + "3" * 19, None]
+    amounts = [
+        "1" + "0" * 31, "0.0000000004", "007.50", ".25", "999999999999999999.999999999999999999", "9" * 60, "0." + "9" * 60, "5.", "12,5",
+        "NaN", "1" * 40, "0." + "3" * 19, None, "0", "000.000", "9" * 15 + "." + "9" * 9, "-1", "1e5", "",
+    ]
+    bad = {"12,5", "NaN", "-1", "1e5", ""}
+    good = [a for a in amounts if a is not None and a not in bad]
     schema = "id int, wallet_id string, token string, direction string, status string, amount string, created_at timestamp"
-    rows = [(i, "w", "T", "outbound", "confirmed", a, ago(100 - i)) for i, a in enumerate(amounts)]
+    rows = [(i, "w", "T", "outbound", "confirmed", a, ago(500 - 20 * i)) for i, a in enumerate(amounts)]
+    rows += [(900, "none", "T", "outbound", "confirmed", "x", ago(1)), (901, "zero", "T", "outbound", "confirmed", "0.000", ago(1))]
     df = spark.createDataFrame(rows, schema)
-    got = payments.daily_spend(df).first()
-    assert got["unsummed"] == 4 and Decimal(got["spent"]) == add(amounts[:5])
-    running = {r["id"]: r for r in payments.with_running_spend(df).withColumn("spent_before_text", payments.spent_text()).collect()}
-    for i in range(6):
-        assert Decimal(running[i]["spent_before_text"]) == add(amounts[:i])
-    assert running[9]["unsummed_before"] == 4
+    got = {r["wallet_id"]: r for r in payments.daily_spend(df).collect()}
+    assert got["w"]["unsummed"] == len(bad) and Decimal(got["w"]["spent"]) == add(good)
+    assert (got["none"]["spent"], got["none"]["unsummed"], got["zero"]["spent"]) == (None, 1, "0")
+    running = {r["id"]: r for r in payments.with_running_spend(df).collect()}
+    for i in range(len(amounts)):
+        earlier = [a for a in amounts[:i] if a is not None]
+        assert Decimal(running[i]["spent_before"]) == add([a for a in earlier if a not in bad])
+        assert running[i]["unsummed_before"] == sum(a in bad for a in earlier)
     total = balances.volume_since(df, F.lit(datetime(2020, 1, 1))).first()
-    assert Decimal(total["volume_text"]) == add(amounts[:5]) and total["unsummed"] == 4
+    assert Decimal(total["volume"]) == add(good) and total["unsummed"] == len(bad) + 1
+
+
+def test_running_sums_of_long_amounts_cross_spans_and_take_equal_rows(spark):
+    schema = "id int, wallet_id string, token string, direction string, status string, amount string, created_at timestamp"
+    amounts = ["7" * (1 + 13 * (i % 5)) + "." + "3" * (1 + 17 * (i % 3)) for i in range(60)]
+    rows = [(i, "w", "T", "outbound", "confirmed", a, ago(700 - 7 * (i // 2))) for i, a in enumerate(amounts)]
+    rows += [(99, "v", "T", "outbound", "confirmed", "8" * 30, ago(1))] * 4
+    got = payments.with_running_spend(spark.createDataFrame(rows, schema)).collect()
+    mine = {r["id"]: Decimal(r["spent_before"]) for r in got if r["wallet_id"] == "w"}
+    assert mine == {i: add(amounts[:i]) for i in range(60)}
+    assert sorted(int(r["spent_before"]) for r in got if r["wallet_id"] == "v") == [i * int("8" * 30) for i in range(4)]
+
+
+def test_sums_are_aggregated_before_they_are_shuffled(spark):
+    schema = "id int, wallet_id string, token string, direction string, status string, amount string, created_at timestamp"
+    plan = payments.daily_spend(spark.createDataFrame([], schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_sum(_short") == 1 and "Window" not in plan and "Sort " not in plan.split("Exchange")[-1]
 
 
 def add(amounts):
@@ -171,7 +198,7 @@ def add(amounts):
     from decimal import localcontext
 
     with localcontext() as context:
-        context.prec = 100
+        context.prec = 300
         return sum((Decimal(a) for a in amounts), Decimal(0))
 
 
@@ -186,6 +213,21 @@ def test_values_that_are_not_finite_never_reach_a_total(spark):
     assert {r["wallet_id"] for r in balances.malformed_amounts(held).collect()} == {"w2", "w3"}
 
 
+def test_prices_that_are_not_finite_are_none(spark):
+    schema = "wallet_id string, token string, mint string, amount string, ui_amount string, decimals int"
+    rows = [(f"w{i}", "X", f"m{i}", "1" * 45 if i == 4 else "5", "1e308" if i == 3 else "2", 2) for i in range(5)]
+    held = spark.createDataFrame(rows, schema)
+    quoted = [("m0", float("nan"), "USD"), ("m1", float("inf"), "USD"), ("m2", -1.0, "USD"), ("m3", 1e300, "USD"), ("m4", 3.0, None)]
+    priced = balances.price_balances(held, spark.createDataFrame(quoted, "mint string, price double, currency string"))
+    got = {r["mint"]: (r["usd_price"], r["usd_value"]) for r in priced.collect()}
+    assert got == {"m0": (None, None), "m1": (None, None), "m2": (None, None), "m3": (1e300, None), "m4": (3.0, 6.0)}
+    spoilt = priced.withColumn("usd_value", F.when(F.col("mint") == "m0", float("nan")).otherwise(F.col("usd_value")))
+    totals = {r["mint"]: r for r in balances.valid_total_per_mint(spoilt).collect()}
+    assert totals["m0"]["usd_value"] is None and totals["m4"]["usd_value"] == 6.0
+    assert (totals["m4"]["amount"], totals["m4"]["ui_amount"]) == ("1" * 45, "1" * 43 + ".11")
+    assert balances.malformed_amounts(held).count() == 0
+
+
 def test_unreadable_metadata_is_kept(spark):
     schema = "id string, organization_id string, project_id string, subscription_id string, due_at timestamp, status string, error string, metadata string, updated_at timestamp, created_at timestamp"
     rows = [(i, "o", "p", "s", ago(5), "pending", None, m, ago(n), ago(9)) for n, (i, m) in enumerate([("keep", "{}"), ("a", "not json"), ("b", "[1]"), ("c", '{"x":1}')])]

@@ -2,12 +2,12 @@
 
 import json
 from datetime import datetime, timedelta
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.amounts import decimal_order
+from ledgerlens.functions.amounts import decimal_order, decimal_text
 from ledgerlens.operators import policy
 
 OPERATION = ("op", "w", None, "payment", "payment_request", "USDC", "125.50", "recipient_blocked")
@@ -134,8 +134,7 @@ def test_wallet_limits(spark):
     assert got["v"]["destination_allowlist"] == [] and got["u"]["max_daily_amount"] is None
 
 
-@pytest.mark.parametrize("hot_rows", [50_000_000, 2])
-def test_check_limits(spark, hot_rows):
+def test_check_limits(spark):
     def transfer(i, minute, amount, to="a", status="confirmed", wallet="w", direction="outbound"):
         return (f"t{i}", wallet, "USDC", direction, status, amount, to, DAY + timedelta(minutes=minute))
 
@@ -157,7 +156,7 @@ def test_check_limits(spark, hot_rows):
         [("w", ["a"], "10", "15")],
         "wallet_id string, destination_allowlist array<string>, max_transfer_amount string, max_daily_amount string",
     )
-    got = policy.check_limits(spark.createDataFrame(rows, schema), limits, hot_rows).collect()
+    got = policy.check_limits(spark.createDataFrame(rows, schema), limits).collect()
     assert {r["id"]: r["verdict"] for r in got} == {
         "t1": "allowed",
         "t2": "exceeds_max_daily",
@@ -193,3 +192,37 @@ def test_long_and_malformed_transfers_are_never_allowed(spark):
         "t0": "exceeds_max_transfer", "t1": "invalid_amount", "t2": "unsummable_amount", "t3": "exceeds_max_transfer",
         "t4": "unsummable_amount", "u0": "allowed", "u1": "exceeds_max_daily",
     }
+
+
+def test_daily_limits_of_any_length_bind(spark):
+    schema = (
+        "id string, wallet_id string, token string, direction string, status string, amount string, "
+        "destination_address string, created_at timestamp"
+    )
+    tiny = "0" * 24
+    limits = {
+        "a": "100", "b": f"100.{tiny}1", "c": "1" + "0" * 45, "d": f"0.{tiny}2", "e": "100.", "f": "x", "g": None,
+    }
+    amounts = ["60", "40", f"0.{tiny}1", f"0.{tiny}1", "9" * 45, "1"]
+    rows = [
+        (f"{w}{i}", w, "T", "outbound", "confirmed", a, "z", DAY + timedelta(minutes=7 * i)) for w in limits for i, a in enumerate(amounts)
+    ]
+    table = spark.createDataFrame(
+        [(w, [], None, daily) for w, daily in limits.items()],
+        "wallet_id string, destination_allowlist array<string>, max_transfer_amount string, max_daily_amount string",
+    )
+    got = {r["id"]: r["verdict"] for r in policy.check_limits(spark.createDataFrame(rows, schema), table).collect()}
+    for w, daily in limits.items():
+        for i in range(len(amounts)):
+            with localcontext() as context:
+                context.prec = 100
+                sent = sum((Decimal(a) for a in amounts[: i + 1]), Decimal(0))
+            fits = daily is None or (w != "f" and sent <= Decimal(daily))
+            assert got[f"{w}{i}"] == ("invalid_max_daily" if w == "f" else "allowed" if fits else "exceeds_max_daily")
+
+
+def test_decimal_text_is_canonical(spark):
+    texts = {"007.50": "7.5", ".25": "0.25", "5.": "5", "000": "0", "0.0000000004": "0.0000000004", "1" + "0" * 40: "1" + "0" * 40, " 1.0 ": "1"}
+    rows = spark.createDataFrame([(t,) for t in [*texts, "1,5", "-1", "", None, "1e5"]], "t string")
+    got = {r["t"]: r["d"] for r in rows.select("t", decimal_text(F.col("t")).alias("d")).collect()}
+    assert got == {**texts, "1,5": None, "-1": None, "": None, None: None, "1e5": None}
