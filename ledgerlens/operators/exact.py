@@ -135,13 +135,19 @@ def sum_amounts(
 
 
 def running_total(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], span: str, sums: Mapping[str, str], latest: Mapping[str, str] | None = None
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    span: str,
+    sums: Mapping[str, str],
+    latest: Mapping[str, str] | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Sums over the earlier rows of each row's group as ``name_before``, and the latest value that is not null of others.
 
     ``span`` numbers consecutive stretches of the order: rows of a smaller span come first.  Rows are sorted within
     their span only, and the spans' sums are added up apart, so one task holds the rows of one span of a group at most.
-    ``sums`` and ``latest`` map names to SQL expressions.
+    ``sums`` and ``latest`` map names to SQL expressions; ``totals`` adds the sums of whole groups as ``name_total``.
     """
     latest = dict(latest or {})
     made = {**sums, **latest}
@@ -160,6 +166,7 @@ def running_total(
         "_part",
         *[f"sum(_{n}) {earlier} AS _{n}_offset" for n in sums],
         *[f"last(_{n}, true) {earlier} AS _{n}_offset" for n in latest],
+        *[f"sum(_{n}) OVER (PARTITION BY _part.of) AS {n}_total" for n in sums if totals],
     )
     running = spanned.selectExpr(
         "*", *[f"sum(_{n}) {inside} AS _{n}_run" for n in sums], *[f"last(_{n}, true) {inside} AS _{n}_run" for n in latest]
@@ -175,7 +182,10 @@ def running_total(
         return f"CAST({run} + {offset} AS {kind}) AS {name}_before"
 
     return joined.selectExpr(
-        *rows.columns, *[before(n) for n in sums], *[f"coalesce(_{n}_run, _{n}_offset) AS {n}_before" for n in latest]
+        *rows.columns,
+        *[before(n) for n in sums],
+        *[f"coalesce(_{n}_run, _{n}_offset) AS {n}_before" for n in latest],
+        *[f"{n}_total" for n in sums if totals],
     )
 
 

@@ -2,22 +2,17 @@
 
 Outliers by the modified z-score, median, trimmed mean, time-weighted median, spread and linear trend.  All
 of them are computed from *distinct values with counts*, so a repeated value is one row, and all ordered work
-goes through :func:`ordered_prefix`, so a hot group is sorted by many tasks.
+goes through :func:`ledgerlens.operators.ranks.ranked`, so a series of any size is ranked by many tasks.  The few figures
+per series that a later pass compares its rows with are written once between the passes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.skew import (
-    HOT_GROUP_ROWS,
-    find_hot,
-    join_group_values,
-    middle_value,
-    ordered_prefix,
-    settle,
-)
+from ledgerlens.operators.ranks import ranked, spread_join
+from ledgerlens.operators.skew import materialise, middle_value
 
 # Fixed values of the modified z-score and of the summary.
 Z_SCALE = 0.6745
@@ -51,34 +46,25 @@ def _counted(series: DataFrame) -> DataFrame:
     )
 
 
-def _with_centre(counted: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Add samples, median (centre) and median absolute deviation (mad) of the series to its distinct values."""
-    count = {"n": F.col("n")}
-    ranked = ordered_prefix(counted, ["series"], "value", count, hot)
-    deviation = F.abs(F.col("value") - F.col("centre"))
-    if hot is None:
-        # Both medians are windows over rows that are already together: one shuffle by series in all.
-        whole = Window.partitionBy("series")
-        centred = ranked.select(
-            *counted.columns,
-            F.col("n_total").alias("samples"),
-            middle_value("value", over=whole).alias("centre"),
-        ).withColumn("deviation", deviation)
-        spread = ordered_prefix(centred, ["series"], "deviation", count, hot)
-        return spread.select(
-            *counted.columns, "samples", "centre", middle_value("deviation", over=whole).alias("mad")
-        )
-    medians = ranked.groupBy("series").agg(middle_value("value").alias("centre"), F.sum("n").alias("samples"))
-    medians = settle(medians, hot, "medians")
+def _centres(counted: DataFrame) -> DataFrame:
+    """Samples, median (centre) and median absolute deviation (mad) per series, from its distinct values."""
+    medians = (
+        ranked(counted, ["series"], "value", {"n": "n"})
+        .groupBy("series")
+        .agg(middle_value("value").alias("centre"), F.sum("n").alias("samples"))
+    )
+    medians = materialise(medians, "medians")
     deviations = (
-        join_group_values(counted, medians, ["series"], hot)
-        .groupBy("series", deviation.alias("deviation"))
+        spread_join(counted, medians, ["series"], "value")
+        .groupBy("series", F.abs(F.col("value") - F.col("centre")).alias("deviation"))
         .agg(F.sum("n").alias("n"))
     )
-    by_deviation = ordered_prefix(deviations, ["series"], "deviation", count, hot)
-    mads = by_deviation.groupBy("series").agg(middle_value("deviation").alias("mad"))
-    centres = settle(medians.join(mads, "series"), hot, "centres")
-    return join_group_values(counted, centres, ["series"], hot)
+    mads = (
+        ranked(deviations, ["series"], "deviation", {"n": "n"})
+        .groupBy("series")
+        .agg(middle_value("deviation").alias("mad"))
+    )
+    return materialise(medians.join(mads, "series"), "centres")
 
 
 def _is_outlier(threshold: float) -> Column:
@@ -94,19 +80,16 @@ def flag_outliers(
     value: str = "ui_supply",
     at: str = "scraped_at",
     threshold: float = Z_THRESHOLD,
-    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Every observation with ``is_outlier``; nothing is flagged below four values or without spread."""
     series = _series(rows, key, value, at)
-    hot = find_hot(series, ["series"], hot_rows)
-    centres = _with_centre(_counted(series), hot).select("series", "samples", "centre", "mad").distinct()
-    scored = join_group_values(series, settle(centres, hot, "centres"), ["series"], hot)
+    scored = spread_join(series, _centres(_counted(series)), ["series"], "value")
     return scored.select(
         F.col("series").alias(key), "value", "at", "centre", "mad", _is_outlier(threshold).alias("is_outlier")
     )
 
 
-def _statistics(kept: DataFrame, hot: DataFrame | None, half_life_days: float) -> DataFrame:
+def _statistics(kept: DataFrame, half_life_days: float) -> DataFrame:
     """Statistics per series.
 
     ``kept`` has series, value, at and the per-series columns centre (a value inside the data, subtracted
@@ -128,9 +111,7 @@ def _statistics(kept: DataFrame, hot: DataFrame | None, half_life_days: float) -
             F.sum(F.col("x") * F.col("x")).alias("txx"),
         )
     )
-    ranked = ordered_prefix(
-        by_value, ["series"], "value", {"n": F.col("n"), "w": F.col("w")}, hot
-    )
+    placed = ranked(by_value, ["series"], "value", {"n": "n", "w": "w"})
     size, start = F.col("n_total"), F.col("n_before")
     trim_from, trim_to = F.floor(size * F.lit(TRIM_LOW)), F.floor(size * F.lit(TRIM_HIGH))
     in_trim = F.greatest(
@@ -139,7 +120,7 @@ def _statistics(kept: DataFrame, hot: DataFrame | None, half_life_days: float) -
     # Running sums of doubles differ in the last digits with the order of addition.
     reached = F.col("w_before") + F.col("w") >= F.col("w_total") / 2 * (1 - 1e-12)
 
-    sums = ranked.groupBy("series").agg(
+    sums = placed.groupBy("series").agg(
         F.sum("n").alias("samples"),
         middle_value("value").alias("median"),
         F.min(F.when(reached, F.col("value"))).alias("weighted_median"),
@@ -196,15 +177,12 @@ def series_statistics(
     value: str = "ui_supply",
     at: str = "scraped_at",
     half_life_days: float = HALF_LIFE_DAYS,
-    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Median, time-weighted median, trimmed mean, spread and trend per series, with no outlier removal."""
     series = _series(rows, key, value, at)
-    hot = find_hot(series, ["series"], hot_rows)
     profile = series.groupBy("series").agg(F.avg("value").alias("centre"), F.max("at").alias("newest"))
-    profile = settle(profile, hot, "profiles")
-    kept = join_group_values(series, profile, ["series"], hot)
-    return _statistics(kept, hot, half_life_days).withColumnRenamed("series", key)
+    kept = spread_join(series, materialise(profile, "profiles"), ["series"], "value")
+    return _statistics(kept, half_life_days).withColumnRenamed("series", key)
 
 
 def robust_summary(
@@ -217,7 +195,6 @@ def robust_summary(
     min_samples: int = MIN_SAMPLES,
     remove_outliers: bool = True,
     strict_reference: bool = False,
-    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """One row per series with at least ``min_samples`` observations and three left after outlier removal.
 
@@ -225,11 +202,11 @@ def robust_summary(
     values are left.
     """
     series = _series(rows, key, value, at)
-    hot = find_hot(series, ["series"], hot_rows)
     drop = _is_outlier(threshold) if remove_outliers else F.lit(False)
 
+    counted = _counted(series)
     profile = (
-        _with_centre(_counted(series), hot)
+        spread_join(counted, _centres(counted), ["series"], "value")
         .withColumn("dropped", drop)
         .groupBy("series", "centre", "mad", "samples")
         .agg(
@@ -240,13 +217,13 @@ def robust_summary(
             (F.col("samples") >= min_samples) & (F.col("samples") - F.col("outliers") >= MIN_KEPT)
         )
     )
-    profile = settle(profile, hot, "profiles")
+    profile = materialise(profile, "profiles")
     kept = (
-        join_group_values(series, profile, ["series"], hot)
+        spread_join(series, profile, ["series"], "value")
         .filter(F.col("samples").isNotNull() & ~drop)
         .select("series", "value", "at", "centre", "newest")
     )
-    stats = _statistics(kept, hot, half_life_days)
+    stats = _statistics(kept, half_life_days)
     removed = F.col("outliers")
     if strict_reference:
         removed = F.when(F.col("samples") >= OUTLIER_MIN_VALUES, removed).otherwise(0)

@@ -55,11 +55,6 @@ def never_null(key: Column, row_id: Column) -> Column:
     return F.coalesce(key.cast("string"), F.concat(F.lit("\u0000"), row_id.cast("string")))
 
 
-def settle(values: DataFrame, hot: DataFrame | None, purpose: str) -> DataFrame:
-    """Keep a one-row-per-group table that several later steps read from being computed again by each."""
-    return values if hot is None else materialise(values, purpose)
-
-
 def join_group_values(
     rows: DataFrame, values: DataFrame, keys: Sequence[str], hot: DataFrame | None
 ) -> DataFrame:
@@ -165,26 +160,3 @@ def middle_value(value: str, count: str = "n", over: WindowSpec | None = None) -
         return found if over is None else found.over(over)
 
     return (at(low) + at(high)) / 2
-
-
-def exact_medians(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    alias: str = "median",
-    hot_rows: int = HOT_GROUP_ROWS,
-    extra: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Exact median of ``value`` per group, without holding a group in one task's memory.
-
-    Equal values are counted before anything is sorted, so copies of one value cost one row.  A group
-    without values has a null median.  ``extra`` adds aggregates over the distinct values ``_value`` and their
-    counts ``n``.
-    """
-    keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_value"))
-    hot = find_hot(rows, keys, hot_rows)
-    counted = rows.groupBy(*keys, "_value").agg(F.count("_value").alias("n"))
-    ranked = ordered_prefix(counted, keys, "_value", {"n": F.col("n")}, hot)
-    more = [column.alias(name) for name, column in (extra or {}).items()]
-    return ranked.groupBy(*keys).agg(middle_value("_value").alias(alias), *more)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.text import first_eight
 from ledgerlens.functions.times import moment
 from ledgerlens.operators.ordering import first_overall, first_per_group
-from ledgerlens.operators.skew import HOT_GROUP_ROWS, exact_medians
+from ledgerlens.operators.ranks import exact_medians
 
 # Look-back limits in days.
 MIN_DAYS, MAX_DAYS = 1, 365
@@ -54,14 +54,14 @@ def daily_average(supply: DataFrame) -> DataFrame:
     return supply.groupBy("symbol", "date").agg(F.avg("ui_supply").alias("avg_supply"))
 
 
-def daily_spread(supply: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def daily_spread(supply: DataFrame) -> DataFrame:
     """Exact median, mean, lowest and highest supply per symbol and day, from one pass."""
     extra = {
         "mean_supply": F.try_divide(F.sum(F.col("_value") * F.col("n")), F.sum("n")),
         "min_supply": F.min("_value"),
         "max_supply": F.max("_value"),
     }
-    return exact_medians(supply, ["symbol", "date"], "ui_supply", "median_supply", hot_rows, extra)
+    return exact_medians(supply, ["symbol", "date"], "ui_supply", "median_supply", extra)
 
 
 def network_daily(network: DataFrame) -> DataFrame:
@@ -192,15 +192,13 @@ def relaxed_union(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def token_entries(
-    supply: DataFrame, registry: DataFrame, holders: DataFrame, hot_rows: int = HOT_GROUP_ROWS
-) -> DataFrame:
+def token_entries(supply: DataFrame, registry: DataFrame, holders: DataFrame) -> DataFrame:
     """Latest figures per symbol with registry name, holder count, median balance and previous-day change."""
     latest = latest_date_per_symbol(supply).select(
         "mint", "symbol", F.coalesce("ui_supply", F.lit(0.0)).alias("circulating_supply")
     )
     counts = holders.groupBy("mint").agg(F.count(F.lit(1)).alias("holder_count"))
-    medians = exact_medians(holders, ["mint"], "ui_amount", "median_balance", hot_rows)
+    medians = exact_medians(holders, ["mint"], "ui_amount", "median_balance")
     return (
         latest.join(registry.select("mint", "name"), "mint", "left")
         .join(counts, "mint", "left")

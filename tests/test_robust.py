@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import robust, skew
+from ledgerlens.operators import ranks, robust, skew
 
 START = datetime(2024, 1, 1)
 
@@ -71,10 +71,9 @@ def series():
     return rows
 
 
-@pytest.mark.parametrize("hot_rows", [50_000_000, 30])
-def test_summary_equals_numpy(spark, series, hot_rows):
+def test_summary_equals_numpy(spark, series):
     df = spark.createDataFrame(series, "symbol string, ui_supply double, scraped_at timestamp")
-    got = {r["symbol"]: r.asDict() for r in robust.robust_summary(df, hot_rows=hot_rows).collect()}
+    got = {r["symbol"]: r.asDict() for r in robust.robust_summary(df).collect()}
     symbols = {s for s, _, _ in series}
     assert set(got) == symbols - {"too_few"}
     for symbol in got:
@@ -99,13 +98,12 @@ def test_options(spark, series):
     assert robust.robust_summary(df, strict_reference=True).first()["outliers_removed"] == 0
 
 
-@pytest.mark.parametrize("hot_rows", [50_000_000, 50])
-def test_exact_medians(spark, hot_rows):
+def test_exact_medians(spark):
     rng = np.random.default_rng(3)
     values = {"a": rng.normal(0, 1, 900), "b": rng.integers(0, 3, 200).astype(float), "c": np.array([2.0, 5.0])}
     rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("c", None), ("d", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["median"] for r in skew.exact_medians(df, ["k"], "v", hot_rows=hot_rows).collect()}
+    got = {r["k"]: r["median"] for r in ranks.exact_medians(df, ["k"], "v").collect()}
     assert got.pop("d") is None
     assert got == {k: pytest.approx(np.median(v)) for k, v in values.items()}
 
@@ -144,3 +142,34 @@ def test_ties_of_a_hot_group_lie_in_several_ranges(spark):
     df = spark.range(4000).select(F.lit("k").alias("k"), F.lit(7).alias("t"), "id")
     ranges = skew.with_range(df, ["k", "t", "id"]).groupBy("_range").count().collect()
     assert len(ranges) > 8 and max(r["count"] for r in ranges) < 1000
+
+
+@pytest.mark.parametrize("stretches", [2, 64])
+def test_ranks_equal_sorting(spark, monkeypatch, stretches):
+    monkeypatch.setattr(ranks, "STRETCHES", stretches)
+    rng = np.random.default_rng(8)
+    values = {"near": 1 + rng.permutation(700) * 1e-12, "wide": rng.normal(0, 1, 300) * 10.0 ** rng.integers(-300, 300, 300), "one": np.array([5.0])}
+    rows = [(k, float(v), int(n)) for k, vs in values.items() for v, n in zip(vs, rng.integers(1, 9, len(vs)))] + [("null", None, 0)]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    got = {(r["k"], r["v"]): (r["n_before"], r["n_total"]) for r in ranks.ranked(df, ["k"], "v", {"n": "n"}).collect()}
+    expected, seen = {}, {}
+    for k, v, n in sorted(rows, key=lambda r: (r[0], r[1] or 0)):
+        expected[k, v] = seen.get(k, 0)
+        seen[k] = seen.get(k, 0) + n
+    assert got == {key: (before, seen[key[0]]) for key, before in expected.items()}
+
+
+def test_one_large_series_is_ranked_by_many_tasks(spark):
+    """The plan looks at nothing while it is made, and stretches of one symbol are sorted apart."""
+    df = spark.range(20_000).selectExpr("'hot' AS k", "1 + id * 1e-9 AS v", "id AS n")
+    plan = ranks.ranked(df, ["k"], "v", {"n": "n"})
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_part" in text and "partial" not in text
+    stretches = plan.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    counts = ranks.exact_medians(df, ["k"], "v").collect()
+    assert counts[0]["median"] == pytest.approx(1 + 9999.5e-9, abs=1e-15) and sum(r["count"] for r in stretches) == 20_000
+    dealt = ranks.spread_join(df, df.limit(1).selectExpr("k", "1 AS x"), ["k"], "v")
+    assert dealt.filter("x = 1").count() == 20_000
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    ranks.ranked(df, ["k"], "v", {"n": "n"})
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs
