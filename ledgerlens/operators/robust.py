@@ -2,8 +2,8 @@
 
 Outliers by the modified z-score, median, trimmed mean, time-weighted median, spread and linear trend.  All
 of them are computed from *distinct values with counts*, so a repeated value is one row, and all ordered work
-goes through :func:`ledgerlens.operators.ranks.ranked`, so a series of any size is ranked by many tasks.  The few figures
-per series that a later pass compares its rows with are written once between the passes.
+goes through :func:`ledgerlens.operators.ranks.ranked`, so a series of any size is ranked by many tasks.  The distinct
+values, and the few figures per series that a later pass compares its rows with, are written once between the passes.
 """
 
 from __future__ import annotations
@@ -41,9 +41,8 @@ def _series(rows: DataFrame, key: str, value: str, at: str) -> DataFrame:
 
 
 def _counted(series: DataFrame) -> DataFrame:
-    return series.groupBy("series", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at")
-    )
+    counted = series.groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"))
+    return materialise(counted, "counted")
 
 
 def _centres(counted: DataFrame) -> DataFrame:
@@ -111,7 +110,7 @@ def _statistics(kept: DataFrame, half_life_days: float) -> DataFrame:
             F.sum(F.col("x") * F.col("x")).alias("txx"),
         )
     )
-    placed = ranked(by_value, ["series"], "value", {"n": "n", "w": "w"})
+    placed = ranked(by_value, ["series"], "value", {"n": "n", "w": "w"}, like=kept)
     size, start = F.col("n_total"), F.col("n_before")
     trim_from, trim_to = F.floor(size * F.lit(TRIM_LOW)), F.floor(size * F.lit(TRIM_HIGH))
     in_trim = F.greatest(

@@ -39,21 +39,39 @@ def j20_indexed_accounts(spark, folder):
     return transactions.indexed_accounts(adapters.transactions(spark, folder))
 
 
-def t3_t6_observed_transfers(spark, folder):
+def _observed(spark, folder, raw, **options):
     """Transfers of known wallets; half of the mints have a symbol."""
     symbols = adapters.table(spark, folder, "region").select(
         F.concat(F.lit("mint"), _text("r_regionkey")).alias("mint"),
         F.concat(F.lit("SYM"), _text("r_regionkey")).alias("symbol"),
     )
-    rows = transactions.observed_transfers(
-        adapters.transactions(spark, folder), adapters.wallets(spark, folder), symbols, AS_OF
-    )
+    rows = transactions.observed_transfers(raw, adapters.wallets(spark, folder), symbols, AS_OF, **options)
     return rows.selectExpr(
         "id", "wallet_id", "source_address", "destination_address", "token", "amount", "direction", "status",
         "signature", "slot", "fee", "unix_micros(created_at) as created_at",
     )
 
 
+def t3_t6_observed_transfers(spark, folder):
+    return _observed(spark, folder, adapters.transactions(spark, folder))
+
+
+def t5_t8_checked_transfers(spark, folder):
+    """Token transfers of another program: half with a complete tokenAmount, half with decimals beside the amount.
+
+    No wallets are sent to the tasks, so the reduced lookup is used.
+    """
+    raw = adapters.transactions(spark, folder)
+    even = F.element_at(F.split("signature", "-"), 3).cast("bigint") % 2 == 0
+    plain, amount = r'"program":"spl-token","parsed":\{"type":"transfer"', r'"amount":"([0-9]+)"\}\}'
+    checked = F.regexp_replace("payload", plain, '"program":"spl-token-2022","parsed":{"type":"transferChecked"')
+    whole = F.regexp_replace(checked, amount, '"tokenAmount":{"amount":"$1","decimals":3,"uiAmountString":"$1.0"}}}')
+    beside = F.regexp_replace(checked, amount, '"amount":"$1","decimals":1}}')
+    moved = F.col("payload").rlike(plain)
+    payload = F.when(moved & even, whole).when(moved, beside).otherwise(F.col("payload"))
+    return _observed(spark, folder, raw.withColumn("payload", payload), most_sent=0)
+
+
 def t7_j19_net_transfers(spark, folder):
     rows = transactions.net_transfers(adapters.transactions(spark, folder), AS_OF)
     return rows.select(
@@ -382,6 +400,22 @@ QUERIES = {
                  rtrim(lpad(CAST(units % unit AS VARCHAR), places, '0'), '0') END AS amount,
                CASE WHEN shape = 1 OR (dst IS NOT NULL AND src IS NULL) THEN 'inbound' ELSE 'outbound' END AS direction,
                status, signature, slot, 5000 AS fee, created_at FROM t"""),
+    "t5_t8_checked_transfers": (t5_t8_checked_transfers, _RAW.strip() + """
+        , w AS (
+          SELECT *, CASE WHEN shape <> 1 AND a % 2 = 0 THEN 'wal_' || a END AS src, CASE WHEN b % 2 = 0 THEN 'wal_' || b END
+                 AS dst, CASE WHEN shape = 0 THEN 9 WHEN shape = 2 THEN 1 ELSE 2 END AS places FROM raw
+          WHERE a IN (SELECT c_custkey % 100 FROM customer) AND b IN (SELECT c_custkey % 100 FROM customer)),
+        t AS (SELECT *, coalesce(src, dst) AS wallet_id, CAST(power(10, places) AS BIGINT) AS unit FROM w
+              WHERE coalesce(src, dst) IS NOT NULL)
+        SELECT 'xfr_observed_' || wallet_id || '_' || signature || CASE shape WHEN 0 THEN '' WHEN 1 THEN '_' || mint || '_mint'
+                 ELSE '_' || mint END AS id,
+               wallet_id, CASE WHEN shape = 1 THEN 'auth' ELSE owner_a END AS source_address,
+               owner_b AS destination_address,
+               CASE WHEN shape = 0 THEN 'SOL' WHEN m < 5 THEN 'SYM' || m ELSE mint END AS token,
+               CASE WHEN shape = 2 AND a % 2 = 0 THEN units || '.0' ELSE CAST(units // unit AS VARCHAR) || CASE WHEN units % unit = 0 THEN '' ELSE '.' ||
+                 rtrim(lpad(CAST(units % unit AS VARCHAR), places, '0'), '0') END END AS amount,
+               CASE WHEN shape = 1 OR (dst IS NOT NULL AND src IS NULL) THEN 'inbound' ELSE 'outbound' END AS direction,
+               status, signature, slot, 5000 AS fee, created_at FROM t"""),
     "t7_j19_net_transfers": (t7_j19_net_transfers, _RAW.strip() + """
         SELECT signature, slot, 5000 AS fee, mint, owner_a AS owner, units AS change,
                round(abs(10.0 - (units + 1000) / CAST(100 AS DOUBLE)), 4) AS ui_change FROM raw"""),
