@@ -106,14 +106,18 @@ def daily_last(supply: DataFrame) -> DataFrame:
     )
 
 
-def supply_history(supply: DataFrame, symbols: list[str] | None = None) -> DataFrame:
-    """One row per date, one column per symbol.
+def wide_history(supply: DataFrame) -> DataFrame:
+    """One row per date with ``supplies``, a map from symbol to the last supply of the day, however many symbols there are.
 
-    The columns are those of ``symbols``, or discovered: one row per symbol then reaches the driver.  The long form,
-    :func:`daily_last`, has no such limit.
+    Nothing is looked up while the plan is made; a symbol without a name is not in the map.
     """
-    if symbols is None:
-        symbols = sorted(r["symbol"] for r in symbol_columns(supply).collect())
+    named = daily_last(supply).filter(F.col("symbol").isNotNull())
+    entries = F.array_sort(F.collect_list(F.struct("symbol", "ui_supply")))
+    return named.groupBy("date").agg(F.map_from_entries(entries).alias("supplies"))
+
+
+def supply_history(supply: DataFrame, symbols: list[str]) -> DataFrame:
+    """One row per date, one column per wanted symbol; :func:`wide_history` holds all symbols."""
     return daily_last(supply).groupBy("date").pivot("symbol", symbols).agg(F.max("ui_supply"))
 
 

@@ -331,15 +331,15 @@ QUERIES["a26_insights"] = (a26_insights, over(
     "supply_snapshots holder_rows token_registry wallet_labels", _ENTRIES + "," + _REGIONS.strip()[4:] + """
     , r AS (SELECT region, n, CAST(floor(n / (SELECT n FROM total) * 100 + 0.5) AS BIGINT) AS p FROM regions),
     c AS (SELECT category, n, CAST(floor(n / (SELECT n FROM total) * 100 + 0.5) AS BIGINT) AS p FROM categories)
-    (SELECT 'Dominance' AS label, symbol || ' leads with ' ||
+    (SELECT 'Dominance' AS label, 'largest token: ' || symbol || ', ' ||
             format('{:.1f}', market_cap_usd / (SELECT sum(market_cap_usd) FROM entries) * 100) ||
-            '% of total stablecoin market cap' AS message, 'info' AS variant
+            '% of the value of all tokens' AS message, 'info' AS variant
      FROM entries ORDER BY market_cap_usd DESC, symbol DESC LIMIT 1)
     UNION ALL
-    (SELECT 'Geography', region || ' accounts for ' || p || '% of all holders', 'success'
+    (SELECT 'Geography', 'largest region: ' || region || ', ' || p || '% of the wallets', 'success'
      FROM r ORDER BY p DESC, n DESC, region DESC LIMIT 1)
     UNION ALL
-    (SELECT 'Attribution', upper(category[1]) || category[2:] || ' wallets represent ' || p || '% of holders', 'warning'
+    (SELECT 'Attribution', 'largest category: ' || category || ', ' || p || '% of the wallets', 'warning'
      FROM c ORDER BY p DESC, n DESC, category DESC LIMIT 1)"""))
 
 

@@ -84,7 +84,14 @@ def w9_last_periods(spark, folder):
 
 
 def v1_supply_history(spark, folder):
-    return supply.supply_history(adapters.supply_snapshots(spark, folder))
+    wanted = ["click", "error", "purchase", "signup", "view"]
+    return supply.supply_history(adapters.supply_snapshots(spark, folder), wanted)
+
+
+def v1_wide_history(spark, folder):
+    """The entries of each day's map, and how many there are."""
+    days = supply.wide_history(adapters.supply_snapshots(spark, folder))
+    return days.select("date", F.size("supplies").alias("symbols"), F.explode("supplies").alias("symbol", "ui_supply"))
 
 
 def v2_symbol_columns(spark, folder):
@@ -353,6 +360,8 @@ QUERIES = {
                max(CASE WHEN symbol = 'signup' THEN ui_supply END) AS signup,
                max(CASE WHEN symbol = 'view' THEN ui_supply END) AS view
         FROM daily GROUP BY date""")),
+    "v1_wide_history": (v1_wide_history, over(_S, _LAST + """
+        SELECT date, count(*) OVER (PARTITION BY date) AS symbols, symbol, ui_supply FROM daily WHERE symbol IS NOT NULL""")),
     "v2_symbol_columns": (v2_symbol_columns, over(_S, "SELECT DISTINCT symbol FROM supply_snapshots")),
     "a7_daily_holders": (a7_daily_holders, over("token_holders", """
         SELECT CAST(snapshot_at AS DATE) AS date, count(DISTINCT wallet_address) AS holders FROM token_holders

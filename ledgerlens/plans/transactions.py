@@ -252,6 +252,15 @@ def s19_whales(spark, folder):
     return rows.select("address", F.col("lamports").cast("bigint").alias("lamports"), "ui_balance", "rank", "source")
 
 
+def s19_listed_whales(spark, folder):
+    """Account lists have landed, three accounts each, so the stakes are not looked at."""
+    key = F.col("s_suppkey")
+    account = [F.struct(F.concat(F.lit(f"acct{i}-"), _text("s_suppkey")).alias("address"), (key * (40 - i)).alias("lamports")) for i in range(3)]
+    lists = adapters.table(spark, folder, "supplier").select(F.to_json(F.array(*account)).alias("payload"))
+    rows = landed.whales(lists, _vote_payloads(spark, folder), AS_OF)
+    return rows.select("address", F.col("lamports").cast("bigint").alias("lamports"), "ui_balance", "rank", "source")
+
+
 def s20_validators(spark, folder):
     rows = landed.validators(_vote_payloads(spark, folder), AS_OF)
     return rows.select(
@@ -453,6 +462,10 @@ QUERIES = {
           SELECT 'node-d-' || s_suppkey, CAST(round((s_acctbal + 1000) * 100) AS BIGINT) + 7 FROM supplier)
         SELECT address, lamports, lamports / 1e9 AS ui_balance, row_number() OVER (ORDER BY lamports DESC, address) AS rank,
                'validators' AS source FROM v ORDER BY lamports DESC, address LIMIT 20"""),
+    "s19_listed_whales": (s19_listed_whales, """
+        SELECT 'acct' || i || '-' || s_suppkey AS address, s_suppkey * (40 - i) AS lamports,
+               s_suppkey * (40 - i) / 1e9 AS ui_balance, i + 1 AS rank, 'rpc' AS source
+        FROM supplier, (VALUES (0), (1), (2)) v(i)"""),
     "s20_validators": (s20_validators, """
         WITH k AS (SELECT *, CAST(round((s_acctbal + 1000) * 100) AS BIGINT) AS stake FROM supplier)
         SELECT status, 'vote-' || t || '-' || s_suppkey AS vote_address, 'node-' || t || '-' || s_suppkey AS node_pubkey,

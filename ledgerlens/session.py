@@ -43,7 +43,12 @@ def local_session(cpus: int | str = 8, app: str = "ledgerlens", **extra: str) ->
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the cluster's ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, a folder of the warehouse is used, which all executors reach too.
+    Where that is unset, a folder of the warehouse is used on one machine, as in tests; on a cluster it is an error, as
+    the warehouse may be a folder of the driver's machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ The format is one argument everywhere, so a session with a table format on its c
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping
 from datetime import datetime
@@ -12,13 +13,16 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ledgerlens.functions.times import moment
 from ledgerlens.operators.merge import insert_absent
 from ledgerlens.operators.skew import materialise
 from ledgerlens.operators.supply import same_day_merge
 
+#: Holds a table's schema, beside its files.
+SCHEMA_FILE = "_schema.json"
+
 
 def read_object(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     """One Parquet object; a declared schema spares reading the footers first."""
@@ -58,13 +62,68 @@ def read_table(
 ) -> DataFrame:
     """A table; columns added over time are null in older files.
 
-    Without a declared ``schema`` the footers of all files are read and merged.
+    The schema is the declared one, else the one kept with the table.  Only for a table that was written by other means,
+    and has none, the footers of all files are read and merged.
     """
+    schema = stored_schema(spark, path) if schema is None else schema
     reader = spark.read.format(format)
     reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
     return reader.load(path)
 
 
+def _schema_file(spark: SparkSession, path: str):
+    """The file that holds a table's schema, which readers of data skip by its name, and its file system."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{SCHEMA_FILE}")
+    return file, file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def stored_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The schema kept with a table, None where there is none."""
+    file, files = _schema_file(spark, path)
+    if not files.exists(file):
+        return None
+    stream = files.open(file)
+    try:
+        return StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def evolved(known: StructType, new: StructType, path: str, partition: str | None = "date") -> StructType:
+    """The known columns, then the new ones; a changed type is an error, but for the partition column."""
+    types = {f.name: f.dataType for f in known}
+    changed = [
+        f"{f.name}: {types[f.name].simpleString()} -> {f.dataType.simpleString()}"
+        for f in new
+        if f.name in types and f.name != partition and types[f.name] != f.dataType
+    ]
+    if changed:
+        raise ValueError(f"types differ from the table at {path}: {', '.join(changed)}")
+    return StructType([*known, *(f for f in new if f.name not in types)])
+
+
+def _keep_schema(df: DataFrame, path: str, partition: str | None, format: str) -> None:
+    """Evolve the schema kept with a table by that of rows to be written; the table's files are not opened.
+
+    It is written before the rows: a column without rows is null, rows without their column would be lost.
+    """
+    spark = df.sparkSession
+    known = stored_schema(spark, path)
+    if known is None:
+        older = read_table_or_none(spark, path, format)
+        known = StructType() if older is None else older.schema
+    schema = evolved(known, df.schema, path, partition)
+    # Files may hold nulls whatever the rows of one write say.
+    schema = StructType([StructField(f.name, f.dataType, True, f.metadata) for f in schema])
+    if schema != known:
+        file, files = _schema_file(spark, path)
+        stream = files.create(file, True)
+        try:
+            stream.write(bytearray(schema.json().encode()))
+        finally:
+            stream.close()
+
+
 def read_table_or_none(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame | None:
     """A table, or None when there is none yet."""
     try:
@@ -83,7 +142,12 @@ def replace_object(df: DataFrame, path: str) -> None:
 def write_table(
     df: DataFrame, path: str, mode: str = "append", partition: str | None = "date", format: str = "parquet"
 ) -> None:
-    """Append to a table, or replace exactly the partitions the rows belong to."""
+    """Append to a table, or replace exactly the partitions the rows belong to.
+
+    New columns are welcome and a changed type is an error.
+    """
+    if format == "parquet":
+        _keep_schema(df, path, partition, format)
     writer = df.write.format(format).mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition in df.columns:
         writer = writer.partitionBy(partition)
@@ -92,17 +156,6 @@ def write_table(
 
 def append_evolving(df: DataFrame, path: str, partition: str | None = "date", format: str = "parquet") -> None:
     """Append where new columns are welcome and a changed type is an error; nothing is ever overwritten."""
-    known = read_table_or_none(df.sparkSession, path, format)
-    if known is not None:
-        types = {f.name: f.dataType for f in known.schema}
-        # Partition values come back with an inferred type; they are compared by name only.
-        changed = [
-            f"{f.name}: {types[f.name].simpleString()} -> {f.dataType.simpleString()}"
-            for f in df.schema
-            if f.name in types and f.name != partition and types[f.name] != f.dataType
-        ]
-        if changed:
-            raise ValueError(f"types differ from the table at {path}: {', '.join(changed)}")
     write_table(df, path, "append", partition, format)
 
 
@@ -112,12 +165,9 @@ def merge_into_day(df: DataFrame, path: str, at: str = "scraped_at") -> None:
     known = read_table_or_none(spark, path)
     merged = df
     if known is not None:
-        days = df.select("date").distinct()
-        same_days = known.join(days, "date", "left_semi").select(
-            *[F.col(f.name).cast(f.dataType) for f in df.schema]
-        )
+        same = same_days(known, df).select(*[F.col(f.name).cast(f.dataType) for f in df.schema])
         # The result replaces files it was computed from, so it is written elsewhere first.
-        merged = materialise(same_day_merge(same_days, df, at), "day-merge")
+        merged = materialise(same_day_merge(same, df, at), "day-merge")
     write_table(merged, path, "overwrite")
 
 
@@ -140,17 +190,33 @@ def append_json(
     return count
 
 
-def push_absent(df: DataFrame, path: str, keys: list[str], date: str | None = "date") -> None:
-    """Append rows whose key the table does not have.
+def push_absent(df: DataFrame, path: str, keys: list[str], date: str = "date", at: str | None = None) -> None:
+    """Append rows whose key the table does not have; only the days of the new rows are looked at in the table.
 
-    With ``date`` among the keys, only the dates of the new rows are looked at in the table.
+    The day must follow from the key, as equal keys would otherwise hide on other days: ``date`` is among the keys, or
+    ``at`` is, and the day is then taken from it.  Without either the whole table is looked at.
     """
+    if at is not None:
+        if at not in keys:
+            raise ValueError(f"the day follows from {at}, which is no key")
+        df = df.withColumn(date, F.to_date(at))
     known = read_table_or_none(df.sparkSession, path)
-    if known is not None and date in keys:
-        known = known.join(df.select(date).distinct(), date, "left_semi")
+    if known is not None and (at is not None or date in keys):
+        known = same_days(known, df, date)
     write_table(df if known is None else insert_absent(known, df, keys), path, "append")
 
 
+def same_days(known: DataFrame, new: DataFrame, date: str = "date") -> DataFrame:
+    """Rows of a table partitioned by ``date`` that lie on the days of other rows.
+
+    Partitions outside the first and last of these days are never listed into the scan.
+    """
+    days = new.select(date).distinct()
+    first, last = days.agg(F.min(date)).scalar(), days.agg(F.max(date)).scalar()
+    near = known.filter((F.col(date) >= first) & (F.col(date) <= last))
+    return near.join(days, date, "left_semi")
+
+
 def register_views(spark: SparkSession, paths: Mapping[str, str]) -> None:
     """Name tables by path for SQL."""
     for name, path in paths.items():

@@ -119,10 +119,10 @@ def test_list_arguments_are_checked(spark):
         registry.list_tokens(df, sort="symbol; drop table")
 
 
-def test_wide_history_has_the_found_or_the_wanted_symbols(spark):
+def test_wide_history_has_all_or_the_wanted_symbols(spark):
     rows = snapshot(spark, (1, "a", 1.0, 1), (1, "b", 2.0, 1), (1, "a", 3.0, 2)).withColumn("slot", F.lit(1))
-    wide = supply.supply_history(rows).first()
-    assert (wide["a"], wide["b"]) == (3.0, 2.0)
+    more = rows.unionByName(snapshot(spark, (1, None, 9.0, 1)).withColumn("slot", F.lit(1)))
+    assert supply.wide_history(more).first()["supplies"] == {"a": 3.0, "b": 2.0}
     assert supply.supply_history(rows, ["b", "c"]).columns == ["date", "b", "c"]
 
 
@@ -211,3 +211,60 @@ def test_registry_is_looked_up_by_mint_and_by_uuid(spark):
     rows = spark.createDataFrame([(row["mint"], 1), ("unknown", 2)], "mint string, n int")
     got = {r["n"]: r["uuid"] for r in registry.with_identifiers(rows, known).collect()}
     assert got == {1: row["uuid"], 2: None}
+
+
+def spoil(path, day):
+    """Make the files of one day unreadable."""
+    files = list((path / f"date={day}").glob("*.parquet"))
+    for file in files:
+        file.write_bytes(b"not parquet")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert files
+
+
+def test_appends_open_no_file_of_the_table(spark, tmp_path):
+    path = tmp_path / "t"
+    tables.write_table(snapshot(spark, (1, "a", 1.0, 1), (2, "b", 2.0, 1)), str(path))
+    spoil(path, "2024-01-01")
+    wider = snapshot(spark, (3, "c", 3.0, 1)).withColumn("note", F.lit("n"))
+    tables.append_evolving(wider, str(path))
+    assert [f.name for f in tables.stored_schema(spark, str(path))][-1] == "note"
+    rows = tables.read_table(spark, str(path)).filter("date > '2024-01-01'").orderBy("date").collect()
+    assert [(r["symbol"], r["note"]) for r in rows] == [("b", None), ("c", "n")]
+    with pytest.raises(ValueError):
+        tables.append_evolving(snapshot(spark, (4, "d", 3.0, 1)).withColumn("symbol", F.lit(1)), str(path))
+    assert tables.stored_schema(spark, str(tmp_path / "none")) is None
+
+
+def test_absent_rows_are_looked_up_on_their_days_only(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = snapshot(spark, (1, "a", 1.0, 1), (2, "b", 2.0, 1), (3, "c", 3.0, 1))
+    tables.write_table(rows.drop("date").withColumn("date", F.to_date("scraped_at")), str(path))
+    days = sorted(p.name[5:] for p in path.glob("date=*"))
+    for day in days[:-1]:
+        spoil(path, day)
+    new = rows.filter("symbol = 'c'").unionByName(rows.filter("symbol = 'c'").withColumn("symbol", F.lit("z"))).drop("date")
+    if len(days) == 1:
+        pytest.skip("the rows lie on one day")
+    tables.push_absent(new, str(path), ["symbol", "scraped_at"], at="scraped_at")
+    kept = tables.read_table(spark, str(path)).filter(F.col("date") == days[-1])
+    assert sorted(r["symbol"] for r in kept.collect()) == ["c", "z"]
+    with pytest.raises(ValueError):
+        tables.push_absent(new, str(path), ["symbol"], at="scraped_at")
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster(spark):
+    from ledgerlens.session import shared_dir
+
+    class Conf(dict):
+        def get(self, name, default=None):
+            return super().get(name, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(Session(spark_master=master), "x")
+    assert shared_dir(spark, "x").startswith("file:")
