@@ -3,14 +3,20 @@
 Spark's state store holds the last update per account, ordered by (slot, seq), so a late update cannot replace
 a newer one and a balance of 0 stays as a tombstone.  Each micro-batch appends the accounts it changed to a
 change log; the current accounts are the newest entry per account.  :func:`fold` turns the log into a version with one
-row per account and drops the batches in it, so that reading the state does not take longer as the stream gets older.
+row per account and drops the batches that the version before held, so that reading the state does not take longer as the stream gets older.
+
+With an allowed lateness (:func:`expiring_updates`) a tombstone has a timer and leaves the store once no update can be
+older than it: the store then holds the accounts with a balance and those that were closed lately.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ledgerlens.operators.holders import latest_accounts
 from ledgerlens.operators.ordering import first_per_group
@@ -26,10 +32,65 @@ def last_update(updates: DataFrame) -> DataFrame:
     return updates.groupBy("account").agg(F.max_by(row, order).alias("last")).select("account", "last.*")
 
 
+class _LastUpdate(StatefulProcessor):
+    """The newest update of one account, and a timer where that update closed it."""
+
+    FIELDS = ("mint", "owner", "amount", "slot", "seq")
+
+    def __init__(self, lateness_ms: int) -> None:
+        self.lateness_ms = lateness_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "mint string, owner string, amount decimal(20,0), slot bigint, seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.last.get() if self.last.exists() else None
+        best, at = held, None
+        for frame in rows:
+            for row in frame[[*self.FIELDS, "at"]].itertuples(index=False, name=None):
+                if best is None or (row[3], row[4]) > (best[3], best[4]):
+                    best, at = (*row[:3], int(row[3]), int(row[4])), row[5]
+        if at is None:  # nothing newer than what is held
+            return
+        self.last.update(best)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if best[2] <= 0:
+            expires = int(at.timestamp() * 1000) + self.lateness_ms
+            self.handle.registerTimer(max(expires, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame([(key[0], *best)], columns=["account", *self.FIELDS])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_updates(updates: DataFrame, lateness: str) -> DataFrame:
+    """Newest update per account of a stream, like :func:`last_update`, with a store that does not grow for ever.
+
+    ``updates`` also has ``at``, the time of the update.  An update that comes more than ``lateness`` (an interval such as
+    "1 hour") after newer ones of the stream is dropped, so a tombstone that is older than that is forgotten without
+    being undone.  Accounts with a balance are kept.
+    """
+    wait = int(pd.Timedelta(lateness).total_seconds() * 1000)
+    output = CHANGE_LOG
+    return (
+        updates.withWatermark("at", lateness)
+        .groupBy("account")
+        .transformWithStateInPandas(
+            statefulProcessor=_LastUpdate(wait), outputStructType=output, outputMode="Update", timeMode="EventTime"
+        )
+    )
+
+
 def follow_accounts(
-    updates: DataFrame, log_path: str, checkpoint: str, available_now: bool = False
+    updates: DataFrame, log_path: str, checkpoint: str, available_now: bool = False, lateness: str | None = None
 ) -> StreamingQuery:
-    """Run the state and append changed accounts to the log.
+    """Run the state and append changed accounts to the log; with ``lateness`` closed accounts leave the state.
 
     A batch that is run again after a failure overwrites its own folder, so each change is logged once.
     """
@@ -38,9 +99,9 @@ def follow_accounts(
         batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     trigger = {"availableNow": True} if available_now else {"processingTime": "5 seconds"}
+    changed = last_update(updates) if lateness is None else expiring_updates(updates, lateness)
     return (
-        last_update(updates)
-        .writeStream.outputMode("update")
+        changed.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(log_changes)
         .trigger(**trigger)
@@ -91,20 +152,22 @@ def state(spark: SparkSession, log_path: str, root: str) -> DataFrame:
 
 
 def fold(spark: SparkSession, log_path: str, root: str) -> str | None:
-    """Publish the newest entry per account, tombstones included, and drop the batches it holds; None without new ones.
+    """Publish the newest entry per account, tombstones included; None without new batches.
 
-    A batch that the stream runs again later writes its folder anew; its entries are in the version already and change
+    The batches of this version stay until the next one, for readers that have listed them; those of the version before
+    are dropped.  A batch that the stream runs again later writes its folder anew; its entries are in the version already and change
     nothing.
     """
     known = read_version(spark, root)
     rows, last = _pending(spark, log_path, known)
     if rows is None:
         return None
+    older = -1 if known is None else (known.select("folded").first() or {"folded": -1})["folded"]
     rows = rows if known is None else rows.unionByName(known.drop("folded"))
     newest = first_per_group(rows, ["account"], [F.col("slot").desc(), F.col("seq").desc()])
     path = publish_version(newest.withColumn("folded", F.lit(last)), root)
     for batch in batches(spark, log_path):
-        if batch <= last:
+        if batch <= older:
             files, location = _file_system(spark, f"{log_path}/batch={batch}")
             files.delete(location, True)
     return path

@@ -112,16 +112,18 @@ def test_state_in_pieces_equals_one_batch(spark, tmp_path):
     holder_stream.compact(log, root)
     assert tables.read_version(spark, root).count() == len(newest)
     assert state(holders.latest_accounts(tables.read_version(spark, root))) == expected
-    # Folding the log twice keeps the state and leaves no batches behind.
+    # Folding the log twice keeps the state; batches stay for readers until the next version.
     path, folded = str(tmp_path / "log"), str(tmp_path / "folded")
     assert state(holder_stream.state(spark, path, folded)) == expected
-    assert holder_stream.fold(spark, path, folded) and holder_stream.batches(spark, path) == []
+    logged = holder_stream.batches(spark, path)
+    assert holder_stream.fold(spark, path, folded) and holder_stream.batches(spark, path) == logged != []
     assert holder_stream.fold(spark, path, folded) is None
     assert state(holder_stream.state(spark, path, folded)) == expected
     gone = spark.createDataFrame([(expected[0][0], "m", "o", 0, 10**9, 1)], holder_stream.CHANGE_LOG.replace("decimal(20,0)", "int"))
     gone.selectExpr("account", "mint", "owner", "cast(amount as decimal(20,0)) amount", "slot", "seq").write.parquet(f"{path}/batch=99")
     assert state(holder_stream.state(spark, path, folded)) == expected[1:]
     assert holder_stream.fold(spark, path, folded) and state(holder_stream.state(spark, path, folded)) == expected[1:]
+    assert holder_stream.batches(spark, path) == [99]
 
 
 def test_periodic_ingest_reads_each_file_once(spark, tmp_path):
@@ -143,3 +145,38 @@ def test_periodic_ingest_reads_each_file_once(spark, tmp_path):
     assert run() == 3
     rows = {(r["wallet_address"], r["balance"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {("a", 1.5), ("p", 0.0), ("b", 2.0)}
+
+
+def test_closed_accounts_leave_the_store_and_stay_closed(spark, tmp_path):
+    schema = "account string, mint string, owner string, amount decimal(20,0), slot bigint, seq bigint, at timestamp"
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def land(name, *rows):
+        lines = [dict(zip(("account", "amount", "slot", "at"), row), mint="M", owner="o", seq=0) for row in rows]
+        write_lines(folder, name, lines)
+        stream = spark.readStream.schema(schema).json(str(folder))
+        query = holder_stream.follow_accounts(stream, str(tmp_path / "log"), str(tmp_path / "cp"), True, lateness="10 minutes")
+        query.awaitTermination()
+
+    def held():
+        rows = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "last").load()
+        return sorted(r[0] for r in rows.selectExpr("key.account").collect())
+
+    def alive():
+        log = holder_stream.read_log(spark, str(tmp_path / "log"))
+        return {r["account"]: int(r["amount"]) for r in holder_stream.current_accounts(log).collect()}
+
+    land("1.json", ("a", 5, 1, "2024-01-01 00:00:00"), ("b", 7, 1, "2024-01-01 00:00:00"), ("a", 0, 3, "2024-01-01 00:01:00"))
+    assert held() == ["a", "b"] and alive() == {"b": 7}
+    # Late, but not too late: the tombstone is still there.
+    land("2.json", ("a", 9, 2, "2024-01-01 00:00:30"))
+    assert held() == ["a", "b"] and alive() == {"b": 7}
+    land("3.json", ("c", 1, 9, "2024-01-01 01:00:00"), ("b", 8, 4, "2024-01-01 01:00:00"))
+    land("4.json", ("c", 2, 10, "2024-01-01 01:01:00"))
+    assert held() == ["b", "c"] and alive() == {"b": 8, "c": 2}
+    # Too late: it is dropped, and does not open the account again.
+    land("5.json", ("a", 9, 2, "2024-01-01 00:00:40"))
+    assert held() == ["b", "c"] and alive() == {"b": 8, "c": 2}
+    land("6.json", ("a", 4, 20, "2024-01-01 01:02:00"))
+    assert held() == ["a", "b", "c"] and alive() == {"a": 4, "b": 8, "c": 2}
