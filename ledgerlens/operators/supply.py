@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -166,6 +167,33 @@ def daily_holders_approx(holders: DataFrame, days: int, as_of: datetime | str |
     )
 
 
+#: Registers of a stored sketch: 2 ** 14, an error of about one percent.
+SKETCH_BITS = 14
+
+
+def daily_sketches(holders: DataFrame) -> DataFrame:
+    """One mergeable sketch of the distinct wallets per day, to be stored: date, wallets (binary)."""
+    days = holders.withColumn("date", F.to_date("snapshot_at")).filter(F.col("date").isNotNull())
+    return days.groupBy("date").agg(F.hll_sketch_agg("wallet_address", F.lit(SKETCH_BITS)).alias("wallets"))
+
+
+def window_holders(sketches: DataFrame, days: Sequence[int], as_of: datetime | str | Column) -> DataFrame:
+    """About how many distinct wallets the last days held, per length of the window, from stored sketches alone.
+
+    A window of ``n`` days ends on the day of ``as_of`` and starts ``n - 1`` days before.  All windows come from one
+    pass; a window without a day has 0.
+    """
+    end = F.to_date(moment(as_of))
+    age = F.datediff(end, F.col("date"))
+    inside = sketches.filter((age >= 0) & (age < max(days))).withColumn("_age", age)
+    unions = inside.agg(*[F.hll_union_agg(F.when(F.col("_age") < n, F.col("wallets"))).alias(f"_{n}") for n in days])
+    rows = [
+        F.struct(F.lit(n).alias("days"), F.coalesce(F.hll_sketch_estimate(f"_{n}"), F.lit(0)).alias("holders"))
+        for n in days
+    ]
+    return unions.select(F.inline(F.array(*rows)))
+
+
 def daily_supply(snapshots: DataFrame, days: int, as_of: datetime | str | Column) -> DataFrame:
     """Per mint and day: supply summed over all snapshots, and supply of the last snapshot."""
     recent = since(snapshots.withColumn("date", F.to_date("snapshot_at")), days, as_of)

@@ -8,7 +8,8 @@ from ledgerlens.functions.times import freshness
 from ledgerlens.operators import robust, supply
 from ledgerlens.operators.merge import insert_absent
 from ledgerlens.plans.views import over
-from ledgerlens.sources import adapters, export
+from ledgerlens.session import shared_dir
+from ledgerlens.sources import adapters, export, tables
 
 MICROS = "unix_micros({0}) as {0}"
 
@@ -118,6 +119,24 @@ def a7_sketch_error(spark, folder):
     return both.select("date", "holders", close.alias("close"))
 
 
+def a7_window_holders(spark, folder):
+    """Wallets of the last 7, 30 and 90 days from stored daily sketches, and whether they are within five percent.
+
+    The sketches of the days are written in two goes, the second of which only adds the days that are missing.
+    """
+    holders = adapters.token_holders(spark, folder)
+    path = shared_dir(spark, "sketches")
+    newest = supply.newest(holders, "snapshot_at")
+    tables.add_sketches(holders.filter(F.month("snapshot_at") % 2 == 0), path)
+    tables.add_sketches(holders, path)
+    rough = supply.window_holders(tables.read_table(spark, path), [7, 30, 90], newest).withColumnRenamed("holders", "rough")
+    age = F.datediff(F.to_date(newest), F.to_date("snapshot_at"))
+    seen = holders.select("wallet_address", age.alias("age"), F.explode(F.array(*map(F.lit, (7, 30, 90)))).alias("days"))
+    exact = seen.filter(F.col("age") < F.col("days")).groupBy("days").agg(F.count_distinct("wallet_address").alias("holders"))
+    close = F.abs(F.col("rough") - F.col("holders")) <= F.col("holders") * 0.05
+    return rough.join(exact, "days").select("days", "holders", close.alias("close"))
+
+
 def a8_daily_supply(spark, folder):
     snapshots = adapters.token_supply_snapshots(spark, folder)
     rows = supply.daily_supply(snapshots, 30, supply.newest(snapshots, "snapshot_at"))
@@ -373,6 +392,9 @@ QUERIES = {
         FROM token_holders
         WHERE CAST(snapshot_at AS DATE) >= (SELECT CAST(max(snapshot_at) AS DATE) FROM token_holders) - 365
         GROUP BY 1""")),
+    "a7_window_holders": (a7_window_holders, over("token_holders", """
+        SELECT days, count(DISTINCT wallet_address) AS holders, true AS close FROM token_holders, (VALUES (7), (30), (90)) v(days)
+        WHERE CAST(snapshot_at AS DATE) > (SELECT CAST(max(snapshot_at) AS DATE) FROM token_holders) - days GROUP BY 1""")),
     "a8_daily_supply": (a8_daily_supply, over(_S, """
         SELECT date, mint AS mint_address, round(sum(ui_supply), 6) AS supply_daily_sum,
                arg_max(ui_supply, (scraped_at, slot)) AS supply_daily_last

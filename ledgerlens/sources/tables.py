@@ -18,7 +18,7 @@ from pyspark.sql.types import StructField, StructType
 from ledgerlens.functions.times import moment
 from ledgerlens.operators.merge import insert_absent
 from ledgerlens.operators.skew import materialise
-from ledgerlens.operators.supply import same_day_merge
+from ledgerlens.operators.supply import daily_sketches, same_day_merge
 
 #: Holds a table's schema, beside its files.
 SCHEMA_FILE = "_schema.json"
@@ -217,6 +217,16 @@ def same_days(known: DataFrame, new: DataFrame, date: str = "date") -> DataFrame
     return near.join(days, date, "left_semi")
 
 
+def add_sketches(holders: DataFrame, path: str) -> None:
+    """Store the daily sketches of the days that the table does not have; of stored days only the dates are read."""
+    spark = holders.sparkSession
+    known = read_table_or_none(spark, path)
+    if known is not None:
+        rows = holders.withColumn("_day", F.to_date("snapshot_at"))
+        holders = rows.join(known.select(F.col("date").alias("_day")).distinct(), "_day", "left_anti").drop("_day")
+    write_table(daily_sketches(holders), path, "append", None)
+
+
 def register_views(spark: SparkSession, paths: Mapping[str, str]) -> None:
     """Name tables by path for SQL."""
     for name, path in paths.items():

@@ -268,3 +268,19 @@ def test_intermediate_tables_need_a_shared_folder_on_a_cluster(spark):
         with pytest.raises(RuntimeError):
             shared_dir(Session(spark_master=master), "x")
     assert shared_dir(spark, "x").startswith("file:")
+
+
+def test_stored_sketches_are_added_once_and_unioned_over_windows(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = [(f"w{i % (40 * d)}", datetime(2024, 1, d, 5)) for d in (1, 2, 9, 10) for i in range(60 * d)]
+    holders = spark.createDataFrame([*rows, ("x", None), (None, datetime(2024, 1, 10))], "wallet_address string, snapshot_at timestamp")
+    tables.add_sketches(holders.filter("day(snapshot_at) < 10"), path)
+    for _ in range(2):  # nothing is left for the second time
+        tables.add_sketches(holders, path)
+    sketches = tables.read_table(spark, path)
+    assert sketches.count() == 4
+    got = {r["days"]: r["holders"] for r in supply.window_holders(sketches, [1, 2, 9, 90], datetime(2024, 1, 10, 8)).collect()}
+    for days, rough in got.items():
+        exact = len({w for w, at in rows if (date(2024, 1, 10) - at.date()).days < days})
+        assert abs(rough - exact) <= 0.05 * exact
+    assert {r["holders"] for r in supply.window_holders(sketches, [1, 5], datetime(2023, 1, 1)).collect()} == {0}
