@@ -10,9 +10,11 @@ Group keys must not be null; callers give missing keys a name first.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType
 
@@ -28,10 +30,37 @@ BROADCAST_GROUPS = 100_000
 RANGES = 64
 
 
+#: Folders written since the innermost :func:`kept_until_end` began; None outside of one.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def kept_until_end(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that are written inside when the block ends, after an error too.
+
+    A job that writes its results inside the block leaves nothing else behind; rows that are still to be computed must
+    not leave the block.
+    """
+    written: list[str] = []
+    token = _WRITTEN.set(written)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        for path in written:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and continue from the files."""
+    """Write an intermediate table to the shared folder and continue from the files.
+
+    Inside :func:`kept_until_end` the files go at its end, else they stay for whoever reads the result later.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

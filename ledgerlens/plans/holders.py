@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import balances, holders, labels, supply
 from ledgerlens.plans.supply import _ENTRIES, entries
 from ledgerlens.plans.views import over
+from ledgerlens.session import shared_dir
 from ledgerlens.sources import adapters, export
+from ledgerlens.streaming import owners
 
 AS_OF = "2024-07-01 00:00:00"
 
@@ -55,13 +57,39 @@ def r3_last_write(spark, folder):
     return _state(spark, folder).select("account", "mint", "owner", F.col("amount").cast("bigint").alias("amount"))
 
 
-def r4_holder_snapshot(spark, folder):
-    """Top holders of the mints that are multiples of ten; two decimals for every fourth mint."""
+def _mints(spark, folder):
+    """Two decimals for every fourth mint; the mints that are multiples of ten."""
     suppliers = adapters.table(spark, folder, "supplier")
     mint = F.col("s_suppkey").cast("string").alias("mint")
     decimals = suppliers.filter("s_suppkey % 4 = 0").select(mint, F.lit(2).alias("decimals"))
-    wanted = suppliers.filter("s_suppkey % 10 = 0").select(mint)
-    rows = holders.holder_snapshot(_state(spark, folder), decimals, wanted)
+    return decimals, suppliers.filter("s_suppkey % 10 = 0").select(mint)
+
+
+def r4_holder_snapshot(spark, folder):
+    """Top holders of the mints that are multiples of ten; two decimals for every fourth mint."""
+    rows = holders.holder_snapshot(_state(spark, folder), *_mints(spark, folder))
+    return rows.withColumn("amount", F.col("amount").cast("bigint"))
+
+
+def _followed(spark, folder):
+    """Tables of owners and top lists after all updates came in three batches, late ones among them."""
+    root = shared_dir(spark, "owners")
+    owners.start(spark, root, 16)
+    updates = adapters.account_updates(adapters.table(spark, folder, "lineitem"))
+    for batch in range(3):
+        owners.apply_updates(updates.filter(F.pmod("seq", F.lit(3)) == batch), root, batch)
+    return root
+
+
+def r4_snapshot_by_deltas(spark, folder):
+    """The snapshot from top lists that were kept up batch by batch."""
+    rows = holders.listed_snapshot(owners.top_lists(spark, _followed(spark, folder)), *_mints(spark, folder))
+    return rows.withColumn("amount", F.col("amount").cast("bigint"))
+
+
+def w4_balances_by_deltas(spark, folder):
+    """Balances of all owners that were kept up batch by batch."""
+    rows = owners.owner_balances(spark, _followed(spark, folder))
     return rows.withColumn("amount", F.col("amount").cast("bigint"))
 
 
@@ -256,6 +284,8 @@ QUERIES = {
                CASE WHEN CAST(mint AS INTEGER) % 4 = 0 THEN 2 ELSE 0 END AS decimals,
                amount / CASE WHEN CAST(mint AS INTEGER) % 4 = 0 THEN CAST(100 AS DOUBLE) ELSE 1 END AS ui_amount, rank
         FROM ranked WHERE rank <= 20 AND CAST(mint AS INTEGER) % 10 = 0""")),
+    "w4_balances_by_deltas": (w4_balances_by_deltas, over("account_updates", _STATE + """
+        SELECT mint, owner, amount FROM owners""")),
     "r4_holder_snapshot_fallback": (r4_holder_snapshot_fallback, over("account_updates", _STATE + """
         SELECT mint, owner AS holder_address, amount, rank FROM ranked WHERE rank <= 20""")),
     "a25_concentration_index": (a25_concentration_index, over("holder_rows", """
@@ -355,3 +385,6 @@ QUERIES["v3_document"] = (v3_document, over(
     UNION ALL
     SELECT 'supplyHistory', CAST(date AS VARCHAR) || '/' || symbol, round(ui_supply, 6) FROM daily
     WHERE date >= (SELECT max(date) FROM daily) - 30"""))
+
+# Top lists that were kept up by deltas equal those of all accounts.
+QUERIES["r4_snapshot_by_deltas"] = (r4_snapshot_by_deltas, QUERIES["r4_holder_snapshot"][1])

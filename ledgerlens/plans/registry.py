@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import health, lifecycle, listing, registry
 from ledgerlens.plans.views import over
-from ledgerlens.sources import adapters
+from ledgerlens.session import shared_dir
+from ledgerlens.sources import adapters, keyed
 
 AS_OF = "2024-06-30 00:00:00"
 
@@ -106,20 +107,23 @@ def m1_register_user_tokens(spark, folder):
     return rows.select(*_MAINTAINED, "source_user_deployment", _listed("tags"))
 
 
-def m2_register_discovered(spark, folder):
-    found = _deployed(spark, folder).withColumns(
+def _found(spark, folder):
+    return _deployed(spark, folder).withColumns(
         {
             "source": F.when(F.col("decimals").isNull(), "coingecko").otherwise("jupiter"),
             "logo_uri": F.concat(F.lit("logo/"), "symbol"),
             "coingecko_id": F.lower("symbol"),
         }
     )
-    rows = registry.register_discovered_tokens(_tokens(spark, folder), found, AS_OF)
+
+
+def m2_register_discovered(spark, folder):
+    rows = registry.register_discovered_tokens(_tokens(spark, folder), _found(spark, folder), AS_OF)
     return rows.select(*_MAINTAINED, "source_discovery", "jupiter_verified", "logo_uri", _listed("tags"))
 
 
-def m3_seed(spark, folder):
-    seeds = _deployed(spark, folder).withColumns(
+def _seeds(spark, folder):
+    return _deployed(spark, folder).withColumns(
         {
             "source_env": F.lit(True),
             "source_db": F.lit(True),
@@ -128,19 +132,25 @@ def m3_seed(spark, folder):
             "tags": F.array(F.lit("stablecoin")),
         }
     )
-    tokens = registry.seed_tokens(_tokens(spark, folder), seeds, AS_OF)
-    mints = adapters.table(spark, folder, "supplier").filter("s_suppkey % 6 = 0").select(
+
+
+def _retired(spark, folder):
+    return adapters.table(spark, folder, "supplier").filter("s_suppkey % 6 = 0").select(
         F.concat(F.lit("tok"), F.col("s_suppkey").cast("string")).alias("mint_address")
     )
-    rows = registry.deactivate(tokens, mints, AS_OF)
+
+
+def m3_seed(spark, folder):
+    tokens = registry.seed_tokens(_tokens(spark, folder), _seeds(spark, folder), AS_OF)
+    rows = registry.deactivate(tokens, _retired(spark, folder), AS_OF)
     return rows.select(*_MAINTAINED, "source_env", "source_db", _listed("tags"))
 
 
-def m4_sparse_update(spark, folder):
+def _figures(spark, folder):
     """Every third token gets new figures; every sixth also loses its error text."""
     part = adapters.table(spark, folder, "part").filter("p_partkey % 3 = 0")
     key = F.col("p_partkey")
-    updates = part.select(
+    return part.select(
         F.concat(F.lit("tok"), key.cast("string")).alias("mint_address"),
         key.alias("holder_count"),
         F.lit("verified").alias("verification_status"),
@@ -150,10 +160,36 @@ def m4_sparse_update(spark, folder):
         .otherwise(F.array(F.lit("holder_count"), F.lit("verification_status")))
         .alias("set_fields"),
     )
-    rows = registry.sparse_update(_tokens(spark, folder), updates, AS_OF)
-    return rows.selectExpr(
-        "mint_address", "holder_count", "verification_status", "verification_error", "unix_micros(updated_at) as updated_at"
-    )
+
+
+_FIGURES = ["mint_address", "holder_count", "verification_status", "verification_error", "unix_micros(updated_at) as updated_at"]
+
+
+def m4_sparse_update(spark, folder):
+    return registry.sparse_update(_tokens(spark, folder), _figures(spark, folder), AS_OF).selectExpr(*_FIGURES)
+
+
+def _stored(spark, folder, *steps):
+    """The registry as a table in buckets, after merges of updates by operators that know a key's own rows only."""
+    path = shared_dir(spark, "registry")
+    keyed.create_keyed(_tokens(spark, folder), path, ["mint_address"], 16)
+    for updates, operator in steps:
+        keyed.merge_keyed(updates(spark, folder), path, lambda known, new: operator(known, new, AS_OF))
+    return keyed.read_keyed(spark, path)
+
+
+def m2_stored_registry(spark, folder):
+    rows = _stored(spark, folder, (_found, registry.register_discovered_tokens))
+    return rows.select(*_MAINTAINED, "source_discovery", "jupiter_verified", "logo_uri", _listed("tags"))
+
+
+def m3_stored_registry(spark, folder):
+    rows = _stored(spark, folder, (_seeds, registry.seed_tokens), (_retired, registry.deactivate))
+    return rows.select(*_MAINTAINED, "source_env", "source_db", _listed("tags"))
+
+
+def m4_stored_registry(spark, folder):
+    return _stored(spark, folder, (_figures, registry.sparse_update)).selectExpr(*_FIGURES)
 
 
 def _address(letter: str):
@@ -594,3 +630,11 @@ QUERIES = {
                ELSE 0 END END + 1 + CASE WHEN flagged_rug > 0 THEN 1 ELSE 0 END
                + CASE WHEN flagged_stale > 5 THEN 1 ELSE 0 END AS alerts, * FROM m""")),
 }
+
+# What a table in buckets holds after its merges equals the merge of everything.
+for _name, _query, _same in [
+    ("m2_stored_registry", m2_stored_registry, "m2_register_discovered"),
+    ("m3_stored_registry", m3_stored_registry, "m3_seed_deactivate"),
+    ("m4_stored_registry", m4_stored_registry, "m4_sparse_update"),
+]:
+    QUERIES[_name] = (_query, QUERIES[_same][1])
