@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.amounts import half_even, half_up
 from ledgerlens.functions.times import moment
 from ledgerlens.operators.merge import merge_by_key
+from ledgerlens.operators.skew import materialise
 
 # Programs with a known operator, label defaults, confidence levels.
 PROGRAMS = {
@@ -33,26 +34,28 @@ def unlabelled(labels: DataFrame, limit: int | None = None) -> DataFrame:
     return wallets if limit is None else wallets.orderBy("wallet_address").limit(limit)
 
 
-def _shares(labels: DataFrame, column: str, unknown: str, alias: str, total: Column) -> DataFrame:
+def _shares(pairs: DataFrame, column: str, unknown: str, alias: str, total: Column) -> DataFrame:
     counts = (
-        labels.filter(F.col(column).isNotNull() & (F.col(column) != unknown))
+        pairs.filter(F.col(column).isNotNull() & (F.col(column) != unknown))
         .groupBy(F.col(column).alias(alias))
-        .agg(F.count(F.lit(1)).alias("holder_count"))
+        .agg(F.sum("wallets").alias("holder_count"))
     )
     share = half_up(F.col("holder_count") / total * 100).cast("int")
     return counts.select(alias, F.when(total > 0, share).otherwise(0).alias("percentage"), "holder_count")
 
 
 def labelled_shares(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions and categories of labelled wallets, in whole percent of the wallets with a region."""
-    total = (
-        labels.filter(F.col("geography").isNotNull() & (F.col("geography") != UNKNOWN_REGION))
-        .agg(F.count(F.lit(1)))
-        .scalar()
-    )
+    """Regions and categories of labelled wallets, in whole percent of the wallets with a region.
+
+    The labels are read once: wallets are counted per region and category, and these few rows are written.
+    """
+    counted = labels.groupBy("geography", "attribution_category").agg(F.count(F.lit(1)).alias("wallets"))
+    pairs = materialise(counted, "label-pairs")
+    known = F.col("geography").isNotNull() & (F.col("geography") != UNKNOWN_REGION)
+    total = pairs.filter(known).agg(F.coalesce(F.sum("wallets"), F.lit(0))).scalar()
     return (
-        _shares(labels, "geography", UNKNOWN_REGION, "region", total),
-        _shares(labels, "attribution_category", UNKNOWN_CATEGORY, "category", total),
+        _shares(pairs, "geography", UNKNOWN_REGION, "region", total),
+        _shares(pairs, "attribution_category", UNKNOWN_CATEGORY, "category", total),
     )
 
 

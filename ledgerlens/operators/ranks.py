@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.exact import running_total
-from ledgerlens.operators.skew import middle_value
+from ledgerlens.operators.skew import materialise, middle_value
 
 #: Stretches that all rows are cut into at least; a cluster with a wider shuffle gets as many as that.
 LEAST_STRETCHES = 64
@@ -59,15 +59,24 @@ def ranked(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, st
 
 
 def exact_medians(
-    df: DataFrame, keys: Sequence[str], value: str, alias: str = "median", extra: Mapping[str, Column] | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    alias: str = "median",
+    extra: Mapping[str, Column] | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Exact median of ``value`` per group.
 
     Equal values are counted before anything is ranked, so copies of one value cost one row.  A group without values has
-    a null median.  ``extra`` adds aggregates over the distinct values ``_value`` and their counts ``n``.
+    a null median.  ``extra`` adds aggregates over the distinct values ``_value``, their counts ``n`` and the rows that
+    have them, ``n_rows``, nulls included.  With ``once`` the counted values are written before they are ranked: for rows
+    that are costly to make.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_value"))
-    counted = rows.groupBy(*keys, "_value").agg(F.count("_value").alias("n"))
+    counted = rows.groupBy(*keys, "_value").agg(F.count("_value").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+    if once:
+        counted = rows = materialise(counted, "counted")
     more = [column.alias(name) for name, column in (extra or {}).items()]
     return ranked(counted, keys, "_value", {"n": "n"}, like=rows).groupBy(*keys).agg(middle_value("_value").alias(alias), *more)

@@ -13,6 +13,7 @@ from ledgerlens.functions.text import first_eight
 from ledgerlens.functions.times import moment
 from ledgerlens.operators.ordering import first_overall, first_per_group
 from ledgerlens.operators.ranks import exact_medians
+from ledgerlens.operators.skew import materialise
 
 # Look-back limits in days.
 MIN_DAYS, MAX_DAYS = 1, 365
@@ -107,6 +108,20 @@ def daily_last(supply: DataFrame) -> DataFrame:
     )
 
 
+def daily_sides(supply: DataFrame) -> DataFrame:
+    """Per date and symbol: the last supply, ``first`` (mint and supply of the first snapshot) and the newest time.
+
+    All that latest figures, changes and histories need from the snapshots, in one pass: to be written once and read by
+    each of them.
+    """
+    amount = F.coalesce("ui_supply", F.lit(0.0)).alias("ui_supply")
+    return supply.groupBy("date", "symbol").agg(
+        F.max_by(amount, F.struct("scraped_at", "slot")).alias("ui_supply"),
+        F.min_by(F.struct("mint", amount), F.struct("scraped_at", "mint", "slot")).alias("first"),
+        F.max("scraped_at").alias("scraped_at"),
+    )
+
+
 def wide_history(supply: DataFrame) -> DataFrame:
     """One row per date with ``supplies``, a map from symbol to the last supply of the day, however many symbols there are.
 
@@ -129,9 +144,14 @@ def symbol_columns(supply: DataFrame) -> DataFrame:
 def change_from_previous_day(supply: DataFrame) -> DataFrame:
     """Percent change between the two latest dates of the table, per symbol.
 
-    A symbol missing on a date counts as 0 there; without a positive previous value the change is 0.
+    A symbol missing on a date counts as 0 there; without a positive previous value the change is 0.  The last supplies
+    of the days are written once.
     """
-    daily = daily_last(supply)
+    return change_of_days(materialise(daily_last(supply), "daily"))
+
+
+def change_of_days(daily: DataFrame) -> DataFrame:
+    """:func:`change_from_previous_day` from stored rows of :func:`daily_last` or :func:`daily_sides`."""
     dates = first_overall(daily.select("date").distinct(), [F.col("date").desc()], 2)
     last, previous = dates.agg(F.max("date")).scalar(), dates.agg(F.min("date")).scalar()
 
@@ -225,17 +245,25 @@ def relaxed_union(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def token_entries(supply: DataFrame, registry: DataFrame, holders: DataFrame) -> DataFrame:
-    """Latest figures per symbol with registry name, holder count, median balance and previous-day change."""
-    latest = latest_date_per_symbol(supply).select(
-        "mint", "symbol", F.coalesce("ui_supply", F.lit(0.0)).alias("circulating_supply")
+    """Latest figures per symbol with registry name, holder count, median balance and previous-day change.
+
+    Snapshots and holders are read once each; their days and counted balances are written in between.
+    """
+    return entries_of_days(materialise(daily_sides(supply), "daily"), registry, holders)
+
+
+def entries_of_days(daily: DataFrame, registry: DataFrame, holders: DataFrame) -> DataFrame:
+    """:func:`token_entries` from stored rows of :func:`daily_sides`."""
+    latest = first_per_group(daily, ["symbol"], [F.col("date").desc()]).select(
+        "first.mint", "symbol", F.col("first.ui_supply").alias("circulating_supply")
+    )
+    balances = exact_medians(
+        holders, ["mint"], "ui_amount", "median_balance", {"holder_count": F.sum("n_rows")}, once=True
     )
-    counts = holders.groupBy("mint").agg(F.count(F.lit(1)).alias("holder_count"))
-    medians = exact_medians(holders, ["mint"], "ui_amount", "median_balance")
     return (
         latest.join(registry.select("mint", "name"), "mint", "left")
-        .join(counts, "mint", "left")
-        .join(medians, "mint", "left")
-        .join(change_from_previous_day(supply), "symbol", "left")
+        .join(balances, "mint", "left")
+        .join(change_of_days(daily), "symbol", "left")
         .select(
             F.col("mint").alias("mint_address"),
             "symbol",

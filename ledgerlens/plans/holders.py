@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import balances, holders, labels, supply
-from ledgerlens.plans.supply import _ENTRIES, entries
+from ledgerlens.operators.skew import materialise
+from ledgerlens.plans.supply import _ENTRIES, days, entries
 from ledgerlens.plans.views import over
 from ledgerlens.session import shared_dir
 from ledgerlens.sources import adapters, export
@@ -220,15 +221,15 @@ def a35_coverage(spark, folder):
 
 def v3_document(spark, folder):
     """Every entry of the analytics document with its number."""
-    snapshots = adapters.supply_snapshots(spark, folder)
+    daily = days(spark, folder)
     holders = adapters.token_holders(spark, folder)
     regions, categories = labels.labelled_shares(adapters.wallet_labels(spark, folder))
     document = export.analytics_document(
-        entries(spark, folder),
+        materialise(entries(spark, folder, daily), "entries"),
         regions,
         categories,
         supply.daily_holders(holders, 30, supply.newest(holders, "snapshot_at")),
-        supply.daily_last(supply.since(snapshots, 30, supply.newest(snapshots))),
+        supply.since(daily, 30, supply.newest(daily)).select("date", "symbol", "ui_supply"),
     )
     number = F.coalesce(*[F.get_json_object("entry", f"$.{n}") for n in ("value", "holderCount", "totalHolders")])
     return document.select("section", "key", F.round(number.cast("double"), 6).alias("number"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.times import freshness
 from ledgerlens.operators import robust, supply
 from ledgerlens.operators.merge import insert_absent
+from ledgerlens.operators.skew import materialise
 from ledgerlens.plans.views import over
 from ledgerlens.session import shared_dir
 from ledgerlens.sources import adapters, export, tables
@@ -170,16 +171,21 @@ def u2_relaxed_union(spark, folder):
     )
 
 
-def entries(spark, folder):
-    snapshots = adapters.supply_snapshots(spark, folder)
+def days(spark, folder):
+    """The days of all snapshots, written once."""
+    return materialise(supply.daily_sides(adapters.supply_snapshots(spark, folder)), "daily")
+
+
+def entries(spark, folder, daily=None):
+    daily = days(spark, folder) if daily is None else daily
     holders = adapters.holder_rows(spark, folder)
-    kinds = snapshots.select("mint").distinct()
+    kinds = daily.select("first.mint").distinct()
     # Holder mints are numbers; those that end like a supply mint is long stand for its holders.
     named = holders.withColumn("digit", F.col("mint").cast("int") % 10).join(
         kinds.withColumn("digit", F.length("mint")).select("digit", F.col("mint").alias("kind")), "digit"
     )
     per_kind = named.select(F.col("kind").alias("mint"), "holder_address", "ui_amount")
-    return supply.token_entries(snapshots, adapters.token_registry(spark, folder), per_kind)
+    return supply.entries_of_days(daily, adapters.token_registry(spark, folder), per_kind)
 
 
 def j3_token_entries(spark, folder):
