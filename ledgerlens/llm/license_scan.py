@@ -1,10 +1,15 @@
 """License notices: fixed phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a window of words; it matches a template when it contains at least a given share of the template's distinct
-words.  Words are ordered by their frequency in all documents, rarest first.  A match must share a word of the
-template's prefix (its rarest words) and lie in the prefix of the block, must be large enough, and must have enough
-words left after the shared one: only pairs that pass these filters are verified.  Words outside all templates cannot
-add to an overlap and are left out of the blocks first.
+A block is a window of consecutive words, at any start, as wide as a template with its share of foreign words between;
+it matches the template when it contains at least that share of the template's distinct words, and all the words that
+tell the template from other licenses.  Words are ordered by their frequency in all documents, rarest first.  A match
+must share a word of the template's prefix (its rarest words) that lies in the prefix of the block too, must be large
+enough, and must have enough words left after the shared one: only pairs that pass these filters are verified.  Words
+outside all templates cannot add to an overlap and are left out of the blocks first.
+
+Every match holds a word of the template's prefix, so blocks are only taken around these words.  A block that does not
+start at a word of the template holds no more of them than the one that starts at the next such word, so only starts at
+words of the template are looked at; the result is that of all starts.
 """
 
 from __future__ import annotations
@@ -23,25 +28,23 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
+# Label, notice, and the words of it that other licenses do not have or have otherwise.
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("all-rights-reserved", "all rights reserved"),
+    ("mit", "released under the mit license", "released mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission granted charge"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache license 2"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu public 3"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu public"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution binary"),
+    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla 2"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 ]
 
 #: Share of a template's distinct words that a block must contain.
 CONTAINMENT = 0.8
 
-#: Words of a block, and from one block to the next: a notice of up to STEP + 1 words lies whole in some block.
-WIDTH, STEP = 64, 32
-
 
 def word_text(text: Column) -> Column:
     """The words of a text, lower-cased and separated by single blanks."""
@@ -60,13 +63,18 @@ def least_overlap(words: set[str], containment: float) -> int:
     return math.ceil(containment * len(words) - 1e-9)
 
 
+def block_width(text: str, containment: float) -> int:
+    """Words of a block: those of the template are at least the given share of them when all are there."""
+    return math.ceil(len(text.split()) / containment - 1e-9)
+
+
 def facts_of(documents: DataFrame, containment: float) -> DataFrame:
     """What one pass over (doc_id, text) tells of every document.
 
     Result: doc_id, digest (of the text), n_words, present (the template words it holds), n_base, first_word, last_word,
     base (labels of the phrases), and the text again where some template has enough of its words in it.
     """
-    vocabulary = sorted({w for _, text in TEMPLATES for w in text.split()})
+    vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
     # Lower-casing all letters is cheaper than A-Z alone.  It neither joins nor splits words, and adds at most a word to
     # those present; places and blocks below are taken from the exact text.
     words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_WORD), "")
@@ -81,8 +89,9 @@ def facts_of(documents: DataFrame, containment: float) -> DataFrame:
     some_phrase, some_template = F.lit(False), F.lit(False)
     for phrase in PHRASES:
         some_phrase = some_phrase | holds(set(phrase.split()), len(set(phrase.split())))
-    for _, text in TEMPLATES:
-        some_template = some_template | holds(set(text.split()), least_overlap(set(text.split()), containment))
+    for _, text, telling in TEMPLATES:
+        enough = holds(set(text.split()), least_overlap(set(text.split()), containment))
+        some_template = some_template | (enough & holds(set(telling.split()), len(telling.split())))
     # Every word stands between blanks of its own, so that neighbouring phrases share none.
     clean = F.when(some_phrase, F.concat(F.lit(" "), F.replace(word_text(F.col("text")), F.lit(" "), F.lit("  ")), F.lit(" ")))
     rows = rows.withColumn("spaced", F.coalesce(clean, F.lit("")))
@@ -110,7 +119,7 @@ def facts_of(documents: DataFrame, containment: float) -> DataFrame:
 
 def ordered_vocabulary(facts: DataFrame) -> list[str]:
     """The words of the templates by the number of documents that hold them, rarest first; ties by the word."""
-    vocabulary = sorted({w for _, text in TEMPLATES for w in text.split()})
+    vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
     held = facts.select(F.explode("present").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = {row["word"]: row["n"] for row in held.collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
@@ -120,11 +129,11 @@ def prefix_index(vocabulary: list[str], containment: float) -> list[dict]:
     """A row per template and word of its prefix; as small as the list of templates."""
     place = {w: i for i, w in enumerate(vocabulary)}
     rows = []
-    for number, (label, text) in enumerate(TEMPLATES):
+    for label, text, telling in TEMPLATES:
         words = sorted(set(text.split()), key=place.__getitem__)
         least = least_overlap(set(words), containment)
-        for i, word in enumerate(words[: len(words) - least + 1]):
-            rows.append({"template": number, "label": label, "words": words, "least": least, "place": i, "word": word})
+        facts = {"label": label, "words": words, "telling": telling.split(), "least": least, "width": block_width(text, containment)}
+        rows.extend({**facts, "place": i, "word": word} for i, word in enumerate(words[: len(words) - least + 1]))
     return rows
 
 
@@ -132,37 +141,50 @@ def template_matches(facts: DataFrame, containment: float = CONTAINMENT) -> Data
     """Rows of (doc_id, digest, found, best): labels and best containment of the documents that match a template."""
     vocabulary = ordered_vocabulary(facts)
     index = prefix_index(vocabulary, containment)
-    least = min(r["least"] for r in index)
-    rarest = sorted({r["word"] for r in index})
+    widest = max(r["width"] for r in index)
+    rarest = _strings(sorted({r["word"] for r in index}))
     # A block can only match if its document holds a prefix word.
-    candidates = facts.filter(F.col("text").isNotNull() & F.arrays_overlap("present", _strings(rarest)))
+    candidates = facts.filter(F.col("text").isNotNull() & F.arrays_overlap("present", rarest))
     candidates = candidates.select("doc_id", "digest", words_of(word_text(F.col("text"))).alias("all_words"))
-    starts = F.sequence(F.lit(1), F.size("all_words"), F.lit(STEP))
-    windows = F.transform(starts, lambda s: F.array_intersect(_strings(vocabulary), F.slice("all_words", s, WIDTH)))
-    blocks = candidates.select("doc_id", "digest", F.explode(F.array_distinct(windows)).alias("block"))
-    blocks = blocks.filter(F.size("block") >= least)
-    tokens = blocks.select(
-        "doc_id", "digest", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - least + 1)).alias("at", "word")
-    )
+    # The words around each prefix word, far enough for every block that holds it; the text itself goes no further.
+    everywhere = F.transform("all_words", lambda word, i: F.when(F.array_contains(rarest, word), i + 1))
+
+    def around(place: Column) -> Column:
+        first = F.greatest(place - (widest - 1), F.lit(1))
+        return F.struct(F.slice("all_words", first, place - first + widest).alias("near"), (place - first + 1).alias("at"))
+
+    anchors = candidates.select("doc_id", "digest", F.inline(F.transform(F.array_compact(everywhere), around)))
+    anchors = anchors.withColumn("word", F.element_at("near", F.col("at")))
     # At most a few rows per template, whatever the size of the corpus.
     templates = facts.sparkSession.range(1).select(
         F.inline(F.array(*[
             F.struct(
-                F.lit(r["label"]).alias("label"), F.lit(r["template"]).alias("template"), _strings(r["words"]).alias("words"),
-                F.lit(r["least"]).alias("least"), F.lit(r["place"]).alias("place"), F.lit(r["word"]).alias("word"),
+                F.lit(r["label"]).alias("label"), _strings(r["words"]).alias("words"), _strings(r["telling"]).alias("telling"),
+                F.lit(r["least"]).alias("least"), F.lit(r["width"]).alias("width"), F.lit(r["place"]).alias("place"),
+                F.lit(r["word"]).alias("word"),
             )
             for r in index
         ]))
     )
-    rest = F.least(F.size("words") - F.col("place"), F.size("block") - F.col("at"))
+    starts = F.filter(
+        F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(1)), F.col("at")),
+        lambda s: F.array_contains("words", F.element_at("near", s)),
+    )
+    windows = F.transform(starts, lambda s: F.array_intersect(_strings(vocabulary), F.slice("near", s, F.col("width"))))
+    blocks = anchors.join(F.broadcast(templates), "word").select(
+        "doc_id", "digest", "word", "label", "words", "telling", "least", "place",
+        F.explode(F.array_distinct(windows)).alias("block"),
+    )
+    before = F.array_position("block", F.col("word")) - 1
+    rest = F.least(F.size("words") - F.col("place"), F.size("block") - before)
     pairs = (
-        tokens.join(F.broadcast(templates), "word")
-        .filter(F.size("block") >= F.col("least"))
-        .filter(F.col("at") <= F.size("block") - F.col("least"))
+        blocks.filter(F.size("block") >= F.col("least"))
+        .filter(before <= F.size("block") - F.col("least"))
         .filter(rest >= F.col("least"))
     )
     overlap = F.size(F.array_intersect("block", "words"))
-    verified = pairs.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("least"))
+    told = F.size(F.array_intersect("block", "telling")) == F.size("telling")
+    verified = pairs.withColumn("overlap", overlap).filter((F.col("overlap") >= F.col("least")) & told)
     return verified.groupBy("doc_id", "digest").agg(
         F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.size("words")).alias("best")
     )
@@ -195,14 +217,15 @@ def _sql_list(words: list[str]) -> str:
 
 
 def scan_sql(containment: float = CONTAINMENT) -> str:
-    """The same by brute force: every block against every template."""
+    """The same by brute force: the block at every word against every template that the document has enough words of."""
     phrases = ", ".join(f"({_sql_list(p.split())}, '{label}')" for p, label in PHRASES.items())
     templates = ", ".join(
-        f"('{label}', {_sql_list(sorted(set(text.split())))}, {math.ceil(containment * len(set(text.split())) - 1e-9)})"
-        for label, text in TEMPLATES
+        f"('{label}', {_sql_list(sorted(set(text.split())))}, {_sql_list(telling.split())}, "
+        f"{math.ceil(containment * len(set(text.split())) - 1e-9)}, {math.ceil(len(text.split()) / containment - 1e-9)})"
+        for label, text, telling in TEMPLATES
     )
     return rf"""
-WITH phrases(words, label) AS (VALUES {phrases}), templates(label, words, least) AS (VALUES {templates}), split AS (
+WITH phrases(words, label) AS (VALUES {phrases}), templates(label, words, telling, least, width) AS (VALUES {templates}), split AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{"".join(map(chr, range(65, 91)))}',
            '{"".join(map(chr, range(97, 123)))}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
 ), places AS (
@@ -212,10 +235,12 @@ WITH phrases(words, label) AS (VALUES {phrases}), templates(label, words, least)
     SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
     FROM places GROUP BY doc_id
 ), blocks AS (
-    SELECT doc_id, unnest([words[i + 1 : i + {WIDTH}] FOR i IN range(0, len(words), {STEP})]) AS block FROM split
+    SELECT doc_id, label, templates.words, telling, least,
+           unnest([split.words[i + 1 : i + width] FOR i IN range(len(split.words))]) AS block
+    FROM split, templates WHERE len(list_intersect(templates.words, split.words)) >= least
 ), matched AS (
-    SELECT doc_id, label, len(list_intersect(templates.words, block)) AS overlap, len(templates.words) AS size
-    FROM blocks, templates WHERE len(list_intersect(templates.words, block)) >= least
+    SELECT doc_id, label, len(list_intersect(words, block)) AS overlap, len(words) AS size
+    FROM blocks WHERE len(list_intersect(words, block)) >= least AND list_has_all(block, telling)
 ), found AS (
     SELECT doc_id, list(DISTINCT label) AS labels, max(overlap / CAST(size AS DOUBLE)) AS best FROM matched GROUP BY doc_id
 )

@@ -1,5 +1,7 @@
 """License scan against SQL that compares every block with every template."""
 
+import random
+
 import duckdb
 import pandas as pd
 
@@ -45,6 +47,50 @@ def test_scan_equals_brute_force(spark):
     assert "mit" in by_id[3] and "gpl-3" in by_id[7] and "gpl-3" in by_id[8] and "bsd" in by_id[12]
 
 
+def test_a_match_does_not_depend_on_where_the_notice_stands(spark):
+    notice = "Permission is granted, free of charge, to any person obtaining a copy of this software"
+    rows = [(i, "lorem " * i + notice + " ipsum" * 40) for i in range(70)]
+    assert {r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {"mit"}
+
+
+def test_words_that_tell_licenses_apart_must_be_there(spark):
+    texts = {
+        "Dies ist eine Lizenz under license permission mit the free Software": "",
+        "Ein Text mit Licensed under the Apache License, Version 2.0.": "apache-2",
+        "Licensed under CC BY 4.0": "",
+        "Licensed under CC BY-NC 4.0": "cc-by-nc",
+        "This work is licensed under the GNU General Public License, version 2": "",
+        "This work is licensed under the GNU General Public License, version 3": "gpl-3",
+        "released under " + "lorem " * 20 + "the mit license": "",
+        "Released under MIT license": "mit",
+        "all rights are reserved": "all-rights-reserved",
+    }
+    rows = list(enumerate(texts))
+    ours, theirs = compared(spark, rows)
+    assert ours == theirs
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == dict(enumerate(texts.values()))
+
+
+def test_shuffled_notices_equal_brute_force(spark):
+    draw, rows = random.Random(3), []
+    for i in range(300):
+        words = draw.choice(license_scan.TEMPLATES)[1].split() + draw.choice(license_scan.TEMPLATES)[1].split()
+        for _ in range(draw.randrange(6)):
+            words[draw.randrange(len(words))] = draw.choice(["lorem", "the", "mit", "license", "3", words[0]])
+        if i % 3 == 0:
+            draw.shuffle(words)
+        rows.append((i, " ".join(words)))
+    ours, theirs = compared(spark, rows)
+    assert ours == theirs and sum("," in r for row in ours for r in row if isinstance(r, str)) > 20
+
+
+def test_very_long_text(spark):
+    text = FILL * 40_000 + "All rights reserved. " * 3 + FILL * 40_000 + "Released under the MIT License"
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_words"], row["labels"]) == (480_014, "all-rights-reserved,mit")
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     rows = [(1, TEXTS[3]), (1, TEXTS[3]), (1, TEXTS[9]), (None, TEXTS[3])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
