@@ -152,9 +152,11 @@ def top_lists(spark: SparkSession, root: str) -> DataFrame:
     return keyed.read_keyed(spark, f"{root}/top")
 
 
-def follow_owners(updates: DataFrame, root: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def follow_owners(
+    updates: DataFrame, root: str, checkpoint: str, available_now: bool = False, buckets: int = keyed.BUCKETS
+) -> StreamingQuery:
     """Apply a stream of account updates batch by batch; a batch that is run again changes nothing twice."""
-    start(updates.sparkSession, root)
+    start(updates.sparkSession, root, buckets)
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
     return (
         updates.writeStream.option("checkpointLocation", checkpoint)

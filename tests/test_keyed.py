@@ -149,3 +149,18 @@ def test_thinned_lists_are_counted_again_and_nameless_owners_hold_nothing(spark,
     assert [r[1] for r in kept(spark, root)[0]] == ["z"]
     owners.apply_updates(updates(spark, first).limit(0), root, 2, 2)
     assert [r[1] for r in kept(spark, root)[0]] == ["z"]
+
+
+def test_a_stream_keeps_balances_and_lists(spark, tmp_path):
+    folder, root, seen = tmp_path / "in", str(tmp_path / "owners"), []
+    folder.mkdir()
+    for name, rows in [
+        ("1", [("a", "m", "x", 9, 1, 0), ("b", "m", "y", 8, 1, 0)]),
+        ("2", [("a", "m", "y", 9, 3, 0), ("b", "m", "y", 1, 0, 0)]),
+    ]:
+        seen += rows
+        updates(spark, rows).coalesce(1).write.parquet(str(folder / name))
+        stream = spark.readStream.schema(owners.ENTRY).option("recursiveFileLookup", "true").parquet(str(folder))
+        owners.follow_owners(stream, root, str(tmp_path / "cp"), True, 2).awaitTermination()
+        assert kept(spark, root) == computed(spark, seen, 20)
+    assert [(r[1], int(r[2])) for r in kept(spark, root)[0]] == [("y", 17)]
