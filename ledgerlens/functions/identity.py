@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -30,8 +30,8 @@ def token_uuid(mint: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def base58(keys: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def base58(keys: pa.Array) -> pa.Array:
     """Base58 text of a key.  Leading zero bytes add nothing; an all-zero key is '1'.
 
     Mints and owners repeat, so each key of a batch is encoded once.
@@ -47,9 +47,9 @@ def base58(keys: pd.Series) -> pd.Series:
                 digits.append(ALPHABET[digit])
         return "".join(reversed(digits)).lstrip(ALPHABET[0]) or ALPHABET[0]
 
-    codes, distinct = pd.factorize(keys)
-    texts = [encode(bytes(key)) for key in distinct]
-    return pd.Series([texts[code] if code >= 0 else None for code in codes], dtype=object)
+    coded = keys.dictionary_encode()
+    texts = [encode(key) for key in coded.dictionary.to_pylist()]
+    return pa.array(texts, pa.string()).take(coded.indices)
 
 
 def decode_account(encoded: Column) -> Column:

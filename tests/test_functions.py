@@ -124,3 +124,11 @@ def test_account_bytes(spark):
 def test_risk_tone(spark, status, provider, score, level, tone):
     df = spark.createDataFrame([(status, provider, score, level)], "s string, p string, n double, l string")
     assert df.select(risk.risk_tone(F.col("s"), F.col("p"), F.col("n"), F.col("l"))).first()[0] == tone
+
+
+def test_base58_encodes_arrow_columns(spark):
+    from ledgerlens.functions.identity import base58
+
+    rows = spark.createDataFrame([(1, bytearray(b"\x00\x01")), (2, None), (3, bytearray(2)), (4, bytearray(b"\x00\x01"))], "i int, k binary")
+    assert base58.evalType == 250
+    assert [r[0] for r in rows.select(base58("k"), "i").orderBy("i").collect()] == ["2", None, "1", "2"]
