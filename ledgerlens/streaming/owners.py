@@ -1,11 +1,12 @@
 """Balances per owner and top holders kept up by signed deltas of account updates.
 
-A batch of updates is compared with the accounts it names; what each account gives to and takes from an owner is summed
-per owner and added to the stored balance, and the stored top list of a mint is mended by the owners that changed.  A
-batch reads and rewrites the buckets it touches only, and a snapshot reads the top lists alone.
+A batch of updates is merged into the accounts it names, and an account keeps the batch that changed it last with what it
+held before; what the changed accounts give to and take from an owner is summed per owner and added to the stored balance,
+and the stored top list of a mint is mended by the owners that changed.  A batch reads and rewrites the buckets it touches
+only, each merge moves its rows once and writes them once, and a snapshot reads the top lists alone.
 
-Every step can be run again: the deltas of a batch are stored before anything else changes, accounts keep their newest
-entry whatever is merged twice, and a balance carries the batch that it was changed by last.
+Every step can be run again: accounts keep their newest entry whatever is merged twice, the deltas of a batch follow from
+the accounts that it changed, and a balance carries the batch that it was changed by last.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from ledgerlens.sources.tables import _file_system, stored_schema
 from ledgerlens.streaming.holders import batches
 
 ENTRY = "account string, mint string, owner string, amount decimal(20,0), slot bigint, seq bigint"
+ACCOUNT = f"{ENTRY}, batch bigint, was struct<mint:string,owner:string,amount:decimal(20,0)>"
 BALANCE = "mint string, owner string, amount decimal(38,0), batch bigint"
 TOP = "mint string, owner string, amount decimal(38,0), rank int"
 DELTA = "mint string, owner string, delta decimal(38,0)"
@@ -30,28 +32,58 @@ OWNER = ["mint", "owner"]
 
 def start(spark: SparkSession, root: str, buckets: int = keyed.BUCKETS) -> None:
     """Empty tables of accounts, owners and top lists; tables that are there stay."""
-    for name, schema, keys in [("accounts", ENTRY, ["account"]), ("owners", BALANCE, OWNER), ("top", TOP, ["mint"])]:
+    for name, schema, keys in [("accounts", ACCOUNT, ["account"]), ("owners", BALANCE, OWNER), ("top", TOP, ["mint"])]:
         if stored_schema(spark, f"{root}/{name}") is None:
             keyed.create_keyed(spark.createDataFrame([], schema), f"{root}/{name}", keys, buckets)
 
 
-def deltas(newest: DataFrame, known: DataFrame) -> DataFrame:
-    """What the owners of accounts win and lose by newer entries, zero sums left out.
+def renew(known: DataFrame, newest: DataFrame, batch: int, path: str) -> DataFrame:
+    """Accounts with their newest entries; those that a batch changes get its number and what they held before.
 
-    Both sides have one entry per account.  An entry that is not newer than the known one changes nothing; a balance that
-    is not positive counts as none, and so does one without mint or owner.
+    Both sides have one entry per account.  An entry that is not newer than the known one changes nothing.
     """
-    old = known.select("account", F.struct("mint", "owner", "amount", "slot", "seq").alias("_old"))
-    both = newest.join(old, "account", "left")
+    for column, kind in (("batch", "bigint"), ("was", "struct<mint:string,owner:string,amount:decimal(20,0)>")):
+        if column not in known.columns:  # a table from before accounts had them
+            known = known.withColumn(column, F.lit(None).cast(kind))
+    entry = F.struct("mint", "owner", F.col("amount").cast("decimal(20,0)").alias("amount"), "slot", "seq")
+    # Marks of earlier batches are of no use any more.
+    mark = F.when(F.col("batch") == batch, F.struct("batch", "was"))
+    sides = known.select("account", entry.alias("_entry"), F.lit(True).alias("_known"), mark.alias("_mark")).unionByName(
+        newest.select("account", entry.alias("_entry"), F.lit(False).alias("_known")), allowMissingColumns=True
+    )
+    rows, keys = keyed.deal(sides, path)
+    both = rows.groupBy(*keys).agg(
+        F.max(F.when(F.col("_known"), F.col("_entry"))).alias("_old"),
+        F.max(F.when(~F.col("_known"), F.col("_entry"))).alias("_new"),
+        F.max("_mark").alias("_mark"),
+    )
 
-    def at(prefix: str) -> Column:
-        return F.struct(f"{prefix}slot", f"{prefix}seq")
+    def at(side: str) -> Column:
+        return F.struct(f"{side}.slot", f"{side}.seq")
 
-    def tie(prefix: str) -> Column:
-        return F.struct(f"{prefix}mint", f"{prefix}owner", (-F.col(f"{prefix}amount")).alias("amount"))
+    def tie(side: str) -> Column:
+        amount = F.col(f"{side}.amount")
+        return F.struct(f"{side}.mint", f"{side}.owner", amount.isNull().alias("none"), (-amount).alias("amount"))
 
     # The order of last_entries.
-    newer = (at("") > at("_old.")) | ((at("") == at("_old.")) & (tie("") < tie("_old.")))
+    later = (at("_new") > at("_old")) | ((at("_new") == at("_old")) & (tie("_new") < tie("_old")))
+    newer = F.col("_new").isNotNull() & (F.col("_old").isNull() | later)
+    before = F.when(F.col("_old").isNotNull(), F.struct("_old.mint", "_old.owner", "_old.amount"))
+    marked = both.withColumn("_newer", newer)
+    return marked.select(
+        keyed.BUCKET,
+        "account",
+        *[F.when(F.col("_newer"), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in ("mint", "owner", "amount", "slot", "seq")],
+        F.when(F.col("_newer"), F.lit(batch)).otherwise(F.col("_mark.batch")).cast("bigint").alias("batch"),
+        F.when(F.col("_newer"), before).otherwise(F.col("_mark.was")).alias("was"),
+    )
+
+
+def deltas(accounts: DataFrame, batch: int) -> DataFrame:
+    """What owners win and lose by the accounts that a batch changed, zero sums left out.
+
+    A balance that is not positive counts as none, and so does one without mint or owner.
+    """
     sides = F.array(
         *[
             F.struct(
@@ -59,24 +91,33 @@ def deltas(newest: DataFrame, known: DataFrame) -> DataFrame:
                 F.col(f"{prefix}owner").alias("owner"),
                 (F.greatest(F.col(f"{prefix}amount"), F.lit(0)) * sign).cast("decimal(38,0)").alias("delta"),
             )
-            for prefix, sign in [("", 1), ("_old.", -1)]
+            for prefix, sign in [("", 1), ("was.", -1)]
         ]
     )
-    moved = both.filter(F.col("_old").isNull() | newer).select(F.inline(sides))
+    moved = accounts.filter(F.col("batch") == batch).select(F.inline(sides))
     named = moved.filter(F.col("mint").isNotNull() & F.col("owner").isNotNull() & (F.col("delta") != 0))
     summed = named.groupBy(*OWNER).agg(F.sum("delta").cast("decimal(38,0)").alias("delta"))
     return summed.filter(F.col("delta") != 0)
 
 
-def add_deltas(owners: DataFrame, changes: DataFrame, batch: int) -> DataFrame:
+def add_deltas(owners: DataFrame, changes: DataFrame, batch: int, path: str) -> DataFrame:
     """Balances with the deltas of a batch added once.
 
     A balance that falls to zero stays until a later batch, so that a repeated batch finds that it was added already.
     """
-    both = owners.join(changes, OWNER, "outer")
+    known = owners.select(*OWNER, F.col("amount").alias("_value"), F.coalesce("batch", F.lit(-1)).alias("batch"))
+    new = changes.select(*OWNER, F.col("delta").alias("_value"))
+    # Known balances have a batch, changes have none.
+    sides, keys = keyed.deal(known.unionByName(new, allowMissingColumns=True), path)
+    both = sides.groupBy(*keys).agg(
+        F.max(F.when(F.col("batch").isNotNull(), F.col("_value"))).alias("amount"),
+        F.max(F.when(F.col("batch").isNull(), F.col("_value"))).alias("delta"),
+        F.max("batch").alias("batch"),
+    )
     due = F.col("delta").isNotNull() & (F.coalesce("batch", F.lit(-1)) < batch)
     amount = F.coalesce("amount", F.lit(0).cast("decimal(38,0)"))
     rows = both.select(
+        keyed.BUCKET,
         *OWNER,
         F.when(due, amount + F.col("delta")).otherwise(amount).cast("decimal(38,0)").alias("amount"),
         F.when(due, F.lit(batch)).otherwise(F.col("batch")).cast("bigint").alias("batch"),
@@ -92,7 +133,9 @@ def mend_top(top: DataFrame, changed: DataFrame, owners: DataFrame, k: int = TOP
     """
     mints = changed.select("mint").distinct()
     listed = top.join(mints, "mint", "left_semi").select(*OWNER, "amount", "rank")
-    standing = listed.drop("rank").join(changed, OWNER, "left_anti")
+    # Few of the changed owners are listed: they are found first, so that only they meet the lists.
+    gone = changed.select(*OWNER).join(listed.select(*OWNER), OWNER, "left_semi")
+    standing = listed.drop("rank").join(gone, OWNER, "left_anti")
     held = top_holders(standing.unionByName(changed.select(*OWNER, "amount").filter(F.col("amount") > 0)), k)
     held = materialise(held, "top-lists")
 
@@ -124,16 +167,15 @@ def apply_updates(updates: DataFrame, root: str, batch: int, k: int = TOP_HOLDER
     accounts, owners, top = f"{root}/accounts", f"{root}/owners", f"{root}/top"
     log = f"{root}/deltas"
     with kept_until_end(spark):
-        newest = materialise(last_entries(updates.filter(F.col("account").isNotNull())), "newest")
+        named = updates.filter(F.col("account").isNotNull())
+        touched = keyed.merge_keyed(named, accounts, lambda known, new: renew(known, last_entries(new), batch, accounts))
         if not _written(spark, f"{log}/batch={batch}"):
-            touched = keyed.touched_buckets(keyed.with_buckets(newest, accounts))
-            found = deltas(newest, keyed.read_keyed(spark, accounts, touched))
-            found.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{log}/batch={batch}")
+            found = deltas(keyed.read_keyed(spark, accounts, touched), batch)
+            found.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(f"{log}/batch={batch}")
         changes = spark.read.schema(DELTA).parquet(f"{log}/batch={batch}")
-        keyed.merge_keyed(newest, accounts, lambda known, new: last_entries(known.unionByName(new)))
-        touched = keyed.merge_keyed(changes, owners, lambda known, new: add_deltas(known, new, batch))
+        touched = keyed.merge_keyed(changes, owners, lambda known, new: add_deltas(known, new, batch, owners))
         if touched:
-            now = keyed.read_keyed(spark, owners, touched).join(changes, OWNER, "left_semi").select(*OWNER, "amount")
+            now = keyed.read_keyed(spark, owners, touched).filter(F.col("batch") == batch).select(*OWNER, "amount")
             balances = keyed.read_keyed(spark, owners)
             keyed.merge_keyed(now, top, lambda known, new: mend_top(known, new, balances, k))
     for old in batches(spark, log):

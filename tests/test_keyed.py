@@ -164,3 +164,21 @@ def test_a_stream_keeps_balances_and_lists(spark, tmp_path):
         owners.follow_owners(stream, root, str(tmp_path / "cp"), True, 2).awaitTermination()
         assert kept(spark, root) == computed(spark, seen, 20)
     assert [(r[1], int(r[2])) for r in kept(spark, root)[0]] == [("y", 17)]
+
+
+def test_a_merge_moves_rows_once_and_writes_them_once(spark, tmp_path, monkeypatch):
+    """No intermediate table is written for a merge, and rows that a merge has dealt are not dealt again."""
+    from ledgerlens.operators import skew
+
+    root, written = str(tmp_path / "owners"), []
+    owners.start(spark, root, 2)
+    monkeypatch.setattr(skew, "shared_dir", lambda spark, purpose: written.append(purpose) or str(tmp_path / f"{purpose}-{len(written)}"))
+    owners.apply_updates(updates(spark, [("a", "m", "x", 9, 1, 0)]), root, 0, 2)
+    owners.apply_updates(updates(spark, [("a", "m", "y", 4, 2, 0)]), root, 1, 2)
+    assert kept(spark, root)[1] == [("m", "y", 4, 1)]
+    assert set(written) == {"top-lists", "thin"}
+    accounts = keyed.read_keyed(spark, f"{root}/accounts")
+    plan = owners.renew(accounts, accounts.select("account", "mint", "owner", "amount", "slot", "seq"), 2, f"{root}/accounts")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and keyed.BUCKET in plan.columns
+    assert not list((tmp_path / "owners" / "accounts").glob("_draft*"))
